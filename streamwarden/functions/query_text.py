@@ -31,91 +31,87 @@ def _all(lines: Column, form: str, group: int) -> Column:
     return F.regexp_extract_all(lines, F.lit(form), F.lit(group))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def prefix_map(lines: Column) -> Column:
     """Prefix to namespace; a repeated prefix takes its last meaning."""
     entries = F.arrays_zip(_all(lines, PREFIX_FORM, 1).alias("k"), _all(lines, PREFIX_FORM, 2).alias("v"))
-    kept = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
-    return F.map_from_entries(kept)
+    return let(entries, lambda found: F.map_from_entries(F.filter(found, lambda e, i: ~F.exists(
+        F.slice(found, i + 2, F.size(found)), lambda later: later["k"] == e["k"]))))
 
 
 def unwrap(iri: Column, prefixes: Column) -> Column:
     """``<x>`` to x, ``p:local`` to namespace + local, '' for an unknown prefix."""
-    text = F.trim(iri)
-    parts = F.split(text, ":", -1)
-    return (
-        F.when(F.startswith(text, F.lit("<")), F.substr(text, F.lit(2), F.length(text) - 2))
-        .when(F.map_contains_key(prefixes, parts[0]),
-              F.concat(F.element_at(prefixes, parts[0]), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))))
-        .otherwise(F.lit(""))
-    )
+    def resolved(text: Column) -> Column:
+        # Element 0 is the prefix; a name without a colon has no element 1.
+        named = let(F.split(text, ":", -1), lambda parts: F.coalesce(F.concat(
+            F.try_element_at(prefixes, parts[0]), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), F.lit("")))
+        return F.when(F.startswith(text, F.lit("<")), F.substr(text, F.lit(2), F.length(text) - 2)).otherwise(named)
+
+    return let(F.trim(iri), resolved)
 
 
 def catalog(queries: DataFrame, text: str = "query_text") -> DataFrame:
     """Adds hash, prefixes, emit mode, windows, aggregate, variable, patterns and focus."""
-    trimmed = F.transform(F.split(F.col(text), r"\r?\n", -1), lambda x: F.trim(x))
-
-    def only(start: str) -> Column:
-        return F.array_join(F.filter(F.col("_lines"), lambda x: F.startswith(x, F.lit(start))), "\n")
-
-    body_lines = F.filter(F.col("_lines"), lambda x: ~F.startswith(x, F.lit("REGISTER"))
-                          & ~F.startswith(x, F.lit("FROM NAMED WINDOW")))
-    df = queries.withColumn("_lines", trimmed).select(
-        "*",
-        query_hash(text).alias("query_hash"),
-        prefix_map(only("PREFIX")).alias("prefixes"),
-        only("REGISTER").alias("_register"),
-        only("FROM NAMED WINDOW").alias("_from"),
-        F.array_join(F.transform(
-            body_lines, lambda x: F.regexp_replace(x, "^WINDOW", "GRAPH")), "\n").alias("sparql"),
-    )
-    ops, names = _all(F.col("_register"), REGISTER_FORM, 1), _all(F.col("_register"), REGISTER_FORM, 2)
-    raw = F.arrays_zip(*[_all(F.col("_from"), WINDOW_FORM, i).alias(n)
-                         for i, n in ((1, "w"), (2, "st"), (3, "r"), (4, "sl"))])
-    windows = F.transform(raw, lambda w: F.struct(
-        unwrap(w["w"], F.col("prefixes")).alias("name"),
-        unwrap(w["st"], F.col("prefixes")).alias("stream"),
-        w["r"].try_cast("bigint").alias("width_ms"),
-        w["sl"].try_cast("bigint").alias("slide_ms"),
-    ))
-    df = df.select(
-        "*",
-        F.coalesce(F.try_element_at(ops, F.lit(-1)), F.lit("RStream")).alias("r2s_operator"),
-        F.coalesce(F.try_element_at(names, F.lit(-1)), F.lit("undefined")).alias("r2s_name"),
-        windows.alias("windows"),
-        F.lower(F.regexp_extract("sparql", SELECT_FORM, 1)).alias("aggregate"),
-        F.regexp_extract("sparql", SELECT_FORM, 2).alias("aggregate_var"),
-        F.regexp_extract("sparql", SELECT_FORM, 3).alias("projection_var"),
-        _patterns(F.col("sparql"), F.col("prefixes")).alias("patterns"),
-    )
-    focus = F.transform(F.filter(
-        F.col("patterns"), lambda t: t["p"].isin([f"<{p}>" for p in vocab.FOCUS_PREDICATES])),
-        lambda t: F.regexp_replace(t["o"], r"^[<?]|>$", ""))
-    return df.withColumn("focus", focus).drop("_lines", "_register", "_from")
+    return queries.withColumn("_parsed", _parsed(F.col(text))).select(
+        *queries.columns, query_hash(text).alias("query_hash"), "_parsed.*")
+
+
+def _parsed(text: Column) -> Column:
+    def of_lines(lines: Column) -> Column:
+        def only(start: str) -> Column:
+            return F.array_join(F.filter(lines, lambda x: F.startswith(x, F.lit(start))), "\n")
+
+        kept = F.filter(lines, lambda x: ~F.startswith(x, F.lit("REGISTER")) & ~F.startswith(x, F.lit("FROM NAMED WINDOW")))
+        sparql = F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, "^WINDOW", "GRAPH")), "\n")
+        return let(F.struct(only("PREFIX").alias("p"), only("REGISTER").alias("r"), only("FROM NAMED WINDOW").alias("f"),
+                            sparql.alias("sparql")),
+                   lambda t: let(prefix_map(t["p"]), lambda prefixes: fields(t, prefixes)))
+
+    def fields(t: Column, prefixes: Column) -> Column:
+        raw = F.arrays_zip(*[_all(t["f"], WINDOW_FORM, i).alias(n)
+                             for i, n in ((1, "w"), (2, "st"), (3, "r"), (4, "sl"))])
+        windows = F.transform(raw, lambda w: F.struct(
+            unwrap(w["w"], prefixes).alias("name"), unwrap(w["st"], prefixes).alias("stream"),
+            w["r"].try_cast("bigint").alias("width_ms"), w["sl"].try_cast("bigint").alias("slide_ms")))
+        return let(_patterns(t["sparql"], prefixes), lambda patterns: F.struct(
+            prefixes.alias("prefixes"), t["sparql"].alias("sparql"),
+            F.coalesce(F.try_element_at(_all(t["r"], REGISTER_FORM, 1), F.lit(-1)), F.lit("RStream")).alias("r2s_operator"),
+            F.coalesce(F.try_element_at(_all(t["r"], REGISTER_FORM, 2), F.lit(-1)), F.lit("undefined")).alias("r2s_name"),
+            windows.alias("windows"),
+            F.lower(F.regexp_extract(t["sparql"], SELECT_FORM, 1)).alias("aggregate"),
+            F.regexp_extract(t["sparql"], SELECT_FORM, 2).alias("aggregate_var"),
+            F.regexp_extract(t["sparql"], SELECT_FORM, 3).alias("projection_var"),
+            patterns.alias("patterns"),
+            F.transform(F.filter(patterns, lambda x: x["p"].isin([f"<{p}>" for p in vocab.FOCUS_PREDICATES])),
+                        lambda x: F.regexp_replace(x["o"], r"^[<?]|>$", "")).alias("focus")))
+
+    return let(F.transform(F.split(text, r"\r?\n", -1), lambda x: F.trim(x)), of_lines)
 
 
 def _patterns(sparql: Column, prefixes: Column) -> Column:
     """Triple patterns per window block, with full IRIs."""
     def full(token: Column) -> Column:
-        known = F.map_contains_key(prefixes, F.split(token, ":", -1)[0])
+        # A name with an unknown prefix stays as written.
+        known = let(unwrap(token, prefixes), lambda iri: F.when(iri == "", token).otherwise(
+            F.concat(F.lit("<"), iri, F.lit(">"))))
         return (
             F.when(token == "a", F.lit(f"<{vocab.RDF_TYPE}>"))
             .when(token.rlike(r'^[<?$"_]'), F.regexp_replace(token, r"^\$", "?"))
-            .when(F.contains(token, F.lit(":")) & known,
-                  F.concat(F.lit("<"), unwrap(token, prefixes), F.lit(">")))
-            .otherwise(token)
+            .otherwise(known)
         )
 
     blocks = F.arrays_zip(_all(sparql, BLOCK_FORM, 1).alias("w"), _all(sparql, BLOCK_FORM, 2).alias("b"))
 
     def triples(block: Column) -> Column:
-        stated = F.filter(
-            F.transform(F.split(block["b"], r"\s+\.\s*|\.(?=\s|$)", -1), lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))),
-            lambda t: t != "")
-        tokens = F.transform(stated, lambda t: F.split(t, " ", 3))
-        return F.transform(F.filter(tokens, lambda t: F.size(t) == 3), lambda t: F.struct(
-            unwrap(block["w"], prefixes).alias("window"),
-            full(t[0]).alias("s"), full(t[1]).alias("p"), full(t[2]).alias("o")))
+        stated = F.transform(F.split(block["b"], r"\s+\.\s*|\.(?=\s|$)", -1),
+                             lambda t: F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " ", 3))
+        return let(unwrap(block["w"], prefixes), lambda window: F.transform(
+            F.filter(stated, lambda t: F.size(t) == 3), lambda t: F.struct(
+                window.alias("window"), full(t[0]).alias("s"), full(t[1]).alias("p"), full(t[2]).alias("o"))))
 
     return F.flatten(F.transform(blocks, triples))
 
@@ -129,23 +125,25 @@ def equivalence_key(windows: Column, patterns: Column, operator: Column, aggrega
     such queries count as different (graph isomorphism is not decided).
     """
     def place(name: Column) -> Column:
-        w = F.filter(windows, lambda x: x["name"] == name)
-        return F.coalesce(F.concat_ws("~", F.get(w, F.lit(0))["stream"], F.get(w, F.lit(0))["width_ms"],
-                                      F.get(w, F.lit(0))["slide_ms"]), name)
+        return let(F.get(F.filter(windows, lambda x: x["name"] == name), F.lit(0)), lambda w: F.when(
+            w.isNotNull(), F.concat_ws("~", w["stream"], w["width_ms"], w["slide_ms"])).otherwise(name))
 
     stated = F.transform(patterns, lambda t: F.concat_ws(" ", place(t["window"]), t["s"], t["p"], t["o"]))
     shaped = F.array_sort(F.transform(stated, lambda t: F.struct(
         F.regexp_replace(t, r"\?\w+", "?").alias("shape"), t.alias("text"))))
     frames = F.array_sort(F.transform(windows, lambda w: F.concat_ws("~", w["stream"], w["width_ms"], w["slide_ms"])))
-    text = F.concat_ws(
+    whole = F.concat_ws(
         " | ", operator, F.array_join(frames, ","), F.array_join(F.transform(shaped, lambda x: x["text"]), " . "),
         aggregate, F.concat(F.lit("?"), aggregate_var), F.concat(F.lit("?"), projection_var))
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\?(\w+)"), F.lit(1)))
-    numbered = F.aggregate(
-        F.transform(names, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), text,
-        lambda acc, v: F.regexp_replace(
-            acc, F.concat(F.lit(r"\?"), v["n"], F.lit(r"\b")), F.concat(F.lit("?#"), v["i"].cast("string"))))
-    return F.sha2(numbered, 256)
+
+    def numbered(text: Column) -> Column:
+        names = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\?(\w+)"), F.lit(1)))
+        return F.aggregate(
+            F.transform(names, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), text,
+            lambda acc, v: F.regexp_replace(
+                acc, F.concat(F.lit(r"\?"), v["n"], F.lit(r"\b")), F.concat(F.lit("?#"), v["i"].cast("string"))))
+
+    return F.sha2(let(whole, numbered), 256)
 
 
 def with_equivalence_key(queries: DataFrame, text: str = "query_text", out: str = "query_key") -> DataFrame:

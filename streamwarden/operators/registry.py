@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import query_text
+from ..session import cut
 from . import skew
 
 
@@ -17,7 +18,8 @@ def detect_duplicates(registrations: DataFrame, text: str = "query_text", id_: s
     ``registry`` (``query_key``, id) if given. The first of each key is found by a
     partial aggregate, so one popular query is no hot window.
     """
-    keyed = query_text.with_equivalence_key(registrations, text)
+    # Reading a text is the costly part, so keys are computed once.
+    keyed = cut(query_text.with_equivalence_key(registrations, text))
     firsts = keyed.groupBy("query_key").agg(F.min_by(id_, F.struct(at, id_)).alias("_first"))
     if registry is not None:
         earlier = registry.groupBy("query_key").agg(F.min(id_).alias("_stored"))

@@ -121,30 +121,23 @@ def derivations(derived: DataFrame, facts: DataFrame) -> DataFrame:
 
 def apply_template(triples: DataFrame, rule: Template) -> DataFrame:
     """Distinct conclusions of a one-pattern rule."""
-    columns: dict[str, str] = {}
-    df = triples
-    for column, term in zip("spo", rule.premise):
-        if not term.startswith("?"):
-            df = df.where(F.col(column) == term)
-        elif term in columns:
-            df = df.where(F.col(column) == F.col(columns[term]))
-        else:
-            columns[term] = column
-    terms = [F.col(columns[t]) if t.startswith("?") else F.lit(t) for t in rule.conclusion]
-    return df.select(*[t.alias(c) for c, t in zip("spo", terms)]).distinct()
+    made = triples.select(_conclusion(rule).alias("c"))
+    return made.where(F.col("c").isNotNull()).select("c.*").distinct()
 
 
 def fixpoint(facts: DataFrame, rules: list[Threshold | Template | Path], max_rounds: int = 50) -> DataFrame:
     """All triples that follow from ``facts``, the facts themselves excluded.
 
-    Each round joins only what the last round added (with everything known), and
-    is written out, so the plan stays short and a lost executor costs one round.
+    Each round reads only what the last round added, and is written out, so the
+    plan stays short and a lost executor costs one round. Threshold and template
+    rules are one projection of a triple; path rules are equi joins of the new
+    triples with all known ones.
     """
     known = cut(facts.select("s", "p", "o").distinct())
     fresh, added = known, None
     for _ in range(max_rounds):
-        produced = [_conclude(fresh, known, r) for r in rules]
-        fresh = cut(reduce(DataFrame.unionByName, produced).distinct().join(known, ["s", "p", "o"], "left_anti"))
+        produced = _concluded(fresh, known, rules).distinct()
+        fresh = cut(produced.join(known, ["s", "p", "o"], "left_anti"))
         if fresh.isEmpty():
             return added if added is not None else fresh
         known = known.unionByName(fresh)
@@ -152,20 +145,41 @@ def fixpoint(facts: DataFrame, rules: list[Threshold | Template | Path], max_rou
     raise RuntimeError(f"rules still derive new facts after {max_rounds} rounds")
 
 
-def _conclude(fresh: DataFrame, known: DataFrame, rule) -> DataFrame:
-    if isinstance(rule, Template):
-        return apply_template(fresh, rule)
-    if isinstance(rule, Threshold):
-        facts = fresh.where(F.col("p") == rule.premise_p).withColumn("_v", F.col("o").try_cast("double"))
-        return apply_thresholds(facts, [rule], "_v").select(
-            "s", F.col("derived_p").alias("p"), F.col("derived_o").alias("o"))
+def _concluded(fresh: DataFrame, known: DataFrame, rules: list) -> DataFrame:
+    local = [c for r in rules if not isinstance(r, Path) for c in [_conclusion(r)]]
+    parts = []
+    if local:
+        parts.append(fresh.select(F.explode(F.filter(F.array(*local), lambda x: x.isNotNull())).alias("c")).select("c.*"))
 
     def edges(df: DataFrame, predicate: str, a: str, b: str) -> DataFrame:
         return df.where(F.col("p") == predicate).select(F.col("s").alias(a), F.col("o").alias(b))
 
-    one = edges(fresh, rule.first, "a", "b").join(edges(known, rule.second, "b", "c"), "b")
-    two = edges(known, rule.first, "a", "b").join(edges(fresh, rule.second, "b", "c"), "b")
-    return one.unionByName(two).select(F.col("a").alias("s"), F.lit(rule.derived).alias("p"), F.col("c").alias("o"))
+    for r in (r for r in rules if isinstance(r, Path)):
+        for first, second in ((fresh, known), (known, fresh)):
+            pairs = edges(first, r.first, "a", "b").join(edges(second, r.second, "b", "c"), "b")
+            parts.append(pairs.select(F.col("a").alias("s"), F.lit(r.derived).alias("p"), F.col("c").alias("o")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _conclusion(rule: Threshold | Template) -> Column:
+    """(s, p, o) that one triple yields, or null."""
+    if isinstance(rule, Threshold):
+        v = F.col("o").try_cast("double")
+        premise = reduce(lambda a, t: a & COMPARISONS[t[0]](v, F.lit(t[1])), rule.tests,
+                         (F.col("p") == rule.premise_p) & v.isNotNull() & ~F.isnan(v))
+        terms = [F.col("s"), F.lit(rule.derived_p), F.lit(rule.derived_o)]
+    else:
+        seen: dict[str, str] = {}
+        premise = F.lit(True)
+        for column, term in zip("spo", rule.premise):
+            if not term.startswith("?"):
+                premise = premise & (F.col(column) == term)
+            elif term in seen:
+                premise = premise & (F.col(column) == F.col(seen[term]))
+            else:
+                seen[term] = column
+        terms = [F.col(seen[t]) if t.startswith("?") else F.lit(t) for t in rule.conclusion]
+    return F.when(premise, F.struct(*[t.alias(c) for c, t in zip("spo", terms)]))
 
 
 def rules_for_streams(queries: DataFrame, profiles: DataFrame, rules: DataFrame,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions import literals, times, urls
-from ..operators import graph, ordering, patterns
+from ..functions import literals, query_text, times, urls
+from ..operators import graph, ordering, patterns, skew
 from ..sinks import storage
 from ..sources import triples as source
 from . import tables
@@ -255,15 +255,15 @@ def first_last_match(spark, sf):
 
 @query("select event_id, row_number() over (order by ts, event_id) as rank from events")
 def chronological_rank(spark, sf):
-    from ..operators import skew
     out = skew.positions(tables.observations(spark, sf), [], ["event_time", "event_id"], "rank", limit=5000)
     return out.select("event_id", "rank")
 
 
-@query("select p_brand, string_agg(p_name, '|' order by p_name) names from (select distinct p_brand, p_name from part) group by 1")
+@query("select p_brand, p_name, row_number() over (partition by p_brand order by p_name) as rank from "
+       "(select distinct p_brand, p_name from part)")
 def string_sort(spark, sf):
     part = tables.load(spark, sf, "part").select("p_brand", "p_name").distinct()
-    return part.groupBy("p_brand").agg(F.array_join(ordering.sorted_strings(F.collect_list("p_name")), "|").alias("names"))
+    return skew.positions(part, ["p_brand"], ["p_name"], "rank")
 
 
 # --- URL and time functions over whole tables -----------------------------------------------------
@@ -293,7 +293,6 @@ def derived_urls(spark, sf):
        "(epoch_us(ts) // 1000) - epoch_ms(timestamp '2024-01-01') span_ms, md5(props) props_hash from "
        "(select event_id, ts, regexp_replace(props, '\\s', '', 'g') props from events)")
 def time_functions(spark, sf):
-    from ..functions import query_text
     ev = tables.load(spark, sf, "events")
     iso = times.iso_utc("ts")
     return ev.select(

@@ -13,9 +13,11 @@ def subscribe(subscriptions: DataFrame, query_hash: str, subscriber: str) -> Dat
     return subscriptions.unionByName(new)
 
 
-def subscriber_lists(subscriptions: DataFrame) -> DataFrame:
-    """List view for inspection; delivery joins the rows instead."""
-    return subscriptions.groupBy("query_hash").agg(F.array_sort(F.collect_list("subscriber")).alias("subscribers"))
+def subscriber_lists(subscriptions: DataFrame, per_row: int = 1000) -> DataFrame:
+    """List view for inspection, a long list in several parts; delivery joins the rows instead."""
+    placed = skew.positions(subscriptions, ["query_hash"], ["subscriber"], "_pos")
+    return placed.groupBy("query_hash", F.expr(f"div(_pos - 1, {per_row})").alias("part")).agg(
+        F.array_sort(F.collect_list("subscriber")).alias("subscribers"))
 
 
 def fan_out(results: DataFrame, subscriptions: DataFrame, limit: int = skew.GROUP_LIMIT) -> DataFrame:
