@@ -160,8 +160,12 @@ def union_of(streams: list[DataFrame]) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, max_files: int | None = None) -> DataFrame:
-    """A stored table (file or folder) as a stream."""
-    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{table}").schema).option("pathGlobFilter", "*.parquet")
+    """A stored table as a stream.
+
+    The path is written as a glob, which the file source takes for a single file
+    as well as for a folder of part files.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{table}").schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(f"{folder}/{table}")
+    return reader.parquet(f"{folder}/{table[:-1]}[{table[-1]}]")
