@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import literals
-from .skew import same
+from .skew import null_safe_join
 
 TERM = ["s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang"]
 
@@ -39,7 +39,7 @@ def insert_data(graph: DataFrame, new: DataFrame) -> DataFrame:
 def delete_data(graph: DataFrame, gone: DataFrame) -> DataFrame:
     """Triples of ``graph`` not in ``gone``; terms compare null-safe."""
     keys = [c for c in TERM if c in graph.columns and c in gone.columns]
-    return graph.join(gone.select(*keys), same(graph, gone, keys), "left_anti")
+    return null_safe_join(graph, gone.select(*keys), keys, "left_anti")
 
 
 def delete_text(triples: DataFrame) -> DataFrame:

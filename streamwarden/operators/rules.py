@@ -65,7 +65,7 @@ def rule_table(spark, rule_set: str, rules: list[Threshold]) -> DataFrame:
     """Rules as rows of the ``rules`` table."""
     rows = []
     for r in rules:
-        t = dict(r.tests)
+        t = {name: float(bound) for name, bound in r.tests}
         low = t.get("greaterThan", t.get("notLessThan", t.get("equalTo")))
         high = t.get("lessThan", t.get("notGreaterThan", t.get("equalTo")))
         rows.append((rule_set, r.rule_id, r.premise_p, low, "greaterThan" not in t, high, "lessThan" not in t,

@@ -18,9 +18,12 @@ BROADCAST_ROWS = 500_000
 _OFFSET_BITS = 33
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on ``keys``."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
+                   small: bool = False) -> DataFrame:
+    """Join on ``keys`` where null equals null. ``small`` broadcasts a right side that counts small."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(sized(other) if small else other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -49,8 +52,7 @@ def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame | N
         return df, None
     if not keys:
         return None, df
-    side = sized(hot)
-    return df.join(side, same(df, hot, keys), "left_anti"), df.join(side, same(df, hot, keys), "left_semi")
+    return null_safe_join(df, hot, keys, "left_anti", True), null_safe_join(df, hot, keys, "left_semi", True)
 
 
 def chunked(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
@@ -96,9 +98,8 @@ def positions(df: DataFrame, keys: list[str], order: list[str], pos: str = "pos"
             .withColumn("_prior", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)))
             .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
         )
-        small = sized(summary)
-        out = rows.join(small, same(rows, summary, [*keys, "_chunk"])).select(
-            *[rows[c] for c in df.columns],
+        out = null_safe_join(rows, summary, [*keys, "_chunk"], small=True).select(
+            *df.columns,
             (F.col("_off") - F.col("_first") + F.col("_prior") + 1).alias(pos),
             *([F.col("_total").alias(total)] if total else []),
         )
@@ -124,10 +125,9 @@ def fill_forward(df: DataFrame, keys: list[str], order: list[str], value: str, o
             .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_off"))).alias("_last"))
             .withColumn("_carry", F.last("_last", ignorenulls=True).over(_before(keys)))
         )
-        small = sized(summary)
         parts.append(
-            local.join(small, same(local, summary, [*keys, "_chunk"])).select(
-                *[local[c] for c in df.columns],
+            null_safe_join(local, summary, [*keys, "_chunk"], small=True).select(
+                *df.columns,
                 F.coalesce(F.col("_local"), F.col("_carry")).alias(out),
             )
         )
@@ -151,10 +151,9 @@ def next_value(df: DataFrame, keys: list[str], order: list[str], value: str, out
             .agg(F.max("_off").alias("_end"), F.min_by(value, "_off").alias("_head"))
             .withColumn("_after", F.lead("_head").over(Window.partitionBy(*keys).orderBy("_chunk")))
         )
-        small = sized(summary)
         parts.append(
-            inner.join(small, same(inner, summary, [*keys, "_chunk"])).select(
-                *[inner[c] for c in df.columns],
+            null_safe_join(inner, summary, [*keys, "_chunk"], small=True).select(
+                *df.columns,
                 F.when(F.col("_off") == F.col("_end"), F.col("_after")).otherwise(F.col("_next")).alias(out),
             )
         )
