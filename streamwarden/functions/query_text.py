@@ -55,41 +55,39 @@ def unwrap(iri: Column, prefixes: Column) -> Column:
 
 
 def catalog(queries: DataFrame, text: str = "query_text") -> DataFrame:
-    """Adds hash, prefixes, emit mode, windows, aggregate, variable, patterns and focus."""
-    return queries.withColumn("_parsed", _parsed(F.col(text))).select(
-        *queries.columns, query_hash(text).alias("query_hash"), "_parsed.*")
-
-
-def _parsed(text: Column) -> Column:
-    def of_lines(lines: Column) -> Column:
-        def only(start: str) -> Column:
-            return F.array_join(F.filter(lines, lambda x: F.startswith(x, F.lit(start))), "\n")
-
-        kept = F.filter(lines, lambda x: ~F.startswith(x, F.lit("REGISTER")) & ~F.startswith(x, F.lit("FROM NAMED WINDOW")))
-        sparql = F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, "^WINDOW", "GRAPH")), "\n")
-        return let(F.struct(only("PREFIX").alias("p"), only("REGISTER").alias("r"), only("FROM NAMED WINDOW").alias("f"),
-                            sparql.alias("sparql")),
-                   lambda t: let(prefix_map(t["p"]), lambda prefixes: fields(t, prefixes)))
-
-    def fields(t: Column, prefixes: Column) -> Column:
-        raw = F.arrays_zip(*[_all(t["f"], WINDOW_FORM, i).alias(n)
-                             for i, n in ((1, "w"), (2, "st"), (3, "r"), (4, "sl"))])
-        windows = F.transform(raw, lambda w: F.struct(
-            unwrap(w["w"], prefixes).alias("name"), unwrap(w["st"], prefixes).alias("stream"),
-            w["r"].try_cast("bigint").alias("width_ms"), w["sl"].try_cast("bigint").alias("slide_ms")))
-        return let(_patterns(t["sparql"], prefixes), lambda patterns: F.struct(
-            prefixes.alias("prefixes"), t["sparql"].alias("sparql"),
-            F.coalesce(F.try_element_at(_all(t["r"], REGISTER_FORM, 1), F.lit(-1)), F.lit("RStream")).alias("r2s_operator"),
-            F.coalesce(F.try_element_at(_all(t["r"], REGISTER_FORM, 2), F.lit(-1)), F.lit("undefined")).alias("r2s_name"),
-            windows.alias("windows"),
-            F.lower(F.regexp_extract(t["sparql"], SELECT_FORM, 1)).alias("aggregate"),
-            F.regexp_extract(t["sparql"], SELECT_FORM, 2).alias("aggregate_var"),
-            F.regexp_extract(t["sparql"], SELECT_FORM, 3).alias("projection_var"),
-            patterns.alias("patterns"),
-            F.transform(F.filter(patterns, lambda x: x["p"].isin([f"<{p}>" for p in vocab.FOCUS_PREDICATES])),
-                        lambda x: F.regexp_replace(x["o"], r"^[<?]|>$", "")).alias("focus")))
-
-    return let(F.transform(F.split(text, r"\r?\n", -1), lambda x: F.trim(x)), of_lines)
+    """Adds hash, prefixes, emit mode, windows, aggregate, variable, patterns and focus.
+
+    One projection per stage, so columns nobody asks for are not computed.
+    """
+    lines = F.transform(F.split(F.col(text), r"\r?\n", -1), lambda x: F.trim(x))
+
+    def only(start: str) -> Column:
+        return F.array_join(F.filter("_lines", lambda x: F.startswith(x, F.lit(start))), "\n")
+
+    kept = F.filter("_lines", lambda x: ~F.startswith(x, F.lit("REGISTER")) & ~F.startswith(x, F.lit("FROM NAMED WINDOW")))
+    split = queries.withColumn("_lines", lines).select(
+        *queries.columns, query_hash(text).alias("query_hash"), prefix_map(only("PREFIX")).alias("prefixes"),
+        only("REGISTER").alias("_register"), only("FROM NAMED WINDOW").alias("_from"),
+        F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, "^WINDOW", "GRAPH")), "\n").alias("sparql"))
+
+    def last(group: int, default: str) -> Column:
+        return F.coalesce(F.try_element_at(_all(F.col("_register"), REGISTER_FORM, group), F.lit(-1)), F.lit(default))
+
+    raw = F.arrays_zip(*[_all(F.col("_from"), WINDOW_FORM, i).alias(n)
+                         for i, n in ((1, "w"), (2, "st"), (3, "r"), (4, "sl"))])
+    windows = let(F.col("prefixes"), lambda prefixes: F.transform(raw, lambda w: F.struct(
+        unwrap(w["w"], prefixes).alias("name"), unwrap(w["st"], prefixes).alias("stream"),
+        w["r"].try_cast("bigint").alias("width_ms"), w["sl"].try_cast("bigint").alias("slide_ms"))))
+    parsed = split.select(
+        *[c for c in split.columns if not c.startswith("_")],
+        last(1, "RStream").alias("r2s_operator"), last(2, "undefined").alias("r2s_name"), windows.alias("windows"),
+        F.lower(F.regexp_extract("sparql", SELECT_FORM, 1)).alias("aggregate"),
+        F.regexp_extract("sparql", SELECT_FORM, 2).alias("aggregate_var"),
+        F.regexp_extract("sparql", SELECT_FORM, 3).alias("projection_var"),
+        let(F.col("prefixes"), lambda prefixes: _patterns(F.col("sparql"), prefixes)).alias("patterns"))
+    return parsed.withColumn("focus", F.transform(
+        F.filter("patterns", lambda x: x["p"].isin([f"<{p}>" for p in vocab.FOCUS_PREDICATES])),
+        lambda x: F.regexp_replace(x["o"], r"^[<?]|>$", "")))
 
 
 def _patterns(sparql: Column, prefixes: Column) -> Column:

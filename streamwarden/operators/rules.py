@@ -131,13 +131,18 @@ def fixpoint(facts: DataFrame, rules: list[Threshold | Template | Path], max_rou
     Each round reads only what the last round added, and is written out, so the
     plan stays short and a lost executor costs one round. Threshold and template
     rules are one projection of a triple; path rules are equi joins of the new
-    triples with all known ones.
+    triples with all known ones. Facts on predicates no rule mentions are left out.
     """
-    known = cut(facts.select("s", "p", "o").distinct())
+    read, made = _predicates(rules)
+    wanted = facts.select("s", "p", "o")
+    if read is not None and made is not None:
+        wanted = wanted.where(F.col("p").isin(sorted(read | made)))
+    known = cut(wanted.distinct())
     fresh, added = known, None
     for _ in range(max_rounds):
         produced = _concluded(fresh, known, rules).distinct()
-        fresh = cut(produced.join(known, ["s", "p", "o"], "left_anti"))
+        stated = known.where(F.col("p").isin(sorted(made))) if made is not None else known
+        fresh = cut(produced.join(stated, ["s", "p", "o"], "left_anti"))
         if fresh.isEmpty():
             return added if added is not None else fresh
         known = known.unionByName(fresh)
@@ -145,6 +150,19 @@ def fixpoint(facts: DataFrame, rules: list[Threshold | Template | Path], max_rou
     raise RuntimeError(f"rules still derive new facts after {max_rounds} rounds")
 
 
+def _predicates(rules: list) -> tuple[set[str] | None, set[str] | None]:
+    """Predicates the rules read and those they derive; None if a rule leaves one open."""
+    pairs = [((r.first, r.second), (r.derived,)) if isinstance(r, Path)
+             else ((r.premise_p,), (r.derived_p,)) if isinstance(r, Threshold)
+             else ((r.premise[1],), (r.conclusion[1],)) for r in rules]
+
+    def closed(i: int) -> set[str] | None:
+        found = {p for pair in pairs for p in pair[i]}
+        return None if any(p.startswith("?") for p in found) else found
+
+    return closed(0), closed(1)
+
+
 def _concluded(fresh: DataFrame, known: DataFrame, rules: list) -> DataFrame:
     local = [c for r in rules if not isinstance(r, Path) for c in [_conclusion(r)]]
     parts = []

@@ -41,8 +41,8 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     """Keys with more than ``limit`` rows (at most rows/limit of them), or None."""
     if not keys:
         return df.limit(0) if df.limit(limit + 1).count() > limit else None
-    hot = cut(df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys))
-    return None if hot.isEmpty() else hot
+    hot = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+    return None if hot.isEmpty() else cut(hot)
 
 
 def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame | None, DataFrame | None]:

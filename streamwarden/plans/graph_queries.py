@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import literals, query_text, times, urls
 from ..operators import graph, ordering, patterns, skew
+from ..session import spread
 from ..sinks import storage
 from ..sources import triples as source
 from . import tables
@@ -89,7 +90,7 @@ def ntriples_roundtrip(spark, sf):
        "where trim(line, ' ') <> '' and not starts_with(trim(line, ' '), '#') group by doc_id")
 def ntriples_quarantine(spark, sf):
     # Prose is no N-Triples: every line is set aside and none is lost.
-    docs = tables.load(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
+    docs = spread(tables.load(spark, sf, "documents")).select("doc_id", F.col("text").alias("body"))
     _, bad = source.ntriples_ingest(docs)
     return bad.groupBy("doc_id").agg(F.count("*").alias("bad_lines"), F.sum(F.length("line")).alias("chars"))
 

@@ -8,6 +8,7 @@ from .. import vocab
 from ..functions import query_text
 from ..operators import access, discovery, registry, windows
 from ..operators.windows import Agg
+from ..session import spread
 from ..sinks import annotation, audit, delivery
 from . import storage_queries, tables
 from .registered import query, win
@@ -33,7 +34,7 @@ HASH = "md5(regexp_replace(query_text, '\\s', '', 'g'))"
 
 def registrations(spark, sf):
     """Every order registers a continuous query."""
-    return tables.load(spark, sf, "orders").select(
+    return spread(tables.load(spark, sf, "orders")).select(
         F.col("o_orderkey").alias("registration_id"), F.col("o_orderdate").alias("registered_at"),
         "o_custkey", "o_orderstatus", F.expr(_TEXT.format(s="string")).alias("query_text"))
 

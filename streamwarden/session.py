@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -65,3 +66,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to reliable storage and go on from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part of a scan too small to be split.
+
+    For costly per-row work such as reading texts. A scan with splits for a quarter
+    of the cores or more is left as it is: a shuffle would cost more than it brings.
+    """
+    spark = df.sparkSession
+    if df.isStreaming:
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    number, unit = re.match(r"(\d+)\s*([kmgt]?)", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    split = int(number) * 1024 ** " kmgt".index(unit or " ")
+    return df.repartition(cores) if 4 * size < cores * split else df
