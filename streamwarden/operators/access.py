@@ -9,14 +9,14 @@ from . import skew
 
 def granted(notifications: DataFrame, grants: DataFrame, target: str = "derived") -> DataFrame:
     """Notifications whose derived target has a grant."""
-    allowed = grants.select(F.col("resource").alias(target)).distinct()
-    return notifications.join(skew.sized(allowed) if not notifications.isStreaming else allowed, target, "left_semi")
+    allowed = grants.select(F.col("resource").alias(target))
+    return notifications.join(allowed if notifications.isStreaming else skew.sized(allowed), target, "left_semi")
 
 
 def rejected(notifications: DataFrame, grants: DataFrame, target: str = "derived") -> DataFrame:
     """The others, for the audit."""
-    allowed = grants.select(F.col("resource").alias(target)).distinct()
-    return notifications.join(skew.sized(allowed) if not notifications.isStreaming else allowed, target, "left_anti")
+    allowed = grants.select(F.col("resource").alias(target))
+    return notifications.join(allowed if notifications.isStreaming else skew.sized(allowed), target, "left_anti")
 
 
 def decide(requests: DataFrame, policies: DataFrame, id_: str = "request_id") -> DataFrame:
@@ -36,4 +36,4 @@ def decide(requests: DataFrame, policies: DataFrame, id_: str = "request_id") ->
 
 def with_config(streams: DataFrame, config: DataFrame) -> DataFrame:
     """Left join of a stream's settings, which may be absent."""
-    return streams.join(skew.sized(config) if not streams.isStreaming else config, "stream", "left")
+    return streams.join(config if streams.isStreaming else skew.sized(config), "stream", "left")

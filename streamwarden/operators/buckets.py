@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import times, urls
+from ..session import cut
 from . import skew
 
 NONE = "none"
@@ -99,10 +100,11 @@ def store_and_rebalance(members: DataFrame, buckets: DataFrame, size: int = SIZE
     """
     placed = assign(members, buckets, ts, tie, limit)
     first = earliest(members, ts)
-    named = placed.join(skew.sized(first), "stream").withColumn("bucket", F.when(
+    named = placed.join(skew.sized(first, keep=True), "stream").withColumn("bucket", F.when(
         F.col("bucket") == NONE, urls.child_bucket_url("stream", times.ts_ms("earliest_ts"))
     ).otherwise(F.col("bucket"))).withColumn("lower_ts", F.coalesce("lower_ts", "earliest_ts")).drop("earliest_ts")
-    return rebalance(named, size, ts, tie, limit)
+    # Stored once, as the buckets themselves would be, then read again to rebalance.
+    return rebalance(cut(named), size, ts, tie, limit)
 
 
 def batches(rows: DataFrame, keys: list[str], order: list[str], n: int = SIZE, hold_back: bool = True,

@@ -13,7 +13,7 @@ TYPE_INDEX = "http://www.w3.org/ns/solid/terms#publicTypeIndex"  # fixed value
 def relevant_streams(index: DataFrame, metrics: DataFrame, owner: str = "owner") -> DataFrame:
     """All views of every owner that has at least one stream on a metric of interest."""
     related = index.where(F.col("p") == vocab.RELATES_TO).join(
-        skew.sized(metrics.select(F.col("metric").alias("o")).distinct()), "o", "left_semi").select(owner).distinct()
+        skew.sized(metrics.select(F.col("metric").alias("o"))), "o", "left_semi").select(owner).distinct()
     return index.where(F.col("p") == vocab.TREE_VIEW).join(related, owner, "left_semi").select(
         owner, F.col("o").alias("stream"))
 

@@ -23,16 +23,19 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     """Join on ``keys`` where null equals null. ``small`` broadcasts a right side that counts small."""
     other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(sized(other) if small else other, on, how).drop(*[f"_r_{k}" for k in keys])
+    return left.join(sized(other, keep=True) if small else other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, keep: bool = False) -> DataFrame:
     """Broadcast hint only when a count proves the side small; else unchanged.
 
-    The count stops at ``max_rows + 1``. Streaming frames are never hinted.
+    The count stops at ``max_rows + 1``. ``keep`` writes the side out first, for one
+    that is costly to compute twice. Streaming frames are never hinted.
     """
     if df.isStreaming:
         return df
+    if keep:
+        df = cut(df)
     rows = df.limit(max_rows + 1).count()
     return F.broadcast(df) if rows <= max_rows else df
 

@@ -106,7 +106,8 @@ def windowed_by_panes(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs:
     Rows become panes of one step. A window of L panes is a tail of one block of L
     panes plus a head of the next, so two running aggregates per block give every
     window: work is linear in panes and results, not in panes times L. Blocks are
-    the unit of the shuffle: a busy group is spread over time.
+    the unit of the shuffle: a busy group is spread over time, and a task's group
+    never exceeds 3 L small rows, however many rows a pane had.
     """
     if range_ms % step_ms:
         raise ValueError("panes need a range that is a multiple of the step")

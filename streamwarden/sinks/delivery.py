@@ -33,9 +33,13 @@ def unmatched(results: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 
 def write_deliveries(deliveries: DataFrame, path: str, mode: str = "append") -> None:
-    """One ordered file set for all subscribers; readers filter on ``subscriber``."""
-    deliveries.repartitionByRange("subscriber", "query_hash").sortWithinPartitions("subscriber", "query_hash") \
-        .write.mode(mode).parquet(path)
+    """One ordered file set for all subscribers; readers filter on ``subscriber``.
+
+    The hash of the row lets the range shuffle split a busy subscriber.
+    """
+    whole = F.xxhash64(*[F.col(c) for c in deliveries.columns])
+    deliveries.repartitionByRange(F.col("subscriber"), F.col("query_hash"), whole) \
+        .sortWithinPartitions("subscriber", "query_hash").write.mode(mode).parquet(path)
 
 
 def reader_ended(observations: DataFrame) -> DataFrame:

@@ -15,11 +15,12 @@ def append_to_buckets(members: DataFrame, path: str, ts: str = "event_time", mod
     A bucket holds about 20 rows, so a directory per bucket would mean billions of
     tiny files. Files are partitioned by day and sorted by stream, bucket and time:
     the day prunes directories and file statistics prune the rest. The range
-    shuffle splits a busy day or bucket over many tasks.
+    shuffle splits a busy day or bucket over many tasks, the hash of the row even
+    one single time.
     """
     order = [c for c in ("stream", "bucket", ts) if c in members.columns]
     day = members.withColumn("day", F.to_date(ts))
-    cols = [F.col(c) for c in ("day", *order)]
+    cols = [*[F.col(c) for c in ("day", *order)], F.xxhash64(*[F.col(c) for c in members.columns])]
     day.repartitionByRange(*cols).sortWithinPartitions("day", *order).write.mode(mode).partitionBy("day").parquet(path)
 
 

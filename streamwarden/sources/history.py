@@ -41,7 +41,7 @@ def member_range_read(members: DataFrame, buckets: DataFrame, start: datetime |
     """
     wanted = prune_fragments(buckets, start, end).select("stream", "bucket").distinct()
     kept = members.where(times.in_range("event_time", start, end)).join(
-        skew.sized(wanted), ["stream", "bucket"], "left_semi")
+        skew.sized(wanted, keep=True), ["stream", "bucket"], "left_semi")
     order = ["stream", "bucket", "event_time", tie]
     return kept.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
 
