@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -30,12 +32,21 @@ def iso_from_ms(ms) -> Column:
     return iso_utc(F.timestamp_millis(F.col(ms) if isinstance(ms, str) else ms))
 
 
-def in_range(ts, start, end) -> Column:
-    """Closed range; a missing bound is the epoch or the current time."""
-    col = F.col(ts) if isinstance(ts, str) else ts
-    low = F.lit(start) if start is not None else F.timestamp_millis(F.lit(0))
-    high = F.lit(end) if end is not None else F.current_timestamp()
-    return col.between(low.cast("timestamp"), high.cast("timestamp"))
+def moment(value: datetime | Column, kind="timestamp") -> Column:
+    """A datetime as a literal in the session's zone, whatever the zone of this process."""
+    return (F.lit(value.isoformat(sep=" ")) if isinstance(value, datetime) else value).cast(kind)
+
+
+def bounds(start, end, kind="timestamp") -> tuple[Column, Column]:
+    """A missing bound is the epoch or the current time."""
+    return (moment(start if start is not None else F.timestamp_millis(F.lit(0)), kind),
+            moment(end if end is not None else F.current_timestamp(), kind))
+
+
+def in_range(df: DataFrame, ts: str, start, end) -> Column:
+    """Closed range. Bounds take the column's own type, so that the filter reaches the scan."""
+    low, high = bounds(start, end, df.schema[ts].dataType)
+    return F.col(ts).between(low, high)
 
 
 def span_ms(start, end) -> Column:

@@ -73,9 +73,9 @@ def rebalance(members: DataFrame, size: int = SIZE, ts: str = "event_time", tie:
         # The last position of a run of equal times decides for the whole run. All
         # frames below are refinements of (stream, bucket): still one shuffle.
         run = Window.partitionBy(*keys, ts)
-        opened = ranked.withColumn("_k", F.floor(F.max("_p").over(run) / size))
+        opened = ranked.withColumn("_last", F.max("_p").over(run)).withColumn("_k", F.expr(f"div(_last, {size})"))
         parts.append(opened.withColumn("new_lower_ts", F.when(
-            F.col("_k") > 0, F.min(ts).over(Window.partitionBy(*keys, "_k")))).drop("_p", "_k"))
+            F.col("_k") > 0, F.min(ts).over(Window.partitionBy(*keys, "_k")))).drop("_p", "_last", "_k"))
     if hot is not None:
         ranked = skew.positions(hot, keys, [ts, tie], "_p", limit=limit)
         openings = ranked.where((F.col("_p") > 1) & ((F.col("_p") - 1) % size == 0)).select(

@@ -29,7 +29,8 @@ def ms(c: str, alias: str):
 
 @query(f"select event_id, {MS} event_ms from events where {RANGE_SQL}")
 def time_range_scan(spark, sf):
-    return history.historical_scan(tables.observations(spark, sf), None, FROM, TO).select("event_id", ms("event_time", "event_ms"))
+    members = tables.load(spark, sf, "events").withColumnRenamed("ts", "event_time")
+    return history.historical_scan(members, None, FROM, TO, "event_id").select("event_id", ms("event_time", "event_ms"))
 
 
 def _daily_buckets(spark, sf):
@@ -280,7 +281,7 @@ def aggregation_event_triples(spark, sf):
        "'\",\"aggregation_window_from\":\"2024-01-08T00:00:00.000Z\",\"aggregation_window_to\":"
        "\"2024-01-15T12:00:00.000Z\"}') message from ev")
 def result_envelope(spark, sf):
-    out = events.envelope(_max_events(spark, sf), F.col("event_id"), times.iso_utc(F.lit(FROM)), times.iso_utc(F.lit(TO)))
+    out = events.envelope(_max_events(spark, sf), F.col("event_id"), times.iso_utc(times.moment(FROM)), times.iso_utc(times.moment(TO)))
     return out.select("event_id", "message")
 
 

@@ -15,7 +15,7 @@ from ..operators import rules
 from ..streaming import monitor
 from . import tables
 from .registered import HOUR, MINUTE, query, win
-from .window_queries import bounds
+from .window_queries import _USER_SQL, bounds, user_query
 
 BASE = tables.BASE
 R, S = 60 * MINUTE, 20 * MINUTE
@@ -72,6 +72,13 @@ def stream_gap_dedup(spark, sf):
     return monitor.run_available(out, "dedup").select("event_id", "value")
 
 
+@query(_USER_SQL + f"select ws window_start_ms, we window_end_ms, k, max_o, n from r where {CLOSED}")
+def stream_continuous_query(spark, sf):
+    obs = observation_stream(spark, sf).withColumn("stream", F.lit("http://example.org/streams/all/")).withColumn(
+        "property", F.concat(F.lit(tables.PROPERTY), F.col("event_type"))).withWatermark("event_time", "0 seconds")
+    return monitor.run_available(user_query().over_observations(obs), "continuous").select(*bounds(), "k", "max_o", "n")
+
+
 def _side(kind):
     return f"select distinct ws, we, user_id from w where event_type = '{kind}' and {CLOSED}"
 

@@ -14,7 +14,7 @@ from ..operators import skew
 def historical_scan(members: DataFrame, streams: list[str] | None, start: datetime | None,
                     end: datetime | None, tie: str = "resource_id") -> DataFrame:
     """Members in the closed range, oldest first; the filters reach the file scan."""
-    df = members.where(times.in_range("event_time", start, end))
+    df = members.where(times.in_range(members, "event_time", start, end))
     if streams is not None:
         df = df.where(F.col("stream").isin(streams))
     return df.orderBy("event_time", tie)
@@ -27,8 +27,7 @@ def fragment_intervals(buckets: DataFrame) -> DataFrame:
 
 def prune_fragments(buckets: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
     """Buckets that can hold a member of the closed range."""
-    low = F.lit(start) if start is not None else F.timestamp_millis(F.lit(0))
-    high = F.lit(end) if end is not None else F.current_timestamp()
+    low, high = times.bounds(start, end, buckets.schema["lower_ts"].dataType)
     return fragment_intervals(buckets).where(
         (F.col("lower_ts") <= high) & (F.col("upper_ts").isNull() | (F.col("upper_ts") > low)))
 
@@ -40,7 +39,7 @@ def member_range_read(members: DataFrame, buckets: DataFrame, start: datetime |
     A range shuffle keeps a fragment's rows in sequence even when it spans tasks.
     """
     wanted = prune_fragments(buckets, start, end).select("stream", "bucket").distinct()
-    kept = members.where(times.in_range("event_time", start, end)).join(
+    kept = members.where(times.in_range(members, "event_time", start, end)).join(
         skew.sized(wanted, keep=True), ["stream", "bucket"], "left_semi")
     order = ["stream", "bucket", "event_time", tie]
     return kept.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
@@ -68,7 +67,7 @@ def fragment_members(triples: DataFrame) -> DataFrame:
 def stored_results(events: DataFrame, start: datetime | None = None, end: datetime | None = None,
                    query_hash: str | Column | None = None, time: str = "generated_at") -> DataFrame:
     """Materialised results of the closed range, in time order inside each bucket."""
-    df = events.where(times.in_range(time, start, end))
+    df = events.where(times.in_range(events, time, start, end))
     if query_hash is not None:
         df = df.where(F.col("query_hash") == query_hash)
     order = [c for c in ("bucket", time, "event_id") if c in df.columns]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
-from ..functions import urls
+from ..functions import times, urls
 
 MODES = ("historical+live", "live")
 
@@ -59,4 +59,11 @@ def observation_stream(spark: SparkSession, path: str, schema: StructType | str,
         # A watermark needs TIMESTAMP; stored times may be without zone.
         if field.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-    return df.where(F.col("event_time") >= F.lit(start)) if mode == "live" and "event_time" in df.columns else df
+    return df.where(F.col("event_time") >= times.moment(start)) if mode == "live" and "event_time" in df.columns else df
+
+
+def lookback_stream(spark: SparkSession, path: str, schema: StructType | str, width_ms: int,
+                    now: datetime | None = None, **options) -> DataFrame:
+    """Input of a new registration: the last ``width_ms`` of history, then what follows."""
+    now = now or datetime.now(timezone.utc).replace(tzinfo=None)
+    return observation_stream(spark, path, schema, "live", now - timedelta(milliseconds=width_ms), **options)

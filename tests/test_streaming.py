@@ -86,6 +86,8 @@ def test_history_then_new_files_then_resume(spark, tmp_path):
     assert sorted(r.resource_id for r in spark.read.parquet(out).collect()) == [f"r{i}" for i in range(8)]
     recent = live.observation_stream(spark, folder, schema, "live", start=at(6))
     assert sorted(r.resource_id for r in monitor.run_available(recent).collect()) == ["r6", "r7"]
+    registered = live.lookback_stream(spark, folder, schema, 3000, now=at(8))
+    assert sorted(r.resource_id for r in monitor.run_available(registered).collect()) == ["r5", "r6", "r7"]
 
 
 def test_results_wait_for_a_full_batch(spark, tmp_path):
