@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
 
 # Term shapes of the N-Triples grammar.
-IRI = r"<([^<>\"{}|^`\\\x00-\x20]*)>"
+IRI = r"<([^<>\"{}|^`\\\x00-\x20]+)>"
 BLANK = r"_:([A-Za-z0-9_][A-Za-z0-9_.\-]*)"
 STRING = r'"((?:[^"\\\n\r]|\\.)*)"'
 TRIPLE_LINE = (

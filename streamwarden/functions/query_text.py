@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
+from .binding import let
 
 # The line forms of a continuous query.
 PREFIX_FORM = r"PREFIX +([^:]*): +<([^>]+)>"
@@ -31,11 +32,6 @@ def _all(lines: Column, form: str, group: int) -> Column:
     return F.regexp_extract_all(lines, F.lit(form), F.lit(group))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once per row, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def prefix_map(lines: Column) -> Column:
     """Prefix to namespace; a repeated prefix takes its last meaning."""
     entries = F.arrays_zip(_all(lines, PREFIX_FORM, 1).alias("k"), _all(lines, PREFIX_FORM, 2).alias("v"))

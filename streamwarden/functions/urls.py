@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 
 def _col(url) -> Column:
     return F.col(url) if isinstance(url, str) else url
@@ -37,16 +39,18 @@ def stream_of_target(target) -> Column:
 
 def derived_target(target) -> Column:
     """``derived`` put before the last path segment; empty segments are dropped."""
-    url = _col(target)
-    origin = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    rest = F.regexp_extract(url, r"([?#].*)$", 1)
-    segments = F.filter(F.split(path, "/", -1), lambda x: x != "")
-    n = F.size(segments)
-    head = F.slice(segments, F.lit(1), F.greatest(n - 1, F.lit(0)))
-    return F.when(n > 0, F.concat(
-        origin, F.lit("/"),
-        F.array_join(F.concat(head, F.array(F.lit("derived")), F.slice(segments, n, F.lit(1))), "/"), rest))
+    # Origin, path and rest in one pass; a URL holds no line break.
+    parts = F.split(F.regexp_replace(
+        _col(target), r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)([^?#]*)(.*)$", "$1\n$2\n$3"), "\n", -1)
+
+    def moved(url: Column, segments: Column) -> Column:
+        n = F.size(segments)
+        head = F.slice(segments, F.lit(1), F.greatest(n - 1, F.lit(0)))
+        path = F.array_join(F.concat(head, F.array(F.lit("derived")), F.slice(segments, n, F.lit(1))), "/")
+        return F.when(n > 0, F.concat(url[0], F.lit("/"), path, F.get(url, F.lit(2))))
+
+    return let(parts, lambda url: let(
+        F.filter(F.split(F.get(url, F.lit(1)), "/", -1), lambda x: x != ""), lambda segments: moved(url, segments)))
 
 
 def derived_resource(url) -> Column:

@@ -10,25 +10,19 @@ from ..functions import literals, times
 TERM_COLUMNS = ["s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang"]
 
 
-def _terms(line: Column) -> list[Column]:
-    def group(i: int) -> Column:
-        return F.regexp_extract(line, literals.TRIPLE_LINE, i)
-
+def _terms(parts: Column) -> list[Column]:
+    """Columns of a statement from its eight groups; a group that is absent is ''."""
     def filled(i: int) -> Column:
-        return F.when(group(i) != "", group(i))
+        return F.when(parts[i] != "", parts[i])
 
-    iri_subject, iri_object, blank_object = group(1) != "", group(4) != "", group(5) != ""
-    is_literal = ~iri_object & ~blank_object
+    iri_subject, iri_object, blank_object = parts[0] != "", parts[3] != "", parts[4] != ""
     return [
-        F.when(iri_subject, group(1)).otherwise(group(2)).alias("s"),
+        F.when(iri_subject, parts[0]).otherwise(parts[1]).alias("s"),
         F.when(iri_subject, F.lit("iri")).otherwise(F.lit("blank")).alias("s_kind"),
-        group(3).alias("p"),
-        F.when(iri_object, group(4)).when(blank_object, group(5))
-        .otherwise(literals.unescape(group(6))).alias("o"),
-        F.when(iri_object, F.lit("iri")).when(blank_object, F.lit("blank"))
-        .otherwise(F.lit("literal")).alias("o_kind"),
-        F.when(is_literal, filled(7)).alias("o_datatype"),
-        F.when(is_literal, filled(8)).alias("o_lang"),
+        parts[2].alias("p"),
+        F.when(iri_object, parts[3]).when(blank_object, parts[4]).otherwise(literals.unescape(parts[5])).alias("o"),
+        F.when(iri_object, F.lit("iri")).when(blank_object, F.lit("blank")).otherwise(F.lit("literal")).alias("o_kind"),
+        filled(6).alias("o_datatype"), filled(7).alias("o_lang"),
     ]
 
 
@@ -44,8 +38,12 @@ def ntriples_ingest(docs: DataFrame, text: str = "body") -> tuple[DataFrame, Dat
     """(triples, quarantine). Keeps the other columns; lines that are no triple are set aside."""
     lines = ntriples_lines(docs, text)
     kept = [c for c in lines.columns if c != "line"]
-    ok = F.col("line").rlike(literals.TRIPLE_LINE)
-    return lines.where(ok).select(*kept, *_terms(F.col("line"))), lines.where(~ok).select(
+    # One regex pass: a statement becomes its groups, one per line. A line has no
+    # line break of its own, so what does not match stays in one piece.
+    groups = "\n".join(f"${i}" for i in range(1, 9))
+    marked = lines.withColumn("_parts", F.split(F.regexp_replace("line", literals.TRIPLE_LINE, groups), "\n", -1))
+    whole = F.size("_parts") == 8
+    return marked.where(whole).select(*kept, *_terms(F.col("_parts"))), marked.where(~whole).select(
         *kept, "line", F.lit("not a triple").alias("reason"))
 
 
