@@ -12,7 +12,8 @@ ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\
 # Term shapes of the N-Triples grammar.
 IRI = r"<([^<>\"{}|^`\\\x00-\x20]+)>"
 BLANK = r"_:([A-Za-z0-9_][A-Za-z0-9_.\-]*)"
-STRING = r'"((?:[^"\\\n\r]|\\.)*)"'
+# Possessive and unrolled, so that long texts neither backtrack nor recurse.
+STRING = r'"([^"\\\n\r]*+(?:\\[^\n\r][^"\\\n\r]*+)*+)"'
 TRIPLE_LINE = (
     r"^\s*(?:" + IRI + "|" + BLANK + r")\s*" + IRI + r"\s*(?:" + IRI + "|" + BLANK + "|"
     + STRING + r"(?:\^\^" + IRI + r"|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)\s*\.\s*(?:#.*)?$"

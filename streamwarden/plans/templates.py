@@ -12,7 +12,8 @@ from .continuous import ContinuousQuery, WindowSpec
 
 # Fixed values of the named templates.
 STEP_MS = 20
-BVP = "https://dahcc.idlab.ugent.be/Homelab/SensorsAndActuators/wearable.bvp"
+# The property's namespace belongs to the deployment: pass ``metric`` for another one.
+BVP = "http://example.org/sensors/wearable.bvp"
 PARTICIPANT_STREAM = "http://localhost:3000/dataset_participant{}/data/"
 TEMPLATES = {
     "averageHRPatient1": ((1,), "averageHR1"),

@@ -76,7 +76,7 @@ def read_text_documents(spark, path: str, pattern: str = "*.nt") -> DataFrame:
 def _first_object(body: Column, predicate: str) -> Column:
     """Object of the first statement with this predicate in a document; one regex pass."""
     pattern = (r"(?m)^\s*(?:<[^>]*>|_:\S+)\s*<" + predicate.replace(".", r"\.")
-               + r">\s*(<[^>]*>|" + literals.STRING.replace("((?:", "(?:(?:", 1) + r")")
+               + r">\s*(<[^>]*>|" + literals.STRING.replace("(", "(?:", 1) + r")")
     term = F.regexp_extract(body, pattern, 1)
     inside = F.substr(term, F.lit(2), F.length(term) - 2)
     return F.when(F.startswith(term, F.lit("<")), inside).when(F.startswith(term, F.lit('"')), literals.unescape(inside))

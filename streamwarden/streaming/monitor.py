@@ -31,10 +31,20 @@ def start(df: DataFrame, path: str, checkpoint: str, mode: str = "append", avail
 
 
 def run_available(df: DataFrame, label: str = "stream") -> DataFrame:
-    """Process all input there is, then give the written rows as a batch."""
+    """Process all input there is, then give the written rows as a batch.
+
+    State partitions are fixed when a query starts; more of them than cores would
+    only add small state files to every batch.
+    """
     spark = df.sparkSession
     path, checkpoint = scratch_path(spark, label), scratch_path(spark, label + "-checkpoint")
-    start(df, path, checkpoint, available_now=True).awaitTermination()
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), max(1, spark.sparkContext.defaultParallelism))))
+    try:
+        start(df, path, checkpoint, available_now=True).awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

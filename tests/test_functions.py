@@ -6,8 +6,8 @@ from streamwarden.functions import literals, query_text, times, urls
 
 QUERY = """
     PREFIX saref: <https://saref.etsi.org/core/>
-    PREFIX dahccsensors: <https://dahcc.idlab.ugent.be/Homelab/SensorsAndActuators/>
-    PREFIX : <https://rsp.js/>
+    PREFIX sensors: <http://example.org/sensors/>
+    PREFIX : <http://example.org/q/>
     REGISTER {op} <output> AS
     SELECT ({agg})
     FROM NAMED WINDOW :w1 ON STREAM <{stream}> [RANGE {r} STEP {s}]
@@ -17,7 +17,7 @@ QUERY = """
 """
 
 
-def text(agg="AVG(?o) as ?avgSKT", stream="http://n061-14/skt/", r=800, s=100,
+def text(agg="AVG(?o) as ?avgSKT", stream="http://h1/skt/", r=800, s=100,
          body="?s saref:hasValue ?o", op="RStream"):
     return QUERY.format(agg=agg, stream=stream, r=r, s=s, body=body, op=op)
 
@@ -43,15 +43,15 @@ def test_unwrap(spark):
 
 def test_catalog_of_max_query(spark):
     q = text("MAX(?o) as ?maxSKT", "http://localhost:3000/", 180000, 30000,
-             "?s saref:hasValue ?o . ?s saref:relatesToProperty dahccsensors:wearable.skt .")
+             "?s saref:hasValue ?o . ?s saref:relatesToProperty sensors:wearable.skt .")
     row = query_text.catalog(spark.createDataFrame([(q,)], "query_text string")).first()
     assert (row.r2s_operator, row.r2s_name) == ("RStream", "output")
-    assert [tuple(w) for w in row.windows] == [("https://rsp.js/w1", "http://localhost:3000/", 180000, 30000)]
+    assert [tuple(w) for w in row.windows] == [("http://example.org/q/w1", "http://localhost:3000/", 180000, 30000)]
     assert len(row.prefixes) == 3
     assert (row.aggregate, row.aggregate_var, row.projection_var) == ("max", "o", "maxSKT")
     assert [t.p for t in row.patterns] == ["<https://saref.etsi.org/core/hasValue>",
                                           "<https://saref.etsi.org/core/relatesToProperty>"]
-    assert row.focus == ["https://dahcc.idlab.ugent.be/Homelab/SensorsAndActuators/wearable.skt"]
+    assert row.focus == ["http://example.org/sensors/wearable.skt"]
     assert "GRAPH :w1" in row.sparql and "REGISTER" not in row.sparql
 
 

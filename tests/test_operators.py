@@ -514,3 +514,12 @@ def test_live_mode_needs_start(spark):
         live.observation_stream(spark, "/tmp/none", "event_time timestamp", "live")
     with pytest.raises(ValueError):
         live.observation_stream(spark, "/tmp/none", "event_time timestamp", "historical")
+
+
+def test_long_literals_are_read_whole(spark):
+    plain, escaped = "x" * 300_000, 'a"b\\' * 40_000
+    text = escaped.replace("\\", "\\\\").replace('"', '\\"')
+    body = f'<http://a> <{vocab.MADE_BY}> "{plain}" .\n<http://a> <{vocab.RELATES_TO}> "{text}"@en .\nno triple "{plain}'
+    good, bad = triples.ntriples_ingest(docs(spark, body))
+    assert [r.o for r in good.orderBy("seq").collect()] == [plain, escaped] and bad.count() == 1
+    assert triples.observations_from_documents(docs(spark, body)).first().property == escaped
