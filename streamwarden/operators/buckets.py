@@ -107,14 +107,18 @@ def store_and_rebalance(members: DataFrame, buckets: DataFrame, size: int = SIZE
     return rebalance(cut(named), size, ts, tie, limit)
 
 
-def batches(rows: DataFrame, keys: list[str], order: list[str], n: int = SIZE, hold_back: bool = True,
-            limit: int = skew.GROUP_LIMIT) -> DataFrame:
-    """Consecutive groups of ``n`` in arrival order; an incomplete last group is held back."""
+def mark_batches(rows: DataFrame, keys: list[str], order: list[str], n: int = SIZE,
+                 limit: int = skew.GROUP_LIMIT) -> DataFrame:
+    """Adds ``batch``, consecutive groups of ``n`` in arrival order, and whether it is ``complete``."""
     numbered = skew.positions(rows, keys, order, "_pos", "_total", limit)
-    out = numbered.withColumn("batch", F.expr(f"div(_pos - 1, {n})"))
-    if hold_back:
-        out = out.where(F.col("batch") < F.expr(f"div(_total, {n})"))
-    return out.drop("_pos", "_total")
+    return numbered.withColumn("batch", F.expr(f"div(_pos - 1, {n})")).withColumn(
+        "complete", F.col("batch") < F.expr(f"div(_total, {n})")).drop("_pos", "_total")
+
+
+def batches(rows: DataFrame, keys: list[str], order: list[str], n: int = SIZE,
+            limit: int = skew.GROUP_LIMIT) -> DataFrame:
+    """Complete batches only; an incomplete last one is held back."""
+    return mark_batches(rows, keys, order, n, limit).where("complete").drop("complete")
 
 
 def batch_buckets(batched: DataFrame, keys: list[str], container: str, ts: str, order: list[str]) -> DataFrame:

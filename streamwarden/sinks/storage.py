@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab
 from ..functions import literals, times
 from ..operators import buckets as ops
+from ..session import cut
 
 
 def append_to_buckets(members: DataFrame, path: str, ts: str = "event_time", mode: str = "append") -> None:
@@ -27,12 +28,10 @@ def append_to_buckets(members: DataFrame, path: str, ts: str = "event_time", mod
 def publish(results: DataFrame, path: str, keys: list[str], container: str, ts: str, order: list[str],
             n: int = ops.SIZE) -> DataFrame:
     """Write full batches of ``n`` to the bucket of their last row; returns the held-back rows."""
-    batched = ops.batches(results, keys, order, n, hold_back=False)
-    sizes = batched.groupBy(*keys, "batch").agg(F.count(F.lit(1)).alias("_n"))
-    tagged = batched.join(sizes, [*keys, "batch"])
-    full = ops.batch_buckets(tagged.where(F.col("_n") == n).drop("_n"), keys, container, ts, order)
+    marked = cut(ops.mark_batches(results, keys, order, n))
+    full = ops.batch_buckets(marked.where("complete").drop("complete"), keys, container, ts, order)
     append_to_buckets(full, path, ts)
-    return tagged.where(F.col("_n") < n).select(*results.columns)
+    return marked.where("not complete").select(*results.columns)
 
 
 def source_links(stored: DataFrame, subject: str = "s", location: str = "location") -> DataFrame:

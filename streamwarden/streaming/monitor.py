@@ -149,13 +149,11 @@ def publish_batches(results: DataFrame, keys: list[str], container: str, ts: str
             rows = rows.unionByName(spark.read.schema(schema).parquet(f"{out}/waiting/batch={batch_id - 1}"))
         rows.persist()
         try:
-            numbered = buckets.batches(rows, keys, order, n, hold_back=False)
-            sizes = numbered.groupBy(*keys, "batch").agg(F.count(F.lit(1)).alias("_n"))
-            tagged = numbered.join(sizes, [*keys, "batch"])
-            full = tagged.where(F.col("_n") == n).drop("_n")
+            marked = buckets.mark_batches(rows, keys, order, n)
+            full = marked.where("complete").drop("complete")
             buckets.batch_buckets(full, keys, container, ts, order).drop("batch").write.mode("overwrite").parquet(
                 f"{out}/stored/batch={batch_id}")
-            tagged.where(F.col("_n") < n).select(*columns).write.mode("overwrite").parquet(
+            marked.where("not complete").select(*columns).write.mode("overwrite").parquet(
                 f"{out}/waiting/batch={batch_id}")
         finally:
             rows.unpersist()
