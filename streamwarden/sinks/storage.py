@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions import literals, times
-from ..operators import buckets as ops
+from ..operators import buckets as ops, graph, skew
 from ..session import cut
 
 
@@ -96,8 +96,6 @@ def export(triples: DataFrame, prefixes: dict[str, str] | None = None, objects_p
     and keeps every task's memory bounded. A blank object becomes one ``[p o]`` per
     property it has. Write with ``write_text``.
     """
-    from ..operators import graph, skew
-
     prefixes = prefixes or {}
 
     def short(iri: Column) -> Column:
