@@ -1,11 +1,12 @@
 """Exact n-gram Jaccard join: documents are linked when their shingle sets reach a similarity.
 
 1. Every row gets its set of distinct five-word shingles as hashes. Equal sets are one.
-2. Under any one order of shingles, two sets that reach the similarity share one of their
-   first n - ceil(s n) + 1 shingles. The order puts shingles found in many rows last. A
-   set is sent only under these, as small (shingle, set) rows.
+2. Under any one order of shingles, two sets of n and m that reach the similarity s share m/16 + 1 of
+   their first n - ceil(s n) + n/16 + 1 shingles (m the smaller). The order puts shingles found in
+   many rows last. A set is sent only under these, as small (shingle, set) rows; sets that share too few of
+   them with sets of a size near theirs drop out, again and again while that changes much.
 3. Sets that share such a shingle name their smallest partner as leader; a leader's cluster
-   holds all sets that shared one with any of its followers. So each possible pair meets
+   holds all sets of near size that shared one with any of its followers. So each possible pair meets
    in a cluster, without one row per pair; clusters above ``CHUNK`` sets are dealt out as pairs
    of chunks, which keeps each task's memory bounded whatever the size of a group.
 4. In a task the sets of a cluster are indexed by inverted lists and each set is searched with
@@ -45,6 +46,11 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def extra(n):
+    """Shingles sent beyond the first that must be shared; two sets share at least the smaller one's of these and one more."""
+    return n // 16
+
+
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found often, sorted, and the bit length of their count; only the order of shingles rests on it.
 
@@ -79,7 +85,7 @@ def prefixed(rows: DataFrame, percent: int) -> DataFrame:
                 n = len(s)
                 ns.append(n)
                 ids.append(set_id(s) if n else None)
-                keep = n - needed(n, percent) + 1 if n else 0
+                keep = n - needed(n, percent) + 1 + extra(n) if n else 0
                 if len(common) and n:
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     rank = np.where(common[at] == s, level[at], np.uint64(0))
@@ -93,15 +99,40 @@ def prefixed(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(out, f"doc_id {kind}, key binary, n long, set long, grams array<long>")
 
 
-def clusters(sets: DataFrame) -> DataFrame:
+def sharing(sets: DataFrame, percent: int) -> DataFrame:
+    """``gram, set, n, size, low``: what sets that may be linked are sent under; ``low`` is the smallest set they meet there.
+
+    ``size`` is the logarithm of n in millionths; linked sets differ by at most that of 100 / percent.
+    """
+    reach = near(percent)
+    line = Window.partitionBy("gram").orderBy("size").rangeBetween(-reach, reach)
+    least = F.floor(F.ceil(F.col("n") * percent / 100) / 16) + 1
+    rows = sets.where("n > 0").select("set", "n", F.floor(F.log("n") * 1_000_000).alias("size"), F.explode("grams").alias("gram"))
+    before = None
+    while True:
+        met = (rows.withColumn("low", F.min("set").over(line)).withColumn("high", F.max("set").over(line))
+               .where("low != high").select("gram", "set", "n", "size", "low").distinct())
+        met = cut(met)
+        enough = met.groupBy("set", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+        rows = cut(met.join(enough.select("set"), "set", "left_semi"))
+        now = rows.count()
+        if before is not None and now > 0.9 * before:
+            return rows
+        before, rows = now, rows.drop("low")
+
+
+def near(percent: int) -> int:
+    """The largest difference of ``size`` between linked sets."""
+    return int(np.ceil(np.log(100 / percent) * 1_000_000)) + 1
+
+
+def clusters(sets: DataFrame, percent: int) -> DataFrame:
     """``leader, i, j, chunk, set``: the sets of each pair of chunks of each cluster."""
-    line = Window.partitionBy("gram")
-    shared = cut(sets.where("n > 0").select("set", F.explode("grams").alias("gram"))
-                 .withColumn("low", F.min("set").over(line)).withColumn("high", F.max("set").over(line))
-                 .where("low != high").select("gram", "set", "low").distinct())
+    shared = sharing(sets, percent)
     leader = shared.groupBy("set").agg(F.min("low").alias("leader"))
-    leads = shared.join(leader, "set").select("gram", "leader").distinct()
-    members = cut(shared.select("gram", "set").join(leads, "gram").select("leader", "set").distinct())
+    leads = shared.join(leader, "set").groupBy("gram", "leader").agg(F.min("size").alias("a"), F.max("size").alias("b"))
+    close = F.col("size").between(F.col("a") - near(percent), F.col("b") + near(percent))
+    members = cut(shared.select("gram", "set", "size").join(leads, "gram").where(close).select("leader", "set").distinct())
     sizes = (members.groupBy("leader").agg(F.count("*").alias("size")).where("size > 1")
              .select("leader", F.ceil(F.col("size") / CHUNK).alias("chunks")))
     dealt = members.join(sizes, "leader").withColumn("chunk", F.pmod(F.xxhash64("set"), F.col("chunks")))
@@ -207,7 +238,7 @@ def needed_overlap(a: int, b: int, percent: int) -> int:
 
 def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: links between different sets that connect whatever is connected."""
-    dealt = cut(clusters(sets))
+    dealt = cut(clusters(sets, percent))
     one = sets.where("n > 0").groupBy("set").agg(F.min("key").alias("key"))
     wanted = dealt.select("set").distinct().join(one, "set")
     texts = (rows.select("key", "text").join(wanted, "key").groupBy("key")
