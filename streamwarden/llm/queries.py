@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import reach
-from . import decontaminate, fingerprints, language_id, mixing, ngram_join, sharding, token_counts, token_files, url_filter
+from . import decontaminate, fingerprints, language_id, mixing, ngram_join, sharding, suffix_dedup, token_counts, token_files, url_filter
 
 BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,11 @@ def op6_ngram_join(spark, sf_dir):
     return ngram_join.join(documents(spark, sf_dir))
 
 
+@query()
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.without_repeats(documents(spark, sf_dir)).drop("removed")
+
+
 @query()
 def op8_language_id(spark, sf_dir):
     return language_id.identify(documents(spark, sf_dir), public_tokenizers.path(PIECES))
