@@ -11,12 +11,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab
 from .binding import let
 
-# The line forms of a continuous query.
-PREFIX_FORM = r"PREFIX +([^:]*): +<([^>]+)>"
-REGISTER_FORM = r"REGISTER +(RStream|IStream|DStream) +<([^>]+)> AS"
-WINDOW_FORM = r"FROM +NAMED +WINDOW +([^ ]+) +ON +STREAM +([^ ]+) +\[RANGE +([^ ]+) +STEP +([^ ]+)\]"
-SELECT_FORM = r"(?i)SELECT\s*\(\s*(\w+)\s*\(\s*(?:DISTINCT\s+)?[?$](\w+)\s*\)\s*AS\s+[?$](\w+)\s*\)"
-BLOCK_FORM = r"(?:WINDOW|GRAPH)\s+(\S+?)\s*\{([^{}]*)\}"
+# Clauses of a continuous query: keywords in any case, tokens parted by any white space.
+_IRI, _NAME = r"<[^<>\s]*>", r"(?:<[^<>\s]*>|[^\s\[\]{}<>()]+)"
+PREFIX_FORM = rf"(?i)\bPREFIX\s+([\w.-]*)\s*:\s*<([^<>\s]*)>"
+REGISTER_FORM = rf"(?i)\bREGISTER\s+(RStream|IStream|DStream)\s+<([^<>\s]+)>\s+AS\b"
+WINDOW_FORM = (rf"(?i)\bFROM\s+NAMED\s+WINDOW\s+({_NAME})\s+ON\s+STREAM\s+({_NAME})\s*"
+               r"\[\s*RANGE\s+([^\s\]]+)\s+STEP\s+([^\s\]]+)\s*\]")
+SELECT_FORM = r"(?i)\bSELECT\b[^{]*?\(\s*(\w+)\s*\(\s*(?:DISTINCT\s+)?[?$](\w+)\s*\)\s*AS\s+[?$](\w+)\s*\)"
+BLOCK_FORM = rf"(?i)\b(?:WINDOW|GRAPH)\s+({_NAME})\s*\{{([^{{}}]*)\}}"
+COMMENT_FORM = r"(?m)(^|\s)#[^\n]*"
+EMIT_MODES = ("RStream", "IStream", "DStream")
 
 
 def query_hash(text) -> Column:
@@ -51,36 +55,39 @@ def unwrap(iri: Column, prefixes: Column) -> Column:
 
 
 def catalog(queries: DataFrame, text: str = "query_text") -> DataFrame:
-    """Adds hash, prefixes, emit mode, windows, aggregate, variable, patterns and focus.
+    """Adds hash, prefixes, emit mode, windows, aggregate, variable, patterns, focus and ``remainder``.
 
-    One projection per stage, so columns nobody asks for are not computed.
+    ``remainder`` is what no other column holds: SELECT items, filters, grouping, nested groups
+    and whatever was not understood. One projection per stage, so columns nobody asks for are not computed.
     """
-    lines = F.transform(F.split(F.col(text), r"\r?\n", -1), lambda x: F.trim(x))
-
-    def only(start: str) -> Column:
-        return F.array_join(F.filter("_lines", lambda x: F.startswith(x, F.lit(start))), "\n")
-
-    kept = F.filter("_lines", lambda x: ~F.startswith(x, F.lit("REGISTER")) & ~F.startswith(x, F.lit("FROM NAMED WINDOW")))
-    split = queries.withColumn("_lines", lines).select(
-        *queries.columns, query_hash(text).alias("query_hash"), prefix_map(only("PREFIX")).alias("prefixes"),
-        only("REGISTER").alias("_register"), only("FROM NAMED WINDOW").alias("_from"),
-        F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, "^WINDOW", "GRAPH")), "\n").alias("sparql"))
+    plain = F.regexp_replace(F.col(text), COMMENT_FORM, "$1")
+    split = queries.withColumn("_text", plain).select(
+        *queries.columns, "_text", query_hash(text).alias("query_hash"), prefix_map(F.col("_text")).alias("prefixes"))
+    body = F.regexp_replace(F.regexp_replace("_text", REGISTER_FORM, " "), WINDOW_FORM, " ")
+    lines = F.transform(F.split(body, r"\r?\n", -1), lambda x: F.trim(x))
+    split = split.withColumn("sparql", F.regexp_replace(
+        F.array_join(F.filter(lines, lambda x: x != ""), "\n"), rf"(?i)\bWINDOW(\s+{_NAME}\s*\{{)", "GRAPH$1"))
 
     def last(group: int, default: str) -> Column:
-        return F.coalesce(F.try_element_at(_all(F.col("_register"), REGISTER_FORM, group), F.lit(-1)), F.lit(default))
+        return F.coalesce(F.try_element_at(_all(F.col("_text"), REGISTER_FORM, group), F.lit(-1)), F.lit(default))
 
-    raw = F.arrays_zip(*[_all(F.col("_from"), WINDOW_FORM, i).alias(n)
+    mode = F.lower(last(1, "RStream"))
+    raw = F.arrays_zip(*[_all(F.col("_text"), WINDOW_FORM, i).alias(n)
                          for i, n in ((1, "w"), (2, "st"), (3, "r"), (4, "sl"))])
     windows = let(F.col("prefixes"), lambda prefixes: F.transform(raw, lambda w: F.struct(
         unwrap(w["w"], prefixes).alias("name"), unwrap(w["st"], prefixes).alias("stream"),
-        w["r"].try_cast("bigint").alias("width_ms"), w["sl"].try_cast("bigint").alias("slide_ms"))))
+        w["r"].try_cast("bigint").alias("width_ms"), w["sl"].try_cast("bigint").alias("slide_ms"),
+        F.concat_ws("~", w["r"], w["sl"]).alias("frame"))))
+    left = F.regexp_replace(F.regexp_replace("sparql", PREFIX_FORM, " "), BLOCK_FORM, " ")
     parsed = split.select(
         *[c for c in split.columns if not c.startswith("_")],
-        last(1, "RStream").alias("r2s_operator"), last(2, "undefined").alias("r2s_name"), windows.alias("windows"),
+        F.coalesce(*[F.when(mode == m.lower(), F.lit(m)) for m in EMIT_MODES]).alias("r2s_operator"),
+        last(2, "undefined").alias("r2s_name"), windows.alias("windows"),
         F.lower(F.regexp_extract("sparql", SELECT_FORM, 1)).alias("aggregate"),
         F.regexp_extract("sparql", SELECT_FORM, 2).alias("aggregate_var"),
         F.regexp_extract("sparql", SELECT_FORM, 3).alias("projection_var"),
-        let(F.col("prefixes"), lambda prefixes: _patterns(F.col("sparql"), prefixes)).alias("patterns"))
+        let(F.col("prefixes"), lambda prefixes: _patterns(F.col("sparql"), prefixes)).alias("patterns"),
+        F.trim(F.regexp_replace(left, r"\s+", " ")).alias("remainder"))
     return parsed.withColumn("focus", F.transform(
         F.filter("patterns", lambda x: x["p"].isin([f"<{p}>" for p in vocab.FOCUS_PREDICATES])),
         lambda x: F.regexp_replace(x["o"], r"^[<?]|>$", "")))
@@ -110,25 +117,53 @@ def _patterns(sparql: Column, prefixes: Column) -> Column:
     return F.flatten(F.transform(blocks, triples))
 
 
-def equivalence_key(windows: Column, patterns: Column, operator: Column, aggregate: Column,
-                    aggregate_var: Column, projection_var: Column) -> Column:
-    """Equal for queries that differ in variable, window or prefix names, pattern order or spacing.
+KEYWORDS = ("SELECT DISTINCT REDUCED AS WHERE FILTER OPTIONAL UNION MINUS BIND GROUP BY HAVING ORDER ASC DESC LIMIT OFFSET "
+            "AVG MAX MIN SUM COUNT SAMPLE GROUP_CONCAT").split()
+
+
+def understood(sparql: Column, remainder: Column) -> Column:
+    """Whether windows, patterns and remainder together say all that the text says.
+
+    Blocks have to stand directly in the one WHERE group and hold plain triples, and no
+    literal may look as if it held a variable or a brace.
+    """
+    blocks = _all(sparql, BLOCK_FORM, 2)
+
+    def plain(block: Column) -> Column:
+        stated = F.filter(F.split(block, r"\s+\.\s*|\.(?=\s|$)", -1), lambda t: F.trim(t) != "")
+        three = F.forall(stated, lambda t: F.size(F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " ", -1)) == 3)
+        return three & ~block.rlike(r"""["'();,\[\]]""")
+
+    one_group = F.size(F.split(remainder, r"\{", -1)) == 2
+    odd_literal = remainder.rlike(r"""["'][^"']*[?${}<:#][^"']*["']""") | remainder.rlike(r"""\\""")
+    return F.forall(blocks, plain) & one_group & ~odd_literal & ~remainder.rlike(r"(?i)\b(WINDOW|GRAPH|REGISTER|PREFIX|BASE|STREAM)\b")
+
+
+def equivalence_key(windows: Column, patterns: Column, operator: Column, sparql: Column, remainder: Column,
+                    prefixes: Column, text: Column) -> Column:
+    """Equal only for queries that differ in variable, window or prefix names, order, spacing or case of keywords.
 
-    Patterns are sorted by their shape before variables are numbered, so two
-    patterns of one shape may be numbered differently in two symmetric queries:
-    such queries count as different (graph isomorphism is not decided).
+    Everything else the text holds is part of the key: all SELECT items, filters, groups, conditions.
+    A text that is not wholly understood is equal to the same text alone. So the error can
+    only be a missed duplicate; patterns of one shape may be numbered differently in two symmetric queries.
     """
     def place(name: Column) -> Column:
         return let(F.get(F.filter(windows, lambda x: x["name"] == name), F.lit(0)), lambda w: F.when(
-            w.isNotNull(), F.concat_ws("~", w["stream"], w["width_ms"], w["slide_ms"])).otherwise(name))
+            w.isNotNull(), F.concat_ws("~", w["stream"], w["frame"])).otherwise(name))
 
     stated = F.transform(patterns, lambda t: F.concat_ws(" ", place(t["window"]), t["s"], t["p"], t["o"]))
     shaped = F.array_sort(F.transform(stated, lambda t: F.struct(
         F.regexp_replace(t, r"\?\w+", "?").alias("shape"), t.alias("text"))))
-    frames = F.array_sort(F.transform(windows, lambda w: F.concat_ws("~", w["stream"], w["width_ms"], w["slide_ms"])))
-    whole = F.concat_ws(
-        " | ", operator, F.array_join(frames, ","), F.array_join(F.transform(shaped, lambda x: x["text"]), " . "),
-        aggregate, F.concat(F.lit("?"), aggregate_var), F.concat(F.lit("?"), projection_var))
+    frames = F.array_sort(F.transform(windows, lambda w: F.concat_ws("~", w["stream"], w["frame"])))
+    rest = F.regexp_replace(remainder, r"\$(\w)", "?$1")
+    for word in KEYWORDS:
+        rest = F.regexp_replace(rest, rf"(?i)(?<![\w?:<\"'/#.-]){word}(?![\w:/\"'])", word)
+    rest = F.regexp_replace(F.regexp_replace(rest, r"\s*([(){}=<>!,+*/|&-])\s*", "$1"), r"\s+", " ")
+    named = F.regexp_replace(remainder, _IRI, " ").rlike(r"[\w-]*:[\w-]")
+    spaces = F.when(named, F.array_join(F.array_sort(F.transform(
+        F.map_entries(prefixes), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")).otherwise(F.lit(""))
+    whole = F.concat_ws(" | ", operator, F.array_join(frames, ","),
+                        F.array_join(F.transform(shaped, lambda x: x["text"]), " . "), rest, spaces)
 
     def numbered(text: Column) -> Column:
         names = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\?(\w+)"), F.lit(1)))
@@ -137,12 +172,14 @@ def equivalence_key(windows: Column, patterns: Column, operator: Column, aggrega
             lambda acc, v: F.regexp_replace(
                 acc, F.concat(F.lit(r"\?"), v["n"], F.lit(r"\b")), F.concat(F.lit("?#"), v["i"].cast("string"))))
 
-    return F.sha2(let(whole, numbered), 256)
+    own = F.concat(F.lit("text "), F.trim(F.regexp_replace(text, r"\s+", " ")))
+    distinct_names = F.size(F.array_distinct(F.transform(windows, lambda w: w["name"]))) == F.size(windows)
+    return F.sha2(F.when(understood(sparql, remainder) & distinct_names, let(whole, numbered)).otherwise(own), 256)
 
 
 def with_equivalence_key(queries: DataFrame, text: str = "query_text", out: str = "query_key") -> DataFrame:
     """The input columns plus the equivalence key of the query text."""
     parsed = catalog(queries, text)
     return parsed.withColumn(out, equivalence_key(
-        F.col("windows"), F.col("patterns"), F.col("r2s_operator"), F.col("aggregate"),
-        F.col("aggregate_var"), F.col("projection_var"))).select(*queries.columns, out)
+        F.col("windows"), F.col("patterns"), F.col("r2s_operator"), F.col("sparql"), F.col("remainder"), F.col("prefixes"),
+        F.col(text))).select(*queries.columns, out)

@@ -80,6 +80,34 @@ def duplicate_queries(spark, sf):
     return _checked(spark, sf).select("registration_id", "is_unique", "equivalent_to")
 
 
+# Nine forms of a query, by order key; the two last say the same as the first, and only they are its duplicates.
+_FORMS = 9
+_FORM = (
+    "concat(case o_orderkey % 9 when 8 then 'register RSTREAM <out' else 'REGISTER RStream <out' end, cast(o_orderkey as {s}), "
+    "case o_orderkey % 9 when 8 then '> as select ' else '> AS SELECT ' end, "
+    "case o_orderkey % 9 when 1 then '?s ' when 2 then '(COUNT(?v) AS ?n) ' else '' end, "
+    "case o_orderkey % 9 when 3 then '(AVG(DISTINCT ?v) AS ?r)' when 7 then '(AVG(?x) AS ?y)' when 8 then '(avg(?v) as ?r)' "
+    "else '(AVG(?v) AS ?r)' end, case o_orderkey % 9 when 8 then ' from named window' else ' FROM NAMED WINDOW' end, "
+    "' <w> ON STREAM <" + BASE + "', cast(o_custkey as {s}), '/>  [RANGE 180000 STEP 30000] WHERE {{ WINDOW <w> {{ ', "
+    "case o_orderkey % 9 when 7 then '?q <http://e/p> <http://e/heart> . ?q <http://e/v> ?x .' "
+    "when 6 then '?s <http://e/v> ?v . OPTIONAL {{ ?s <http://e/p> <http://e/heart> }}' "
+    "else '?s <http://e/v> ?v . ?s <http://e/p> <http://e/heart> .' end, ' }} ', "
+    "case o_orderkey % 9 when 4 then 'FILTER(?v > 5) ' when 5 then 'FILTER(?v > 9) ' else '' end, '}}', "
+    "case o_orderkey % 9 when 1 then ' GROUP BY ?s' else '' end)")
+
+
+@query("with f as (select *, case when o_orderkey % 9 in (0, 7, 8) then 0 else o_orderkey % 9 end form from orders), "
+       "d as (select *, first_value(o_orderkey) over (partition by o_custkey, form, case when form = 6 then o_orderkey end "
+       "order by o_orderdate, o_orderkey) f from f) "
+       "select o_orderkey registration_id, f = o_orderkey is_unique, case when f <> o_orderkey then f end equivalent_to from d")
+def duplicate_query_forms(spark, sf):
+    """Filters, grouping, further aggregates, DISTINCT and nested groups tell queries apart; names, order and case do not."""
+    rows = spread(tables.load(spark, sf, "orders")).select(
+        F.col("o_orderkey").alias("registration_id"), F.col("o_orderdate").alias("registered_at"),
+        F.expr(_FORM.format(s="string")).alias("query_text"))
+    return registry.detect_duplicates(rows).select("registration_id", "is_unique", "equivalent_to")
+
+
 @query(f"with {Q}, {_DUP} select o_orderkey registration_id, 'duplicate_query' as status from d where f <> o_orderkey")
 def duplicate_status(spark, sf):
     return delivery.duplicate_status(_checked(spark, sf)).select("registration_id", "status")
