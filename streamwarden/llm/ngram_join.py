@@ -116,7 +116,7 @@ def sharing(sets: DataFrame, percent: int) -> DataFrame:
         enough = met.groupBy("set", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
         rows = cut(met.join(enough.select("set"), "set", "left_semi"))
         now = rows.count()
-        if before is not None and now > 0.9 * before:
+        if before is not None and now >= 0.9 * before:
             return rows
         before, rows = now, rows.drop("low")
 

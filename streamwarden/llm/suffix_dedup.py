@@ -235,7 +235,7 @@ def repeats(rows: DataFrame, width: int = WIDTH, limit: int = LIMIT) -> tuple[Da
     hot = segments.where("hot").drop("hot")
     if often.where(F.col("n") > limit).isEmpty():
         return texts.select("key", "text"), spans
-    for size in CLASSES:
+    for size in [c for c in CLASSES if c == 1 or 2 * c <= width]:
         parts = cut(divided(hot, width, size))
         counts = parts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
         if size == 1:
