@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -125,13 +126,14 @@ def apply_template(triples: DataFrame, rule: Template) -> DataFrame:
     return made.where(F.col("c").isNotNull()).select("c.*").distinct()
 
 
-def fixpoint(facts: DataFrame, rules: list[Threshold | Template | Path], max_rounds: int = 50) -> DataFrame:
+def fixpoint(facts: DataFrame, rules: list[Threshold | Template | Path], max_rounds: int | None = None) -> DataFrame:
     """All triples that follow from ``facts``, the facts themselves excluded.
 
     Each round reads only what the last round added, and is written out, so the
     plan stays short and a lost executor costs one round. Threshold and template
     rules are one projection of a triple; path rules are equi joins of the new
     triples with all known ones. Facts on predicates no rule mentions are left out.
+    Rounds go on until nothing new follows; ``max_rounds`` is for callers that would rather fail.
     """
     read, made = _predicates(rules)
     wanted = facts.select("s", "p", "o")
@@ -139,7 +141,7 @@ def fixpoint(facts: DataFrame, rules: list[Threshold | Template | Path], max_rou
         wanted = wanted.where(F.col("p").isin(sorted(read | made)))
     known = cut(wanted.distinct())
     fresh, added = known, None
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         produced = _concluded(fresh, known, rules).distinct()
         stated = known.where(F.col("p").isin(sorted(made))) if made is not None else known
         fresh = cut(produced.join(stated, ["s", "p", "o"], "left_anti"))

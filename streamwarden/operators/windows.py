@@ -38,23 +38,31 @@ def _interval(ms: int) -> str:
 def window_of(ts: str, range_ms: int, step_ms: int, align_end: bool = False) -> Column:
     """Half-open windows whose starts (or ends) are multiples of the step since the epoch."""
     if range_ms < step_ms:
-        raise ValueError("range below step: use sampled_window")
+        raise ValueError("range below step: use assign or windowed")
     offset = (-range_ms) % step_ms if align_end else 0
     if range_ms == step_ms and not offset:
         return F.window(ts, _interval(range_ms))
     return F.window(ts, _interval(range_ms), _interval(step_ms), _interval(offset))
 
 
+def in_gapped_windows(df: DataFrame, ts: str, range_ms: int, step_ms: int) -> DataFrame:
+    """Rows inside windows shorter than their step: tumbled by the step as ``_w``, the first part of each kept."""
+    into = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_w.start").cast("timestamp"))
+    return df.withColumn("_w", F.window(ts, _interval(step_ms))).where(into < range_ms * 1000)
+
+
+def window_end(range_ms: int, step_ms: int) -> Column:
+    """End of the window ``_w``, which ``in_gapped_windows`` cut by steps."""
+    if range_ms >= step_ms:
+        return F.col("_w.end").alias("window_end")
+    return F.timestamp_micros(F.unix_micros(F.col("_w.start").cast("timestamp")) + range_ms * 1000).alias("window_end")
+
+
 def assign(df: DataFrame, ts: str, range_ms: int, step_ms: int, align_end: bool = False) -> DataFrame:
     """Rows with ``window_start`` and ``window_end``, one per window a row falls into."""
     if range_ms < step_ms:
-        # Gaps between windows: tumble by the step, keep the first part of each.
-        df = df.withColumn("_w", F.window(ts, _interval(step_ms))).where(
-            F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_w.start").cast("timestamp"))
-            < range_ms * 1000)
-        return df.select(*[c for c in df.columns if c != "_w"], F.col("_w.start").alias("window_start"),
-                         F.timestamp_micros(F.unix_micros(F.col("_w.start").cast("timestamp")) + range_ms * 1000)
-                         .alias("window_end"))
+        return in_gapped_windows(df, ts, range_ms, step_ms).select(
+            *df.columns, F.col("_w.start").alias("window_start"), window_end(range_ms, step_ms))
     out = df.withColumn("_w", window_of(ts, range_ms, step_ms, align_end))
     return out.select(*df.columns, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"))
 
@@ -63,9 +71,12 @@ def windowed(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs: list[Agg
              having: Column | None = None, align_end: bool = False) -> DataFrame:
     """Aggregate per window and group; only windows with a row appear."""
     names = [a.alias for a in aggs]
-    grouped = df.groupBy(window_of(ts, range_ms, step_ms, align_end).alias("_w"), *by).agg(
-        *[aggregate(a) for a in aggs])
-    out = grouped.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *by, *names)
+    if range_ms < step_ms:  # gaps between windows
+        df, window = in_gapped_windows(df, ts, range_ms, step_ms), F.col("_w")
+    else:
+        window = window_of(ts, range_ms, step_ms, align_end).alias("_w")
+    grouped = df.groupBy(window, *by).agg(*[aggregate(a) for a in aggs])
+    out = grouped.select(F.col("_w.start").alias("window_start"), window_end(range_ms, step_ms), *by, *names)
     return out.where(having) if having is not None else out
 
 
@@ -160,7 +171,7 @@ def sliding_stream(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs: li
     State holds one row per pane and per open window instead of updating every
     overlapping window for each input row. Needs a watermark on ``ts``.
     """
-    if range_ms % step_ms or range_ms == step_ms:
+    if range_ms % step_ms or range_ms <= step_ms:
         return windowed(df, ts, range_ms, step_ms, aggs, by)
     parts = _parts(aggs)
     panes = df.groupBy(F.window(ts, _interval(step_ms)).alias("_pane"), *by).agg(

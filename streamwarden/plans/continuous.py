@@ -82,11 +82,19 @@ class ContinuousQuery:
     def streams(self) -> list[str]:
         return list(dict.fromkeys(w.stream for w in self.windows))
 
-    def over_triples(self, triples: DataFrame) -> DataFrame:
-        """Results over a triples table; quads of one document share its event time."""
+    def over_triples(self, triples: DataFrame, own_documents: bool = False) -> DataFrame:
+        """Results over a triples table. A window is a graph: its patterns join across documents.
+
+        ``own_documents`` states that all triples of a subject are in one document. Patterns that
+        share their subject then join by event time, before rows are dealt to windows.
+        """
         def solutions(w: WindowSpec) -> DataFrame:
             own = triples.where(F.col("stream") == w.stream)
-            return patterns.join(own, [p[1:] for p in self.patterns if p[0] == w.name], ["event_time"])
+            stated = [p[1:] for p in self.patterns if p[0] == w.name]
+            if len(stated) == 1 or own_documents and len({p[0] for p in stated}) == 1 and stated[0][0].startswith("?"):
+                return patterns.join(own, stated, ["event_time"])
+            dealt = windows.assign(own, "event_time", w.width_ms, w.slide_ms)
+            return patterns.join(dealt, stated, ["window_start", "window_end"])
 
         return self._finish([solutions(w) for w in self.windows])
 
@@ -126,7 +134,7 @@ class ContinuousQuery:
                     df = df.withColumn(v, F.col(v).try_cast("double"))
             return df
 
-        if len(sides) == 1 and not self.subjects_repeat:
+        if len(sides) == 1 and not self.subjects_repeat and "window_start" not in sides[0].columns:
             df = ready(sides[0])
             run = windows.sliding_stream if df.isStreaming else windows.sliding
             out = run(df, "event_time", first.width_ms, first.slide_ms, list(self.aggregates), list(self.group_by))
@@ -141,8 +149,9 @@ class ContinuousQuery:
 
     def _joined(self, sides: list[DataFrame], ready) -> DataFrame:
         def solved(df: DataFrame, w: WindowSpec) -> DataFrame:
-            variables = [c for c in df.columns if c != "event_time"]
-            return windows.assign(df, "event_time", w.width_ms, w.slide_ms).select(
+            variables = [c for c in df.columns if c not in ("event_time", "window_start", "window_end")]
+            dealt = df if "window_start" in df.columns else windows.assign(df, "event_time", w.width_ms, w.slide_ms)
+            return dealt.select(
                 "window_end", *(["window_start"] if w is self.windows[0] else []), *variables).distinct()
 
         both = reduce(

@@ -158,6 +158,17 @@ def rdf_export(spark, sf):
         objects_per_line=20)
 
 
+@query("select concat('http://e/', c_custkey) s, 'http://e/m' p, 0::bigint part, concat('<http://e/', c_custkey, '> <http://e/m> "
+       "[<http://e/v> \"', c_name, '\"] .') as text from customer")
+def rdf_export_own_blanks(spark, sf):
+    """Every document calls its blank node b0; none gets another's values."""
+    docs = tables.load(spark, sf, "customer").select(
+        F.concat(F.lit("http://e/"), F.col("c_custkey").cast("string")).alias("resource_id"),
+        F.expr("concat('<http://e/', c_custkey, '> <http://e/m> _:b0 .\n_:b0 <http://e/v> \"', c_name, '\" .')").alias("body"))
+    made, _ = source.ntriples_ingest(docs)
+    return storage.export(made)
+
+
 @query("select n_name prefix, concat('http://ns.example/', n_nationkey, '#') namespace from nation "
        "union all select '', 'http://ns.example/#'")
 def prefix_table(spark, sf):

@@ -1,7 +1,7 @@
 """Registered queries: streaming runs over all input, against the batch SQL.
 
-Append mode gives a window once the watermark has passed its end, so the SQL side
-keeps the windows that end at or before the latest event (in milliseconds).
+Append mode gives a window once the watermark has passed its end. An end marker after
+the last input moves it past all windows, so a run gives what the batch form gives.
 """
 
 from __future__ import annotations
@@ -19,49 +19,78 @@ from .window_queries import _USER_SQL, bounds, user_query
 
 BASE = tables.BASE
 R, S = 60 * MINUTE, 20 * MINUTE
-CLOSED = "we <= (select epoch_us(max(ts)) // 1000 from events)"
+# Input comes in one batch here, so nothing is late; a service says how late rows may be.
+DELAY = "0 seconds"
 
 
-def observation_stream(spark, sf):
+def observation_stream(spark, sf, end=None):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ev = monitor.table_stream(spark, sf, "events.parquet")
+    if end is not None:
+        ev = ev.unionByName(end.stream())
     return ev.select(
         F.col("ts").cast("timestamp").alias("event_time"), "event_id", "user_id", "event_type", "value",
         F.round(F.col("value") * 100).cast("long").alias("cents"),
         F.concat(F.lit(tables.RESOURCE), F.col("event_id").cast("string")).alias("resource_id"))
 
 
+def end_of(spark, sf):
+    """Some of the last events, all at one time thirty years later."""
+    events = tables.load(spark, sf, "events")
+    last = events.orderBy(F.col("ts").desc(), "event_id").limit(200)
+    then = F.date_trunc("year", "ts") + F.expr("interval 30 years")
+    return monitor.EndMarker(last.withColumn("ts", then).withColumn(
+        "value", F.lit(100.0)).select(*[F.col(c).cast(t) for c, t in events.dtypes]))
+
+
 @query(f"with {win(R, S)} select ws window_start_ms, we window_end_ms, event_type, avg(cents) avg_cents, count(*) n, "
-       f"max(value) max_value from w where {CLOSED} group by all")
+       f"max(value) max_value from w group by all")
 def stream_sliding_avg(spark, sf):
+    end = end_of(spark, sf)
     aggs = [Agg("avg", "cents", "avg_cents"), Agg("count", "*", "n"), Agg("max", "value", "max_value")]
-    out = monitor.sliding(observation_stream(spark, sf), "event_time", R, S, aggs, ["event_type"])
-    return monitor.run_available(out, "sliding").select(*bounds(), "event_type", "avg_cents", "n", "max_value")
+    out = monitor.sliding(observation_stream(spark, sf, end), "event_time", R, S, aggs, ["event_type"], delay=DELAY)
+    return monitor.run_available(out, "sliding", end).select(*bounds(), "event_type", "avg_cents", "n", "max_value")
 
 
 @query(f"with {win(R, R)} select ws window_start_ms, we window_end_ms, user_id, cast(sum(cents) as bigint) total from w "
-       f"where {CLOSED} group by all")
+       "group by all")
 def stream_tumbling_sum(spark, sf):
-    out = monitor.sliding(observation_stream(spark, sf), "event_time", R, R, [Agg("sum", "cents", "total")], ["user_id"])
-    return monitor.run_available(out, "tumbling").select(*bounds(), "user_id", "total")
+    end = end_of(spark, sf)
+    out = monitor.sliding(observation_stream(spark, sf, end), "event_time", R, R, [Agg("sum", "cents", "total")], ["user_id"],
+                          delay=DELAY)
+    return monitor.run_available(out, "tumbling", end).select(*bounds(), "user_id", "total")
 
 
 _ROWS = f"with {win(R, S)}, r as (select distinct ws, we, user_id from w) "
 
 
-@query(_ROWS + f"select ws window_start_ms, we window_end_ms, user_id from r where {CLOSED} and not exists "
+@query(_ROWS + f"select ws window_start_ms, we window_end_ms, user_id from r where not exists "
        f"(select 1 from r q where q.user_id = r.user_id and q.ws = r.ws - {S})")
 def stream_istream(spark, sf):
-    out = monitor.deltas(observation_stream(spark, sf), "event_time", R, S, ["user_id"], "IStream")
-    return monitor.run_available(out, "istream").select(*bounds(), "user_id")
+    end = end_of(spark, sf)
+    out = monitor.deltas(observation_stream(spark, sf, end), "event_time", R, S, ["user_id"], "IStream", delay_ms=0)
+    return monitor.run_available(out, "istream", end).select(*bounds(), "user_id")
 
 
-@query(_ROWS + f"select ws + {S} window_start_ms, we + {S} window_end_ms, user_id from r where we + {S} <= "
-       f"(select epoch_us(max(ts)) // 1000 from events) and not exists "
+@query(_ROWS + f"select ws + {S} window_start_ms, we + {S} window_end_ms, user_id from r where not exists "
        f"(select 1 from r q where q.user_id = r.user_id and q.ws = r.ws + {S})")
 def stream_dstream(spark, sf):
-    out = monitor.deltas(observation_stream(spark, sf), "event_time", R, S, ["user_id"], "DStream")
-    return monitor.run_available(out, "dstream").select(*bounds(), "user_id")
+    end = end_of(spark, sf)
+    out = monitor.deltas(observation_stream(spark, sf, end), "event_time", R, S, ["user_id"], "DStream", delay_ms=0)
+    return monitor.run_available(out, "dstream", end).select(*bounds(), "user_id")
+
+
+_GAPS = (f"with e as (select *, (epoch_us(ts) // {2 * R * 1000}) * {2 * R} ws, round(value * 100)::bigint cents, epoch_us(ts) u "
+         f"from events), w as (select *, ws + {S} we from e where u < (ws + {S}) * 1000) ")
+
+
+@query(_GAPS + "select ws window_start_ms, we window_end_ms, event_type, count(*) n from w group by all")
+def stream_gapped_windows(spark, sf):
+    """RANGE below STEP on a stream."""
+    end = end_of(spark, sf)
+    out = monitor.sliding(observation_stream(spark, sf, end), "event_time", S, 2 * R, [Agg("count", "*", "n")], ["event_type"],
+                          delay=DELAY)
+    return monitor.run_available(out, "gapped", end).select(*bounds(), "event_type", "n")
 
 
 @query("select event_id, value from events")
@@ -72,31 +101,31 @@ def stream_gap_dedup(spark, sf):
     return monitor.run_available(out, "dedup").select("event_id", "value")
 
 
-# Spark filters before it advances the watermark, so only kept rows count as latest.
-@query(_USER_SQL + "select ws window_start_ms, we window_end_ms, k, max_o, n from r where we <= "
-       "(select epoch_us(max(ts)) // 1000 from events where value > 5.0)")
+@query(_USER_SQL + "select ws window_start_ms, we window_end_ms, k, max_o, n from r")
 def stream_continuous_query(spark, sf):
-    obs = observation_stream(spark, sf).withColumn("stream", F.lit("http://example.org/streams/all/")).withColumn(
-        "property", F.concat(F.lit(tables.PROPERTY), F.col("event_type"))).withWatermark("event_time", "0 seconds")
-    return monitor.run_available(user_query().over_observations(obs), "continuous").select(*bounds(), "k", "max_o", "n")
+    end = end_of(spark, sf)
+    obs = observation_stream(spark, sf, end).withColumn("stream", F.lit("http://example.org/streams/all/")).withColumn(
+        "property", F.concat(F.lit(tables.PROPERTY), F.col("event_type"))).withWatermark("event_time", DELAY)
+    return monitor.run_available(user_query().over_observations(obs), "continuous", end).select(*bounds(), "k", "max_o", "n")
 
 
 def _side(kind):
-    return f"select distinct ws, we, user_id from w where event_type = '{kind}' and {CLOSED}"
+    return f"select distinct ws, we, user_id from w where event_type = '{kind}'"
 
 
 @query(f"with {win(6 * HOUR, 2 * HOUR)}, a as ({_side('click')}), b as ({_side('view')}) "
        "select a.ws window_start_ms, a.we window_end_ms, user_id from a join b using (ws, we, user_id)")
 def stream_window_join(spark, sf):
-    obs = observation_stream(spark, sf)
+    end = end_of(spark, sf)
+    obs = observation_stream(spark, sf, end)
     out = monitor.joined_windows(obs.where("event_type = 'click'"), obs.where("event_type = 'view'"), ["user_id"],
-                                 "event_time", 6 * HOUR, 2 * HOUR, delay="0 seconds")
-    return monitor.run_available(out, "window-join").select(*bounds(), "user_id")
+                                 "event_time", 6 * HOUR, 2 * HOUR, delay=DELAY)
+    return monitor.run_available(out, "window-join", end).select(*bounds(), "user_id")
 
 
-def notification_stream(spark, sf):
+def notification_stream(spark, sf, end=None):
     """Messages with the event's document as body; updates are not additions."""
-    obs = observation_stream(spark, sf)
+    obs = observation_stream(spark, sf, end)
     subject = F.concat(F.lit("<"), F.col("resource_id"), F.lit(">"))
     iso = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     body = F.concat_ws(
@@ -115,8 +144,7 @@ _RULE = "case when value <= 600 then 'low' when value <= 3000 then 'usual' else
 @query("with e0 as (select * from events where event_type <> 'error' and user_id in "
        "(select c_custkey from customer where c_acctbal >= 0)), "
        + win(R, S, "e0").replace("epoch_us(ts) u", "(epoch_us(ts) // 1000) * 1000 u")
-       + f", r as (select ws, we, user_id, event_type, avg(cents) as value from w where we <= "
-         "(select epoch_us(max(ts)) // 1000 from e0) group by all) "
+       + f", r as (select ws, we, user_id, event_type, avg(cents) as value from w group by all) "
          f"select ws window_start_ms, we window_end_ms, concat('{BASE}', user_id, '/', event_type, '/') stream, value, "
          f"concat('{vocab.EX}', {_RULE}) derived_o from r")
 def stream_live_alerts(spark, sf):
@@ -124,9 +152,10 @@ def stream_live_alerts(spark, sf):
     kinds = F.array(*[F.lit(k) for k in ("click", "view", "signup", "purchase", "error")])
     grants = tables.load(spark, sf, "customer").where("c_acctbal >= 0").select("c_custkey", F.explode(kinds).alias("kind")).select(
         F.concat(tables.user_url("c_custkey"), F.lit("derived/"), "kind").alias("resource"))
-    observed = monitor.observations_of(notification_stream(spark, sf), grants)
+    end = end_of(spark, sf)
+    observed = monitor.observations_of(notification_stream(spark, sf, end), grants)
 
     rule_list = rules.threshold_rules([(None, 600.0, vocab.EX + "low"), (600.0, 3000.0, vocab.EX + "usual"),
                                        (3000.0, None, vocab.EX + "high")])
-    out = monitor.alerts(observed, R, S, rule_list, ["stream"])
-    return monitor.run_available(out, "alerts").select(*bounds(), "stream", "value", "derived_o")
+    out = monitor.alerts(observed, R, S, rule_list, ["stream"], delay=DELAY)
+    return monitor.run_available(out, "alerts", end).select(*bounds(), "stream", "value", "derived_o")

@@ -215,7 +215,36 @@ def continuous_query_table(spark, sf):
 @query(_USER_SQL + "select ws window_start_ms, we window_end_ms, k, max_o, n from r")
 def continuous_query_triples(spark, sf):
     triples = triple_source.observations_to_triples(_one_stream(spark, sf))
-    return user_query().over_triples(triples).select(*bounds(), "k", "max_o", "n")
+    return user_query().over_triples(triples, own_documents=True).select(*bounds(), "k", "max_o", "n")
+
+
+@query(f"with {win(R, S)}, a as (select distinct ws, we, user_id, value from w where event_type = 'click'), "
+       "b as (select distinct ws, we, user_id from w where event_type = 'view') "
+       "select ws window_start_ms, we window_end_ms, max(value) max_o, count(*) n from a join b using (ws, we, user_id) group by all")
+def continuous_query_across_documents(spark, sf):
+    """A value in one document and a property of the same subject in another, at any times of one window."""
+    events = _one_stream(spark, sf)
+    user = F.concat(F.lit("http://example.org/user/"), F.col("user_id").cast("string"))
+    stated = events.where("event_type in ('click', 'view')").select(
+        "stream", "event_time", user.alias("s"),
+        F.when(F.col("event_type") == "click", F.lit(vocab.HAS_VALUE)).otherwise(F.lit(vocab.RELATES_TO)).alias("p"),
+        F.when(F.col("event_type") == "click", F.col("value").cast("string")).otherwise(F.lit("seen")).alias("o"))
+    w = WindowSpec("http://example.org/w1", "http://example.org/streams/all/", R, S)
+    q = ContinuousQuery("across", (w,), ((w.name, "?s", vocab.HAS_VALUE, "?o"), (w.name, "?s", vocab.RELATES_TO, "seen")),
+                        (Agg("max", "o", "max_o"), Agg("count", "o", "n")))
+    return q.over_triples(stated).select(*bounds(), "max_o", "n")
+
+
+_GAPPED = (f"with e as (select *, (epoch_us(ts) // {2 * R * 1000}) * {2 * R} ws, round(value * 100)::bigint cents, epoch_us(ts) u "
+           f"from events), w as (select *, ws + {S} we from e where u < (ws + {S}) * 1000) ")
+
+
+@query(_GAPPED + "select ws window_start_ms, we window_end_ms, event_type, avg(cents) avg_cents, count(*) n from w group by all")
+def window_avg_gapped(spark, sf):
+    """RANGE below STEP: rows between two windows belong to none."""
+    aggs = [Agg("avg", "cents", "avg_cents"), Agg("count", "*", "n")]
+    out = windows.sliding(tables.observations(spark, sf), "event_time", S, 2 * R, aggs, ["event_type"])
+    return out.select(*bounds(), "event_type", "avg_cents", "n")
 
 
 @query(_USER_SQL + f"select ws window_start_ms, we window_end_ms, k, max_o, n from r where not exists (select 1 "

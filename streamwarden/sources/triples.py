@@ -35,7 +35,10 @@ def ntriples_lines(docs: DataFrame, text: str = "body") -> DataFrame:
 
 
 def ntriples_ingest(docs: DataFrame, text: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(triples, quarantine). Keeps the other columns; lines that are no triple are set aside."""
+    """(triples, quarantine). Keeps the other columns; lines that are no triple are set aside.
+
+    Labels of blank nodes hold inside one document, so with a ``resource_id`` they are made unique by it.
+    """
     lines = ntriples_lines(docs, text)
     kept = [c for c in lines.columns if c != "line"]
     # One regex pass: a statement becomes its groups, one per line. A line has no
@@ -43,10 +46,21 @@ def ntriples_ingest(docs: DataFrame, text: str = "body") -> tuple[DataFrame, Dat
     groups = "\n".join(f"${i}" for i in range(1, 9))
     marked = lines.withColumn("_parts", F.split(F.regexp_replace("line", literals.TRIPLE_LINE, groups), "\n", -1))
     whole = F.size("_parts") == 8
-    return marked.where(whole).select(*kept, *_terms(F.col("_parts"))), marked.where(~whole).select(
+    made = marked.where(whole).select(*kept, *_terms(F.col("_parts")))
+    if "resource_id" in kept:
+        made = scoped(made)
+    return made, marked.where(~whole).select(
         *kept, "line", F.lit("not a triple").alias("reason"))
 
 
+def scoped(triples: DataFrame) -> DataFrame:
+    """Blank labels with a hash of their document, so that equal labels of two documents differ."""
+    def own(term: str) -> Column:
+        return F.when(F.col(f"{term}_kind") == "blank", F.concat_ws("-", term, F.md5("resource_id"))).otherwise(F.col(term))
+
+    return triples.withColumns({"s": own("s"), "o": own("o")})
+
+
 def tolerant_read(docs: DataFrame, text: str = "body", media_type: str = "content_type",
                   status: str = "status", accepted: str = "text/turtle") -> tuple[DataFrame, DataFrame]:
     """(readable, quarantine): one faulty document never stops the rest.
@@ -75,7 +89,7 @@ def read_text_documents(spark, path: str, pattern: str = "*.nt") -> DataFrame:
 
 def _first_object(body: Column, predicate: str) -> Column:
     """Object of the first statement with this predicate in a document; one regex pass."""
-    pattern = (r"(?m)^\s*(?:<[^>]*>|_:\S+)\s*<" + predicate.replace(".", r"\.")
+    pattern = (r"(?m)^\s*(?:<[^>]*>|_:\S+)\s*<" + r"\Q" + predicate + r"\E"
                + r">\s*(<[^>]*>|" + literals.STRING.replace("(", "(?:", 1) + r")")
     term = F.regexp_extract(body, pattern, 1)
     inside = F.substr(term, F.lit(2), F.length(term) - 2)

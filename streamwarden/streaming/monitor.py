@@ -6,6 +6,7 @@ batch that runs again replaces itself. State and progress live in the checkpoint
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,8 +17,6 @@ from ..session import scratch_path
 from ..sinks import delivery
 from ..sources import live, triples
 
-DEFAULT_DELAY = "0 seconds"
-
 
 def start(df: DataFrame, path: str, checkpoint: str, mode: str = "append", available_now: bool = False,
           every: str | None = None) -> StreamingQuery:
@@ -30,9 +29,11 @@ def start(df: DataFrame, path: str, checkpoint: str, mode: str = "append", avail
     return writer.start()
 
 
-def run_available(df: DataFrame, label: str = "stream") -> DataFrame:
+def run_available(df: DataFrame, label: str = "stream", at_end: Callable[[], None] | None = None) -> DataFrame:
     """Process all input there is, then give the written rows as a batch.
 
+    Windows still open at the end only come out if ``at_end`` adds rows far ahead (see
+    ``EndMarker``): it is called after the input, and the run goes on from its checkpoint.
     State partitions are fixed when a query starts; more of them than cores would
     only add small state files to every batch.
     """
@@ -43,6 +44,9 @@ def run_available(df: DataFrame, label: str = "stream") -> DataFrame:
     spark.conf.set(setting, str(min(int(before), max(1, spark.sparkContext.defaultParallelism))))
     try:
         start(df, path, checkpoint, available_now=True).awaitTermination()
+        if at_end is not None:
+            at_end()
+            start(df, path, checkpoint, available_now=True).awaitTermination()
     finally:
         spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -54,7 +58,7 @@ def late_rows(query: StreamingQuery) -> int:
 
 
 def without_repeats(df: DataFrame, ts: str = "event_time", key: str = "resource_id",
-                    delay: str = DEFAULT_DELAY) -> DataFrame:
+                    *, delay: str) -> DataFrame:
     """Each resource once, though history, gap and live input may overlap.
 
     Repeats are found within ``delay`` of each other, which bounds the state.
@@ -63,14 +67,17 @@ def without_repeats(df: DataFrame, ts: str = "event_time", key: str = "resource_
 
 
 def sliding(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs: list[windows.Agg], by: list[str] = (),
-            delay: str | None = DEFAULT_DELAY) -> DataFrame:
-    """RStream of a sliding window: closed windows only. ``delay`` None keeps an earlier watermark."""
+            *, delay: str | None) -> DataFrame:
+    """RStream of a sliding window: closed windows only. ``delay`` None keeps an earlier watermark.
+
+    Rows later than ``delay`` behind the newest are dropped, so the caller has to say how late rows may come.
+    """
     marked = df.withWatermark(ts, delay) if delay is not None else df
     return windows.sliding_stream(marked, ts, range_ms, step_ms, aggs, by)
 
 
 def deltas(df: DataFrame, ts: str, range_ms: int, step_ms: int, row: list[str], mode: str,
-           delay_ms: int = 0) -> DataFrame:
+           *, delay_ms: int) -> DataFrame:
     """IStream or DStream of the distinct rows of a window.
 
     Rows are also entered one step later, so the watermark waits a step longer.
@@ -80,7 +87,7 @@ def deltas(df: DataFrame, ts: str, range_ms: int, step_ms: int, row: list[str],
 
 
 def joined_windows(left: DataFrame, right: DataFrame, shared: list[str], ts: str, range_ms: int, step_ms: int,
-                   delay: str = DEFAULT_DELAY) -> DataFrame:
+                   *, delay: str) -> DataFrame:
     """Two named windows of one shape, joined on the window and all shared variables.
 
     Each side is first reduced to its distinct solutions per window.
@@ -102,9 +109,9 @@ def observations_of(notifications: DataFrame, grants: DataFrame) -> DataFrame:
 
 
 def alerts(observations: DataFrame, range_ms: int, step_ms: int, rule_list: list, by: list[str],
-           delay: str = DEFAULT_DELAY) -> DataFrame:
+           *, delay: str) -> DataFrame:
     """Window averages of the observations and what the rules derive from them."""
-    averages = sliding(observations, "event_time", range_ms, step_ms, [windows.Agg("avg", "value", "value")], by, delay)
+    averages = sliding(observations, "event_time", range_ms, step_ms, [windows.Agg("avg", "value", "value")], by, delay=delay)
     return rules.apply_thresholds(averages, rule_list)
 
 
@@ -167,6 +174,23 @@ def union_of(streams: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, streams)
 
 
+class EndMarker:
+    """A stream of its own that stays empty until the end of the input, then holds rows of a far later time.
+
+    They move the watermark past every window of the real rows and are in no window that closes.
+    """
+
+    def __init__(self, rows: DataFrame, label: str = "end"):
+        self.rows, self.path = rows, scratch_path(rows.sparkSession, label)
+        rows.limit(0).write.parquet(self.path)
+
+    def stream(self) -> DataFrame:
+        return self.rows.sparkSession.readStream.schema(self.rows.schema).parquet(self.path)
+
+    def __call__(self) -> None:
+        self.rows.write.mode("append").parquet(self.path)
+
+
 def table_stream(spark: SparkSession, folder: str, table: str, max_files: int | None = None) -> DataFrame:
     """A stored table as a stream.
 

@@ -38,7 +38,7 @@ def test_live_alerts_are_delivered_and_equal_the_batch_result(spark, tmp_path):
     grants = spark.createDataFrame([("http://h/alice/derived/acc-x", "m")], "resource string, agent string")
     observed = monitor.observations_of(live.notification_stream(spark, str(inbox), max_files=1), grants)
     rule_list = rules.threshold_rules([(None, 10.0, "calm"), (10.0, None, "busy")])
-    out = monitor.alerts(observed, MINUTE, MINUTE, rule_list, ["stream"]).withColumn("query_hash", F.lit("q"))
+    out = monitor.alerts(observed, MINUTE, MINUTE, rule_list, ["stream"], delay="0 seconds").withColumn("query_hash", F.lit("q"))
 
     subs = str(tmp_path / "subs")
     spark.createDataFrame([("q", "c1"), ("q", "c2")], "query_hash string, subscriber string").write.parquet(subs)
@@ -119,7 +119,7 @@ def test_late_rows_are_counted(spark, tmp_path):
     for s in ([0, 500], [600], [1]):
         spark.createDataFrame([(at(x), 1.0) for x in s], schema).coalesce(1).write.mode("append").parquet(folder)
     df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = monitor.sliding(df, "event_time", MINUTE, MINUTE, [Agg("count", "*", "n")])
+    out = monitor.sliding(df, "event_time", MINUTE, MINUTE, [Agg("count", "*", "n")], delay="0 seconds")
     q = monitor.start(out, str(tmp_path / "o"), str(tmp_path / "c"), available_now=True)
     q.awaitTermination()
     assert monitor.late_rows(q) == 1
