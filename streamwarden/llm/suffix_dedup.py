@@ -28,12 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.skew import sized
 from ..session import cut
 from .common import _BYTE, _powers, mix, picked, slices, text_key
 
 WIDTH = 400
 LIMIT = 2_000
-BATCH = 8_000  # segments sorted at once
+BATCH = 4_000  # segments sorted at once
 CLASSES = (64, 8, 1)
 
 
@@ -157,7 +158,7 @@ def sort_segments(segments: DataFrame, width: int) -> DataFrame:
     """``key, begin, end`` of repeats; every ``gram`` has at most ``LIMIT`` rows."""
     def sorted_columns(batches):
         held = []
-        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        rows = few_at_once(batches, "gram", "key", "first", "place", "bytes")
         for _, group in groupby(rows, key=lambda r: r[0]):
             group = list(group)
             if len(group) < 2:
@@ -175,7 +176,7 @@ def sort_segments(segments: DataFrame, width: int) -> DataFrame:
 def divided(segments: DataFrame, width: int, size: int) -> DataFrame:
     """The segments cut into classes of ``size`` neighbouring windows, keyed by the bytes all of a class share."""
     def cut_up(batches):
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             out = []
             for gram, key, first, place, data in zip(*(c.to_pylist() for c in batch.columns)):
                 last = place + len(data) - width  # window columns relative to the anchor: place..last
@@ -204,31 +205,34 @@ def repeats(rows: DataFrame, width: int = WIDTH, limit: int = LIMIT) -> tuple[Da
                 at = np.searchsorted(t, np.arange(last - first + 1))
                 for values, part in zip(runs, parts):
                     part += [values[a:b] for a, b in zip(at, at[1:])]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), *[pa.array(p, pa.list_(pa.int64())) for p in parts]],
+                [batch.column("key"), *[pa.array([v.astype(k.to_pandas_dtype()) for v in p], pa.list_(k))
+                                        for k, p in zip(kinds, parts)]],
                 names=["key", "gram", "first", "last", "place"])
 
     long = rows.where(F.octet_length("text") >= width)
-    runs = long.mapInArrow(marked, "key binary, gram array<long>, first array<long>, last array<long>, place array<long>")
-    each = cut(runs.select("key", F.inline(F.arrays_zip("gram", "first", "last", "place"))).distinct())
+    runs = long.mapInArrow(marked, "key binary, gram array<long>, first array<int>, last array<int>, place array<int>")
+    once = cut(runs.groupBy("key").agg(*[F.first(c).alias(c) for c in ("gram", "first", "last", "place")]))
+    each = once.select("key", F.inline(F.arrays_zip("gram", "first", "last", "place")))
     often = each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     marks = (each.join(often, "gram").groupBy("key")
              .agg(F.collect_list(F.struct("gram", "first", "last", "place", (F.col("n") > limit).alias("hot"))).alias("marks")))
-    texts = cut(long.join(marks.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-                .join(marks, "key"))
+    marks = cut(marks)
+    wanted = sized(marks.select("key"))  # keys alone; beyond a counted size the texts are shuffled instead
+    texts = cut(long.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(marks, "key"))
 
     def emitted(batches):
-        for batch in batches:
-            out = []
-            for key, text, marks_ in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "marks"))):
-                data = text.encode()
-                for m in marks_:
-                    out.append((m["gram"].to_bytes(8, "little", signed=True), key, m["first"], m["first"] - m["place"],
-                                data[m["first"]:m["last"] + width], m["hot"]))
-                    if len(out) == 4096:
-                        yield _segment_batch(out)
-                        out = []
-            yield _segment_batch(out)
+        out = []
+        for key, text, found in few_at_once(batches, "key", "text", "marks"):
+            data = text.encode()
+            for m in found:
+                out.append((m["gram"].to_bytes(8, "little", signed=True), key, m["first"], m["first"] - m["place"],
+                            data[m["first"]:m["last"] + width], m["hot"]))
+                if len(out) == 2048:
+                    yield _segment_batch(out)
+                    out = []
+        yield _segment_batch(out)
 
     segments = texts.mapInArrow(emitted, SEGMENT + ", hot boolean")
     spans = sort_segments(segments.where("not hot").drop("hot"), width)
@@ -242,12 +246,20 @@ def repeats(rows: DataFrame, width: int = WIDTH, limit: int = LIMIT) -> tuple[Da
             seen = parts.join(counts, "gram")
             spans = spans.union(seen.select("key", F.col("first").alias("begin"), (F.col("first") + width).alias("end")))
             break
-        sized = parts.join(counts, "gram")
-        spans = spans.union(sort_segments(sized.where(F.col("n") <= limit).drop("n"), width))
-        hot = sized.where(F.col("n") > limit).drop("n")
+        counted = parts.join(counts, "gram")
+        spans = spans.union(sort_segments(counted.where(F.col("n") <= limit).drop("n"), width))
+        hot = counted.where(F.col("n") > limit).drop("n")
     return texts.select("key", "text"), spans
 
 
+def few_at_once(batches, *columns: str):
+    """Rows of the named columns as Python values, a few at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 64):
+            part = batch.slice(first, 64)
+            yield from zip(*(part.column(c).to_pylist() for c in columns))
+
+
 def _segment_batch(out: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)],
@@ -273,23 +285,21 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, limit: int = LIMIT, id:
     each = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
     def removed(batches):
-        for batch in batches:
-            out = []
-            for key, text, found in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "spans"))):
-                data, runs = text.encode(), []
-                for s in found:
-                    if runs and s["begin"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s["end"])
-                    else:
-                        runs.append([s["begin"], s["end"]])
-                kept, at = hashlib.sha256(), 0
-                for a, b in runs:
-                    kept.update(data[at:a])
-                    at = b
-                kept.update(data[at:])
-                out.append((key, sum(b - a for a, b in runs), len(runs), kept.hexdigest(), runs))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)],
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
+        for key, text, found in few_at_once(batches, "key", "text", "spans"):
+            data, runs = text.encode(), []
+            for s in found:
+                if runs and s["begin"] <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], s["end"])
+                else:
+                    runs.append([s["begin"], s["end"]])
+            kept, at = hashlib.sha256(), 0
+            for a, b in runs:
+                kept.update(data[at:a])
+                at = b
+            kept.update(data[at:])
+            row = key, sum(b - a for a, b in runs), len(runs), kept.hexdigest(), runs
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)],
                                              names=["key", "n_removed", "n_spans", "kept", "runs"])
 
     single = (texts.join(each, "key").join(copied.select("key"), "key", "left_anti")
