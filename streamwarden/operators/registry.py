@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import query_text
 from ..session import cut
@@ -59,5 +59,22 @@ def remove_first(items: DataFrame, gone: DataFrame, keys: list[str], order: list
 
 
 def cleared(items: DataFrame) -> DataFrame:
-    """The registry after removing everything; write it with mode overwrite."""
+    """The registry after removing everything; write it with mode overwrite, or use ``clear``."""
     return items.limit(0)
+
+
+def clear(spark: SparkSession, path: str) -> DataFrame:
+    """Empties the registry stored at ``path``, keeping its columns; gives what is there afterwards."""
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def answered(checked: DataFrame, results: DataFrame, id_: str = "registration_id", limit: int = skew.GROUP_LIMIT) -> DataFrame:
+    """Stored results for every registration: its own, or those of the equal query that ran before.
+
+    ``checked`` is what ``detect_duplicates`` gives; ``results`` has ``id_`` and the result columns. A
+    registration whose query has no result yet gives no row.
+    """
+    wanted = checked.select(F.col(id_).alias("asked_by"), F.coalesce("equivalent_to", id_).alias(id_))
+    return skew.salted_join(wanted, results, [id_], limit=limit)

@@ -15,6 +15,7 @@ from ..session import cut
 
 GROUP_LIMIT = 2_000_000
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 128 << 20
 _OFFSET_BITS = 33
 
 
@@ -27,17 +28,20 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, keep: bool = False) -> DataFrame:
-    """Broadcast hint only when a count proves the side small; else unchanged.
+    """Broadcast hint only when counts of rows and bytes prove the side small; else unchanged.
 
-    The count stops at ``max_rows + 1``. ``keep`` writes the side out first, for one
-    that is costly to compute twice. Streaming frames are never hinted.
+    The row count stops at ``max_rows + 1``; only a side within it is measured in bytes. ``keep`` writes
+    the side out first, for one that is costly to compute twice. Streaming frames are never hinted.
     """
     if df.isStreaming:
         return df
     if keep:
         df = cut(df)
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    if df.limit(max_rows + 1).count() > max_rows:
+        return df
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    size = df.agg(F.sum(F.octet_length(whole).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
@@ -164,24 +168,22 @@ def next_value(df: DataFrame, keys: list[str], order: list[str], value: str, out
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-                limit: int = GROUP_LIMIT, salts: int = 64) -> DataFrame:
+                limit: int = GROUP_LIMIT) -> DataFrame:
     """Equi join whose left side may have hot keys.
 
-    Hot left rows are spread over ``salts`` sub-keys; the right rows of just those
-    keys are repeated once per sub-key. Exact for inner, left, left_semi and
+    Left rows of a hot key are spread over one sub-key for each ``limit`` of them; the right rows of
+    just those keys are repeated once per sub-key. Exact for inner, left, left_semi and
     left_anti, where each left row meets all its partners exactly once.
     """
-    hot = hot_keys(left, on, limit)
-    if hot is None:
+    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    hot = cut(hot.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")))
+    if hot.isEmpty():
         return left.join(right, on, how)
-    flag = hot.withColumn("_hot", F.lit(True))
-    cols = left.columns
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salts)).cast("int")
-    salted_left = left.join(sized(flag), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
-    salted_right = right.join(sized(flag), on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                           .otherwise(F.array(F.lit(0))))).drop("_hot")
+    flag = sized(hot)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.col("_salts")).cast("int")
+    salted_left = left.join(flag, on, "left").withColumn("_salt", F.coalesce(spread, F.lit(0))).drop("_salts")
+    salted_right = right.join(flag, on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 

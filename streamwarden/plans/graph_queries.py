@@ -95,15 +95,14 @@ def ntriples_quarantine(spark, sf):
     return bad.groupBy("doc_id").agg(F.count("*").alias("bad_lines"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("select 'bad' as state, case when url is null then 'not found' when html is null or html = '' then 'empty' "
-       "else 'wrong media type' end reason, count(*) n from pages where html is null or html = '' or "
-       "not starts_with(html, '@prefix') group by all union all "
-       "select 'good', '', count(*) from pages where starts_with(html, '@prefix') having count(*) > 0")
+@query("with p as (select case when page_id % 7 = 0 then 'not found' when page_id % 5 = 0 then 'wrong media type' "
+       "when html is null or html = '' then 'empty' end reason from pages) "
+       "select case when reason is null then 'good' else 'bad' end as state, coalesce(reason, '') reason, count(*) n from p group by all")
 def tolerant_resource_read(spark, sf):
     pages = tables.load(spark, sf, "pages").select(
         "page_id", F.col("html").alias("body"),
-        F.when(F.startswith("html", F.lit("@prefix")), F.lit("text/turtle")).otherwise(F.lit("text/html")).alias("content_type"),
-        F.when(F.col("url").isNotNull(), F.lit(200)).otherwise(F.lit(404)).alias("status"))
+        F.when(F.col("page_id") % 5 != 0, F.lit("text/turtle")).otherwise(F.lit("text/html")).alias("content_type"),
+        F.when(F.col("page_id") % 7 != 0, F.lit(200)).otherwise(F.lit(404)).alias("status"))
     good, bad = source.tolerant_read(pages)
     return bad.groupBy("reason").agg(F.count("*").alias("n")).withColumn("state", F.lit("bad")).unionByName(
         good.agg(F.count("*").alias("n")).where("n > 0").withColumn("state", F.lit("good")).withColumn("reason", F.lit("")))

@@ -8,7 +8,7 @@ from .. import vocab
 from ..functions import query_text
 from ..operators import access, discovery, registry, windows
 from ..operators.windows import Agg
-from ..session import spread
+from ..session import scratch_path, spread
 from ..sinks import annotation, audit, delivery
 from . import storage_queries, tables
 from .registered import query, win
@@ -131,9 +131,28 @@ def registry_remove(spark, sf):
     return registry.remove_first(items, gone, ["item"], ["seq"])
 
 
-@query("select o_orderkey registration_id from orders where false")
+@query("select count(*) stored, 0::bigint left_after, 3::bigint columns from orders")
 def registry_cleared(spark, sf):
-    return registry.cleared(registrations(spark, sf)).select("registration_id")
+    """A stored registry is emptied in place and read back."""
+    path = scratch_path(spark, "registry")
+    registrations(spark, sf).select("registration_id", "registered_at", "o_custkey").write.parquet(path)
+    before = spark.read.parquet(path).count()
+    after = registry.clear(spark, path)
+    return after.agg(F.lit(before).alias("stored"), F.count("*").alias("left_after"),
+                     F.lit(len(after.columns)).cast("long").alias("columns"))
+
+
+@query(f"with {Q}, {_DUP}, r as (select l_orderkey, l_linenumber, l_partkey from lineitem join d on o_orderkey = l_orderkey "
+       "where f = o_orderkey) select o_orderkey asked_by, l_orderkey registration_id, l_linenumber::int line, l_partkey part "
+       "from d join r on r.l_orderkey = d.f")
+def duplicate_gets_stored_results(spark, sf):
+    """Only first registrations ran and stored results; a duplicate is answered from them."""
+    checked = _checked(spark, sf)
+    ran = registry.executing(checked).select("registration_id")
+    results = tables.load(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("registration_id"), F.col("l_linenumber").cast("int").alias("line"),
+        F.col("l_partkey").alias("part")).join(ran, "registration_id", "left_semi")
+    return registry.answered(checked, results).select("asked_by", "registration_id", "line", "part")
 
 
 @query(f"with {Q} select {HASH} query_hash, o_orderkey registration_id from q where o_orderstatus = 'F'")

@@ -127,10 +127,14 @@ def bucket_count(spark, sf):
     return buckets.counts(buckets.assign(_members(spark, sf), _signup_buckets(spark, sf)))
 
 
-@query(f"with {_ASOF} select distinct stream, bucket from a where bucket is not null")
+@query(f"select distinct concat('{BASE}', user_id, '/') stream, concat('{BASE}', user_id, '/b', event_id, '/') bucket "
+       "from events where event_type = 'signup'")
 def bucket_exists(spark, sf):
-    used = buckets.assign(_members(spark, sf), _signup_buckets(spark, sf)).select("stream", "bucket").distinct()
-    return buckets.exists(used, _signup_buckets(spark, sf))
+    """Candidates are named after every event, and once more under another stream; only sign-ups opened a bucket."""
+    obs = tables.observations(spark, sf)
+    named = obs.select("stream", F.concat("stream", F.lit("b"), F.col("event_id").cast("string"), F.lit("/")).alias("bucket"))
+    elsewhere = named.select(F.lit(BASE + "none/").alias("stream"), "bucket")
+    return buckets.exists(named.unionByName(elsewhere), _signup_buckets(spark, sf))
 
 
 def _daily_members(spark, sf):

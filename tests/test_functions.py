@@ -128,3 +128,36 @@ def test_string_escapes_round_trip(spark):
 def test_numbers(spark):
     assert one(spark, "-22.0", literals.number) == -22.0
     assert one(spark, "Date", literals.number) is None
+
+
+BASE_QUERY = ("REGISTER RStream <out> AS SELECT {select} FROM NAMED WINDOW <w> ON STREAM <http://s/> [RANGE 10 STEP 5] "
+              "WHERE {{ WINDOW <w> {{ ?s <http://v> ?o . ?s <http://k> ?k . {block} }} {filter} }} {end}")
+
+
+def keys_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, query_text string")
+    out = query_text.with_equivalence_key(df).orderBy("i").collect()
+    return [r["query_key"] for r in out]
+
+
+def test_different_queries_have_different_keys(spark):
+    def q(select="(MAX(?o) AS ?m)", block="", filter="", end=""):
+        return BASE_QUERY.format(select=select, block=block, filter=filter, end=end)
+
+    texts = [q(), q(filter="FILTER(?o > 5)"), q(filter="FILTER(?o > 9)"), q(end="HAVING(?m > 3)"), q(end="GROUP BY ?k"),
+             q("?k (MAX(?o) AS ?m)", end="GROUP BY ?k"), q("?k (MIN(?o) AS ?m)", end="GROUP BY ?k"), q("(MAX(?o) AS ?m) (COUNT(?o) AS ?n)"),
+             q("(COUNT(?o) AS ?m)"), q("(COUNT(DISTINCT ?o) AS ?m)"), q("(MAX(?k) AS ?m)"), q(block="OPTIONAL { ?s <http://z> ?z }"),
+             q(filter="FILTER(?k = \"?o\")"), q(filter="FILTER(?k = \"?x\")"), q(filter="OPTIONAL { WINDOW <w> { ?s <http://z> ?z } }"),
+             q().replace("STEP 5", "STEP five"), q().replace("STEP 5", "STEP six"), q(filter="FILTER(x:f(?o))"),
+             "PREFIX x: <http://a/> " + q(filter="FILTER(x:f(?o))"), "PREFIX x: <http://b/> " + q(filter="FILTER(x:f(?o))"),
+             q().replace("RStream", "IStream"), q(end="LIMIT 3"), q("DISTINCT ?o")]
+    keys = keys_of(spark, texts)
+    assert len(set(keys)) == len(texts)
+
+
+def test_same_query_in_another_form_has_the_same_key(spark):
+    one = BASE_QUERY.format(select="(MAX(?o) AS ?m)", block="", filter="FILTER(?o > 5)", end="GROUP BY ?k")
+    two = ("# a comment\nregister   rstream <other> as\nselect ( max(?a) as ?b )\nfrom named window <win> on stream <http://s/>\n"
+           "[ range 10 step 5 ] where {\n window <win> { ?x <http://k> ?y . $x <http://v> $a } filter ( ?a > 5 ) } group by ?y")
+    three = one.replace("<http://v>", "v:").replace("<http://k>", "p:k").replace("REGISTER", "PREFIX v: <http://v> PREFIX p: <http://> REGISTER")
+    assert len(set(keys_of(spark, [one, two, three]))) == 1
