@@ -74,9 +74,12 @@ def training_table(spark: SparkSession) -> DataFrame:
 def grams(text: str, tag: str) -> Column:
     """Character n-grams of a column with its bounds marked, each with the column's tag."""
     marked = F.concat(F.lit("^"), F.col(text), F.lit("$"))
-    lists = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - n + 1)),
-                         lambda i, n=n: F.concat(F.lit(tag), marked.substr(i, F.lit(n)))) for n in GRAMS]
-    return F.when(F.length(text) > 0, F.concat(*lists)).otherwise(F.array().cast("array<string>"))
+
+    def of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - n + 1))
+        return F.transform(places, lambda i: F.concat(F.lit(tag), marked.substr(i, F.lit(n))))
+
+    return F.when(F.length(text) > 0, F.concat(*map(of, GRAMS))).otherwise(F.array().cast("array<string>"))
 
 
 def featured(rows: DataFrame) -> DataFrame:
@@ -88,7 +91,7 @@ def featured(rows: DataFrame) -> DataFrame:
 def fit(training: DataFrame):
     """The regression; ``training`` is a small table with ``url`` and ``label``."""
     rows = featured(parsed(training.coalesce(1)))
-    return LogisticRegression(maxIter=60, regParam=0.001, standardization=False).fit(rows.select("features", "label"))
+    return LogisticRegression(maxIter=100, regParam=1e-4, standardization=False).fit(rows.select("features", "label"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], training: DataFrame | None = None,
