@@ -46,6 +46,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make):
+    """What a worker keeps between its tasks, made once. It keeps one such thing: another key takes the place of the last."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Frees what another operator kept in this worker."""
+    _HELD.clear()
+
+
+def parts(batches, rows: int = 1000):
+    """Record batches in pieces of a bounded number of rows."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 @lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_R), -1, 1 << 64))

@@ -17,15 +17,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import picked
+from .common import held, parts, picked
 
-CACHE = 400_000
+CACHE = 300_000
 CACHED_CHARS = 64
 UNDETERMINED = "und"
 _MARK = "▁"
 _SCALE = 7.0  # nats added per letter while summing, so that long words stay in range
 _LETTER = regex.compile(r"\p{L}")
-_MODELS: dict[str, "Scorer"] = {}
 
 
 @lru_cache(maxsize=2)
@@ -167,7 +166,7 @@ def fit(docs: DataFrame, path: str, per_language: int = 400, smoothing: float =
 
         def counted(batches):
             _, own = _pieces(path)
-            for batch in batches:
+            for batch in parts(batches):
                 seen = Counter()
                 for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     for part in own.encode([" ".join(words(text))], num_threads=1):
@@ -191,14 +190,6 @@ def fit(docs: DataFrame, path: str, per_language: int = 400, smoothing: float =
     return {"path": path, "langs": langs, "log_p": log_p, "floor": floor}
 
 
-def scorer(key: str, model: dict) -> Scorer:
-    """The scorer of this worker process; it keeps one model at a time."""
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Scorer(**model)
-    return _MODELS[key]
-
-
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, which depend on the text alone.
 
@@ -207,12 +198,12 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages doubles
-    key = f"{id(sent)}-{docs.sparkSession.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 62)}"
+    key = f"language {id(sent)}-{docs.sparkSession.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 62)}"
     place = docs.columns.index(text)
 
     def scored(batches):
-        own = scorer(key, sent.value)
-        for batch in batches:
+        own = held(key, lambda: Scorer(**sent.value))
+        for batch in parts(batches):
             langs, scores = own.score(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*batch.schema.names, "lang_pred", "score"])

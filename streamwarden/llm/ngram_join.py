@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
-from .common import mix, picked, shingle_sets, text_key
+from .common import mix, parts, picked, release, shingle_sets, text_key
 from .components import components
 
 CHUNK = 512
-COMMON_BATCH, COMMON_ROWS, COMMON_SHARE = 4, 64, 1e-4
+COMMON_SAMPLE, COMMON_BATCH, COMMON_ROWS, COMMON_SHARE = 2_500, 2, 64, 1e-4
 HEAP_ITEMS = 2_000
 
 
@@ -54,11 +54,12 @@ def extra(n):
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found often, sorted, and the bit length of their count; only the order of shingles rests on it.
 
-    Batches report what they saw ``COMMON_BATCH`` times; a shingle counts from ``COMMON_ROWS``
+    Every ``COMMON_SAMPLE`` rows report what they saw ``COMMON_BATCH`` times; a shingle counts from ``COMMON_ROWS``
     rows and ``COMMON_SHARE`` of all rows on, so there are at most 1/``COMMON_SHARE`` times the mean set.
     """
     def counted(batches):
-        for batch in batches:
+        release()
+        for batch in parts(batches, COMMON_SAMPLE):
             seen, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(batch.column(0))]), return_counts=True)
             often = times >= COMMON_BATCH
             yield pa.RecordBatch.from_arrays([pa.array(seen[often].astype(np.int64)), pa.array(times[often])], names=["gram", "n"])
@@ -79,7 +80,7 @@ def prefixed(rows: DataFrame, percent: int) -> DataFrame:
 
     def out(batches):
         common, level = sent.value
-        for batch in batches:
+        for batch in parts(batches):
             ns, ids, heads = [], [], []
             for s in shingle_sets(batch.column("text")):
                 n = len(s)

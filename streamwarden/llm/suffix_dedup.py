@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.skew import sized
 from ..session import cut
-from .common import _BYTE, _powers, mix, picked, slices, text_key
+from .common import _BYTE, _powers, mix, parts, picked, slices, text_key
 
 WIDTH = 400
 LIMIT = 2_000
@@ -198,17 +198,17 @@ def repeats(rows: DataFrame, width: int = WIDTH, limit: int = LIMIT) -> tuple[Da
     ``rows`` has ``key`` and ``text``; every distinct text counts once here.
     """
     def marked(batches):
-        for batch in batches:
-            parts = [[], [], [], []]
+        for batch in parts(batches):
+            lists = [[], [], [], []]
             for first, last, data, ends in slices(batch.column("text")):
                 t, *runs = anchors(data, ends, width)
                 at = np.searchsorted(t, np.arange(last - first + 1))
-                for values, part in zip(runs, parts):
+                for values, part in zip(runs, lists):
                     part += [values[a:b] for a, b in zip(at, at[1:])]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), *[pa.array([v.astype(k.to_pandas_dtype()) for v in p], pa.list_(k))
-                                        for k, p in zip(kinds, parts)]],
+                                        for k, p in zip(kinds, lists)]],
                 names=["key", "gram", "first", "last", "place"])
 
     long = rows.where(F.octet_length("text") >= width)
@@ -240,13 +240,13 @@ def repeats(rows: DataFrame, width: int = WIDTH, limit: int = LIMIT) -> tuple[Da
     if often.where(F.col("n") > limit).isEmpty():
         return texts.select("key", "text"), spans
     for size in [c for c in CLASSES if c == 1 or 2 * c <= width]:
-        parts = cut(divided(hot, width, size))
-        counts = parts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+        pieces = cut(divided(hot, width, size))
+        counts = pieces.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
         if size == 1:
-            seen = parts.join(counts, "gram")
+            seen = pieces.join(counts, "gram")
             spans = spans.union(seen.select("key", F.col("first").alias("begin"), (F.col("first") + width).alias("end")))
             break
-        counted = parts.join(counts, "gram")
+        counted = pieces.join(counts, "gram")
         spans = spans.union(sort_segments(counted.where(F.col("n") <= limit).drop("n"), width))
         hot = counted.where(F.col("n") > limit).drop("n")
     return texts.select("key", "text"), spans

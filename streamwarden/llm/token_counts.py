@@ -14,11 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import picked
+from .common import held, parts, picked
 from .word_pieces import Memo
 
-_MEMOS: dict[str, Memo] = {}
-
 
 def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """Tokens left when ``symbols`` are merged lowest rank first, leftmost of equals first."""
@@ -54,9 +52,8 @@ def word_counts(v, words: list[str]) -> list[int]:
 
 
 def count_tokens(texts: list[str | None], path: str) -> list[int]:
-    if path not in _MEMOS:
-        _MEMOS[path] = Memo(path, word_counts, sum)
-    return [sum(1 if special else sum(counts) for special, counts in parts) for parts in _MEMOS[path].values(texts)]
+    memo = held(f"counts {path}", lambda: Memo(path, word_counts, sum))
+    return [sum(1 if special else sum(counts) for special, counts in split) for split in memo.values(texts)]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,7 +64,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id: str = "doc_i
     text are one token each.
     """
     def counted(batches):
-        for batch in batches:
+        for batch in parts(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2),
                  pa.array(np.array(count_tokens(batch.column(1).to_pylist(), path), np.int64))],

@@ -20,12 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark import TaskContext
 
 from ..session import scratch_path
-from .common import picked
+from .common import held, picked
 from .word_pieces import Memo, vocabulary
 
 BATCH_SEQUENCES = 256
 TARGET_BYTES = 32 << 20
-_MEMOS: dict[tuple, Memo] = {}
 _MODELS: dict[str, object] = {}
 
 
@@ -57,9 +56,7 @@ def _encode_words(v, words: list[str], kind) -> list[bytes]:
 def encode(texts: list[str | None], path: str, kind=np.uint16) -> list[bytes]:
     """Ids of whole texts as little-endian ``kind``."""
     key = path, np.dtype(kind).name
-    if key not in _MEMOS:
-        _MEMOS[key] = Memo(path, lambda v, words: _encode_words(v, words, kind), b"".join)
-    memo = _MEMOS[key]
+    memo = held(f"ids {key}", lambda: Memo(path, lambda v, words: _encode_words(v, words, kind), b"".join))
     special = {s: np.array([i], kind).tobytes() for s, i in memo.v.special.items()}
     return [b"".join(special[s] if s else b"".join(ids) for s, ids in parts) for parts in memo.values(texts)]
 
