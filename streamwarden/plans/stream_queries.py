@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import literals
 from ..operators.windows import Agg
-from ..operators import rules
+from ..operators import events, rules
+from ..session import scratch_path
 from ..streaming import monitor
 from . import tables
 from .registered import HOUR, MINUTE, query, win
@@ -159,3 +160,38 @@ def stream_live_alerts(spark, sf):
                                        (3000.0, None, vocab.EX + "high")])
     out = monitor.alerts(observed, R, S, rule_list, ["stream"], delay=DELAY)
     return monitor.run_available(out, "alerts", end).select(*bounds(), "stream", "value", "derived_o")
+
+
+_SUBSCRIBED = "select concat('{0}', c_custkey, '/purchase/') stream, c_name subscriber from customer where c_nationkey < 10"
+
+
+@query("with e0 as (select * from events where event_type = 'purchase' and user_id in "
+       "(select c_custkey from customer where c_acctbal >= 0)), "
+       + win(R, S, "e0").replace("epoch_us(ts) u", "(epoch_us(ts) // 1000) * 1000 u")
+       + f", r as (select ws, we, concat('{BASE}', user_id, '/purchase/') stream, avg(cents) as value from w group by all) "
+         f"select subscriber, stream, ws window_start_ms, we window_end_ms, value, concat('{vocab.EX}', {_RULE}) derived_o "
+         f"from r join ({_SUBSCRIBED.format(BASE)}) using (stream)")
+def stream_live_delivery(spark, sf):
+    """The whole live path: notification, grant, document, window, event, rules, and delivery with grants read per batch."""
+    customers = tables.load(spark, sf, "customer")
+    stream = F.concat(tables.user_url("c_custkey"), F.lit("purchase/"))
+    paths = {k: scratch_path(spark, k) for k in ("grants", "subscriptions", "delivered", "checkpoint")}
+    allowed = customers.where("c_acctbal >= 0")
+    derived = allowed.select(F.concat(tables.user_url("c_custkey"), F.lit("derived/purchase")).alias("resource"))
+    allowed.select(stream.alias("resource")).write.parquet(paths["grants"])
+    customers.where("c_nationkey < 10").select(F.md5(stream).alias("query_hash"), F.col("c_name").alias("subscriber")).write.parquet(
+        paths["subscriptions"])
+    end = end_of(spark, sf)
+    observed = monitor.observations_of(notification_stream(spark, sf, end), derived)
+    averages = monitor.sliding(observed, "event_time", R, S, [Agg("avg", "value", "value")], ["stream"], delay=DELAY)
+    made = events.construct(averages, F.md5("stream"), "value", F.array("stream"), F.col("window_end"), by=["stream"])
+    rule_list = rules.threshold_rules([(None, 600.0, vocab.EX + "low"), (600.0, 3000.0, vocab.EX + "usual"),
+                                       (3000.0, None, vocab.EX + "high")])
+    found = rules.apply_thresholds(made, rule_list)
+    for step in (None, end):
+        if step is not None:
+            step()
+        monitor.deliver(found, paths["subscriptions"], paths["delivered"], paths["checkpoint"], available_now=True,
+                        grants_path=paths["grants"]).awaitTermination()
+    out = spark.read.parquet(paths["delivered"] + "/delivered")
+    return out.select("subscriber", "stream", *bounds(), "value", "derived_o")

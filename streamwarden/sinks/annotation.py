@@ -15,8 +15,12 @@ QUERY_BASE = "http://example.org/aggregation_query/"
 
 
 def describe(catalog: DataFrame, start: Column, end: Column, executed_at: Column,
-             parameters: str = vocab.PARAMETER_BASE) -> DataFrame:
-    """28 triples per catalogued query, from the query's own text."""
+             parameters: str = vocab.PARAMETER_BASE, problem: str = PROBLEM,
+             implementation: str = IMPLEMENTATION) -> DataFrame:
+    """28 triples per catalogued query, from the query's own text.
+
+    ``problem`` and ``implementation`` are neutral names by default; a service states its own.
+    """
     query = F.concat(F.lit(QUERY_BASE), F.col("query_hash"))
     w = F.get("windows", F.lit(0))
     ex = "http://example.org/"
@@ -27,6 +31,7 @@ def describe(catalog: DataFrame, start: Column, end: Column, executed_at: Column
     def text(value: Column, datatype: str | None = None, lang: str | None = None):
         return (value.cast("string"), "literal", datatype, lang)
 
+    # The description's terms, in the order in which it is read.
     rows = [
         (EXECUTION, vocab.RDF_TYPE, iri(vocab.FNO + "Execution")),
         (EXECUTION, vocab.FNO + "executes", iri(FUNCTION)),
@@ -39,17 +44,17 @@ def describe(catalog: DataFrame, start: Column, end: Column, executed_at: Column
         (FUNCTION, vocab.FNO + "name", iri("aggregation_function")),
         (FUNCTION, vocab.DCT_DESCRIPTION,
          text(F.lit("A function that executes an aggregation function on a RDF stream of data"), lang="en")),
-        (FUNCTION, vocab.FNO_HTTP + "solves", iri(PROBLEM)),
+        (FUNCTION, vocab.FNO_HTTP + "solves", iri(problem)),
         (FUNCTION, vocab.FNO_HTTP + "expects", iri(parameters + "pod_url")),
         (FUNCTION, vocab.FNO_HTTP + "expects", iri(parameters + "aggregation_query")),
         (FUNCTION, vocab.FNO_HTTP + "expects", iri(parameters + "latest_minutes_to_monitor")),
         (FUNCTION, vocab.FNO_HTTP + "returns", iri(RESULTS)),
-        (FUNCTION, vocab.FNO_HTTP + "implements", iri(IMPLEMENTATION)),
+        (FUNCTION, vocab.FNO_HTTP + "implements", iri(implementation)),
         (RESULTS, vocab.RDF_TYPE, iri(vocab.FNO_HTTP + "OutputStream")),
         (RESULTS, vocab.RDF_TYPE, iri(vocab.SAO_STREAM_DATA)),
         (RESULTS, vocab.DCT_DESCRIPTION, text(F.lit(
             "The stream of generated aggregation data that is the result of the aggregation function"), lang="en")),
-        (PROBLEM, vocab.RDF_TYPE, iri(vocab.FNO_HTTP + "Problem")),
+        (problem, vocab.RDF_TYPE, iri(vocab.FNO_HTTP + "Problem")),
         (parameters + "aggregation_query", vocab.RDF_TYPE, iri(vocab.FNO_HTTP + "Parameter")),
         (query, vocab.RDF_TYPE, iri(vocab.FNO_HTTP + "Query")),
         (query, "http://www.example.org/has_query_string", text(F.col("query_text"))),

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import access, buckets, rules, windows
 from ..session import scratch_path
@@ -52,8 +52,28 @@ def run_available(df: DataFrame, label: str = "stream", at_end: Callable[[], Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+class LateRows(StreamingQueryListener):
+    """Counts rows dropped behind the watermark over the whole run; add it with ``spark.streams.addListener``."""
+
+    def __init__(self):
+        self.counts: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.counts.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.counts[str(event.progress.id)] = self.counts.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        """Nothing was dropped."""
+
+    def onQueryTerminated(self, event) -> None:
+        """The count stays."""
+
+
 def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark so far."""
+    """Rows dropped behind the watermark in the progress that Spark keeps (100 batches); see ``LateRows``."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
@@ -116,14 +136,18 @@ def alerts(observations: DataFrame, range_ms: int, step_ms: int, rule_list: list
 
 
 def deliver(results: DataFrame, subscriptions_path: str, out: str, checkpoint: str,
-            available_now: bool = False, every: str | None = None) -> StreamingQuery:
+            available_now: bool = False, every: str | None = None, grants_path: str | None = None,
+            resource: str = "stream") -> StreamingQuery:
     """Fan out each batch to its subscribers; results nobody wants are kept aside.
 
-    Subscriptions are read anew in each batch, so new ones take effect.
+    Subscriptions are read anew in each batch, so new ones take effect. So are the grants of
+    ``grants_path``: a result goes out only while the ``resource`` it comes from is granted.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         subscriptions = spark.read.parquet(subscriptions_path)
+        if grants_path is not None:
+            batch = access.granted(batch, spark.read.parquet(grants_path), resource)
         # The batch is used twice; running its aggregate twice would cost more.
         batch.persist()
         try:

@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -123,3 +124,24 @@ def test_late_rows_are_counted(spark, tmp_path):
     q = monitor.start(out, str(tmp_path / "o"), str(tmp_path / "c"), available_now=True)
     q.awaitTermination()
     assert monitor.late_rows(q) == 1
+
+
+def test_late_rows_of_a_whole_run_are_counted(spark, tmp_path):
+    folder = str(tmp_path / "late")
+    schema = "event_time timestamp, value double"
+    for s in ([0, 500], [600], [1], [2]):
+        spark.createDataFrame([(at(x), 1.0) for x in s], schema).coalesce(1).write.mode("append").parquet(folder)
+    counter = monitor.LateRows()
+    spark.streams.addListener(counter)
+    try:
+        df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        out = monitor.sliding(df, "event_time", MINUTE, MINUTE, [Agg("count", "*", "n")], delay="0 seconds")
+        q = monitor.start(out, str(tmp_path / "o"), str(tmp_path / "c"), available_now=True)
+        q.awaitTermination()
+        for _ in range(50):
+            if counter.counts.get(str(q.id)) == monitor.late_rows(q) > 0:
+                break
+            time.sleep(0.2)
+        assert counter.counts[str(q.id)] == monitor.late_rows(q) == 2
+    finally:
+        spark.streams.removeListener(counter)
