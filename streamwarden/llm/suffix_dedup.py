@@ -14,7 +14,8 @@ so the suffixes that can match are first brought together:
    updates the common prefixes of neighbours. As equal windows lie in the same column,
    suffixes of different columns need not be merged. A window repeats if it shares ``width`` bytes with a
    neighbour. Batches of whole anchors bound the memory; columns are read in sequence.
-4. An anchor of more than ``LIMIT`` segments is divided first: its windows go into
+4. Of an anchor with more than ``COPIES`` segments equal ones are first made one (all of
+   their windows repeat). If over ``LIMIT`` different ones are left, its windows go into
    classes by their offset, each keyed by the bytes that all windows of the class share,
    with classes of 64, 8 and at last one window, whose key is the window itself.
 """
@@ -33,8 +34,8 @@ from ..session import cut
 from .common import _BYTE, _powers, mix, parts, picked, slices, text_key
 
 WIDTH = 400
-LIMIT = 2_000
-BATCH = 4_000  # segments sorted at once
+COPIES, LIMIT = 2_000, 20_000
+BATCH = 4_000  # segments from which on a batch is sorted
 CLASSES = (64, 8, 1)
 
 
@@ -155,7 +156,7 @@ SPAN = "key binary, begin long, end long"
 
 
 def sort_segments(segments: DataFrame, width: int) -> DataFrame:
-    """``key, begin, end`` of repeats; every ``gram`` has at most ``LIMIT`` rows."""
+    """``key, begin, end`` of repeats; every ``gram`` has at most ``LIMIT`` rows, which a task holds at once."""
     def sorted_columns(batches):
         held = []
         rows = few_at_once(batches, "gram", "key", "first", "place", "bytes")
@@ -192,6 +193,18 @@ def divided(segments: DataFrame, width: int, size: int) -> DataFrame:
     return segments.mapInArrow(cut_up, SEGMENT)
 
 
+def made_one(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(different segments, ``key, begin, end`` of those that are not alone): equal ones fall together before the shuffle."""
+    marked = segments.withColumn("same", F.md5("bytes"))
+    one = cut(marked.groupBy("gram", "place", "same").agg(
+        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("key", "first", "bytes")]))
+    alike = marked.select("gram", "place", "same", "key", F.col("first").alias("begin"),
+                          (F.col("first") + F.octet_length("bytes")).alias("end"))
+    many = one.where("n > 1").select("gram", "place", "same")
+    return (one.select("gram", "key", "first", "place", "bytes"),
+            alike.join(many, ["gram", "place", "same"], "left_semi").select("key", "begin", "end"))
+
+
 def repeats(rows: DataFrame, width: int = WIDTH, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """(``key, text`` of the texts that may hold repeats, ``key, begin, end`` of their repeats).
 
@@ -217,7 +230,7 @@ def repeats(rows: DataFrame, width: int = WIDTH, limit: int = LIMIT) -> tuple[Da
     each = once.select("key", F.inline(F.arrays_zip("gram", "first", "last", "place")))
     often = each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     marks = (each.join(often, "gram").groupBy("key")
-             .agg(F.collect_list(F.struct("gram", "first", "last", "place", (F.col("n") > limit).alias("hot"))).alias("marks")))
+             .agg(F.collect_list(F.struct("gram", "first", "last", "place", (F.col("n") > min(limit, COPIES)).alias("hot"))).alias("marks")))
     marks = cut(marks)
     wanted = sized(marks.select("key"))  # keys alone; beyond a counted size the texts are shuffled instead
     texts = cut(long.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(marks, "key"))
@@ -237,18 +250,15 @@ def repeats(rows: DataFrame, width: int = WIDTH, limit: int = LIMIT) -> tuple[Da
     segments = texts.mapInArrow(emitted, SEGMENT + ", hot boolean")
     spans = sort_segments(segments.where("not hot").drop("hot"), width)
     hot = segments.where("hot").drop("hot")
-    if often.where(F.col("n") > limit).isEmpty():
+    if often.where(F.col("n") > min(limit, COPIES)).isEmpty():
         return texts.select("key", "text"), spans
-    for size in [c for c in CLASSES if c == 1 or 2 * c <= width]:
-        pieces = cut(divided(hot, width, size))
-        counts = pieces.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-        if size == 1:
-            seen = pieces.join(counts, "gram")
-            spans = spans.union(seen.select("key", F.col("first").alias("begin"), (F.col("first") + width).alias("end")))
-            break
-        counted = pieces.join(counts, "gram")
-        spans = spans.union(sort_segments(counted.where(F.col("n") <= limit).drop("n"), width))
+    for size in [None, *(c for c in CLASSES if c == 1 or 2 * c <= width)]:
+        one, alike = made_one(cut(hot if size is None else divided(hot, width, size)))
+        counted = one.join(one.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "gram")
+        spans = spans.union(alike).union(sort_segments(counted.where(F.col("n") <= limit).drop("n"), width))
         hot = counted.where(F.col("n") > limit).drop("n")
+        if hot.isEmpty():
+            break
     return texts.select("key", "text"), spans
 
 
