@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import vocab
 from ..functions import literals, times
 from ..operators import buckets as ops, graph, skew
+from ..sources.triples import scoped
 from ..session import cut
 
 
@@ -94,8 +95,10 @@ def export(triples: DataFrame, prefixes: dict[str, str] | None = None, objects_p
     Objects of one subject and predicate are deduplicated and sorted. A list longer
     than ``objects_per_line`` goes on in a further statement, which means the same
     and keeps every task's memory bounded. A blank object becomes one ``[p o]`` per
-    property it has. Write with ``write_text``.
+    property it has; with a ``resource_id`` column, those that its own document states. Write with ``write_text``.
     """
+    if "resource_id" in triples.columns:
+        triples = scoped(triples)
     prefixes = prefixes or {}
 
     def short(iri: Column) -> Column:

@@ -37,7 +37,7 @@ def ntriples_lines(docs: DataFrame, text: str = "body") -> DataFrame:
 def ntriples_ingest(docs: DataFrame, text: str = "body") -> tuple[DataFrame, DataFrame]:
     """(triples, quarantine). Keeps the other columns; lines that are no triple are set aside.
 
-    Labels of blank nodes hold inside one document, so with a ``resource_id`` they are made unique by it.
+    Labels of blank nodes are as written and hold inside their document; ``scoped`` makes them unique.
     """
     lines = ntriples_lines(docs, text)
     kept = [c for c in lines.columns if c != "line"]
@@ -46,10 +46,7 @@ def ntriples_ingest(docs: DataFrame, text: str = "body") -> tuple[DataFrame, Dat
     groups = "\n".join(f"${i}" for i in range(1, 9))
     marked = lines.withColumn("_parts", F.split(F.regexp_replace("line", literals.TRIPLE_LINE, groups), "\n", -1))
     whole = F.size("_parts") == 8
-    made = marked.where(whole).select(*kept, *_terms(F.col("_parts")))
-    if "resource_id" in kept:
-        made = scoped(made)
-    return made, marked.where(~whole).select(
+    return marked.where(whole).select(*kept, *_terms(F.col("_parts"))), marked.where(~whole).select(
         *kept, "line", F.lit("not a triple").alias("reason"))
 
 
