@@ -2,12 +2,15 @@
 
 A text's shingles are hashed and go through ``PERMUTATIONS`` universal (multiply, add,
 shift) hash functions in numpy; the minima are its fingerprint. Bands of the fingerprint
-are joined in Spark through the smallest text of each band, never as all pairs of a
-band, and the exact Jaccard similarity of shingle sets decides.
+are joined in Spark: first through the smallest text and the neighbours of each band, then
+all texts of a band that are not connected yet, in pairs of bounded chunks. The exact Jaccard
+similarity of shingle sets decides.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut
 from .common import picked, shingle_sets, text_key
 from .components import components
+from .ngram_join import CHUNK, Forest
 
 PERMUTATIONS = 128
 ROWS = 4  # of a band: 32 bands miss a pair of similarity 0.8 with a chance of 5e-8
@@ -116,10 +120,11 @@ def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text")
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id``: classes of texts linked by a shared band and Jaccard ``threshold`` or more.
 
-    Within a band every text is compared with the smallest key and with its neighbour in
-    key order, so candidates are linear in the rows. ``class_id`` is the smallest id
-    reachable. Null and wordless texts are classes by their own id; null ids never lend
-    their class a name unless it has no other. Repeated rows are kept.
+    Within a band every text is first compared with the smallest key and with its neighbour
+    in key order; bands that these links leave in several components are then compared whole
+    (see ``rest_of_bands``), so no pair of a band is passed over unless it is connected.
+    ``class_id`` is the smallest id reachable. Null and wordless texts are classes by their
+    own id; null ids never lend their class a name unless it has no other. Repeated rows are kept.
     """
     rows = picked(docs, doc_id=id, text=text).withColumn("key", text_key(F.col("text")))
     texts = rows.where(F.col("text").isNotNull()).groupBy("key").agg(F.first("text").alias("text"))
@@ -149,6 +154,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     links = cut(sided.select("a", "b", "ta", "tb").mapInArrow(verified, "a binary, b binary"))
+    links = links.union(cut(rest_of_bands(bands, texts, components(links), threshold)))
     label = components(links)
     named = rows.join(label, rows["key"] == label["node"], "left").withColumn("class", F.coalesce("label", "key"))
     empty = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
@@ -157,6 +163,87 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id: str = "doc_id",
         "doc_id", F.when(empty, F.col("doc_id")).otherwise(F.col("_low")).alias("class_id"))
 
 
+def rest_of_bands(bands: DataFrame, texts: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: links that connect whatever is linked within a band and not yet connected by ``label``.
+
+    Star and chain have compared all pairs of up to three texts. Larger bands are dealt out as pairs
+    of chunks of about ``CHUNK`` texts: tasks are bounded, but the work grows with the square of a
+    band whose texts are alike and not connected.
+    """
+    parted = bands.join(label, bands["key"] == label["node"], "left").select("band", "key", F.coalesce("label", "key").alias("part"))
+    parted = cut(parted)
+    open_bands = (parted.groupBy("band").agg(F.count("*").alias("size"), F.min("part").alias("first"), F.max("part").alias("last"))
+                  .where("size > 3 and first != last").select("band", F.ceil(F.col("size") / CHUNK).alias("chunks")))
+    dealt = parted.join(open_bands, "band").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "key", "part")
+    full = dealt.join(texts, "key")
+    cell = ["band", "i", "j"]
+
+    def closed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        keys = table.column("key").to_pylist()
+        _, known = np.unique(np.array([p.hex() for p in table.column("part").to_pylist()]), return_inverse=True)
+        whole = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        sides = None if whole else np.array(table.column("chunk").to_pylist())
+        pairs = closer(list(shingle_sets(table.column("text").combine_chunks())), threshold, known, sides) if known.any() else []
+        return pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in pairs], pa.binary()),
+                                           pa.array([keys[b] for _, b in pairs], pa.binary())], names=["a", "b"])
+
+    def compared(batches):  # rows come sorted by cell; one cell is held at a time
+        held, key = [], None
+        for batch in batches:
+            first = 0
+            for now, run in groupby(zip(*(batch.column(c).to_pylist() for c in cell))):
+                last = first + sum(1 for _ in run)
+                if now != key:
+                    if held:
+                        yield closed(held)
+                    held, key = [], now
+                held.append(batch.slice(first, last - first))
+                first = last
+        if held:
+            yield closed(held)
+
+    return full.select(*cell, "chunk", "key", "part", "text").repartition(*cell).sortWithinPartitions(*cell).mapInArrow(
+        compared, "a binary, b binary")
+
+
+def closer(sets: list[np.ndarray], threshold: float, known: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of Jaccard ``threshold`` or more among ``sets`` (places) that connect what ``known`` numbers leave apart.
+
+    Overlaps are counted exactly through inverted lists; between different ``sides`` only if given.
+    """
+    sizes = np.array([len(s) for s in sets])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    grams = np.concatenate(sets)
+    sort = np.argsort(grams, kind="stable")  # the lists, each in ascending place of its texts
+    index = np.repeat(np.arange(len(sets)), sizes)[sort]
+    new = np.flatnonzero(np.concatenate([[True], grams[sort][1:] != grams[sort][:-1]]))
+    place = np.empty(len(grams), np.int64)
+    place[sort] = np.arange(len(grams))
+    start = np.empty(len(grams), np.int64)
+    start[sort] = np.repeat(new, np.diff(np.concatenate([new, [len(grams)]])))
+    forest, found, least = Forest(len(sets)), [], {}
+    for x, part in enumerate(known.tolist()):
+        forest.join(x, least.setdefault(part, x))
+    for x in range(1, len(sets)):
+        roots = np.array([forest.root(d) for d in range(x)])
+        able = roots != forest.root(x)
+        if sides is not None:
+            able &= sides[:x] != sides[x]
+        if not able.any():
+            continue
+        lists = [index[a:b] for a, b in zip(start[begin[x]:begin[x + 1]], place[begin[x]:begin[x + 1]]) if b > a]
+        if not lists:
+            continue
+        same = np.bincount(np.concatenate(lists), minlength=x)
+        for d in np.flatnonzero(able & (same >= threshold * (sizes[x] + sizes[:x] - same))):
+            if forest.join(x, int(d)):
+                found.append((x, int(d)))
+    return found
+
+
 def _band_hashes(row: np.ndarray) -> np.ndarray:
     from .common import mix
     parts = row.reshape(-1, ROWS).astype(np.uint64)

@@ -201,6 +201,26 @@ def test_near_duplicate_classes(odd, none):
     assert fingerprints.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_inside_a_large_band(spark, monkeypatch):
+    # 300 texts of Jaccard 0.775 over one boilerplate fill the bands; twenty pairs inside are just above 0.8.
+    shared = [f"w{i}" for i in range(280)]
+    own = [[f"t{k}x{i}" for i in range(40)] for k in range(300)]
+    for k in range(20):
+        own[150 + k][:8] = own[k][:8]
+    texts = [" ".join(shared + o) for o in own]
+    sets = [set(shingles(t)) for t in texts]
+    class_of = list(range(300))
+    for j in range(300):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and class_of[i] != class_of[j]:
+                low, high = sorted((class_of[i], class_of[j]))
+                class_of = [low if c == high else c for c in class_of]
+    assert sum(c != i for i, c in enumerate(class_of)) == 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(fingerprints, "CHUNK", 20)
+    assert dict(fingerprints.near_duplicates(docs).collect()) == dict(enumerate(class_of))
+
+
 # --- n-gram join ----------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("chunk", [512, 2])
