@@ -35,12 +35,19 @@ def observation_stream(spark, sf, end=None):
         F.concat(F.lit(tables.RESOURCE), F.col("event_id").cast("string")).alias("resource_id"))
 
 
-def end_of(spark, sf):
-    """Some of the last events, all at one time thirty years later."""
+def end_of(spark, sf, users=None):
+    """One event of each type, all at one time thirty years after the last event.
+
+    A query that filters types before its watermark so has a marker that passes, whatever the last
+    events are. ``users`` (one column) are those a query lets through: the markers are then of one of them.
+    """
     events = tables.load(spark, sf, "events")
-    last = events.orderBy(F.col("ts").desc(), "event_id").limit(200)
-    then = F.date_trunc("year", "ts") + F.expr("interval 30 years")
-    return monitor.EndMarker(last.withColumn("ts", then).withColumn(
+    every = F.struct(*events.columns)
+    last = events.groupBy("event_type").agg(F.max_by(every, F.struct("ts", "event_id")).alias("row")).select("row.*")
+    rows = last.crossJoin(events.agg((F.date_trunc("year", F.max("ts")) + F.expr("interval 30 years")).alias("_then")))
+    if users is not None:
+        rows = rows.crossJoin(users.agg(F.min(users.columns[0]).alias("_user"))).withColumn("user_id", F.coalesce("_user", "user_id"))
+    return monitor.EndMarker(rows.withColumn("ts", F.col("_then")).withColumn(
         "value", F.lit(100.0)).select(*[F.col(c).cast(t) for c, t in events.dtypes]))
 
 
@@ -151,9 +158,10 @@ _RULE = "case when value <= 600 then 'low' when value <= 3000 then 'usual' else
 def stream_live_alerts(spark, sf):
     """Notification -> grant -> document -> window -> rules."""
     kinds = F.array(*[F.lit(k) for k in ("click", "view", "signup", "purchase", "error")])
-    grants = tables.load(spark, sf, "customer").where("c_acctbal >= 0").select("c_custkey", F.explode(kinds).alias("kind")).select(
+    allowed = tables.load(spark, sf, "customer").where("c_acctbal >= 0").select("c_custkey")
+    grants = allowed.select("c_custkey", F.explode(kinds).alias("kind")).select(
         F.concat(tables.user_url("c_custkey"), F.lit("derived/"), "kind").alias("resource"))
-    end = end_of(spark, sf)
+    end = end_of(spark, sf, allowed)
     observed = monitor.observations_of(notification_stream(spark, sf, end), grants)
 
     rule_list = rules.threshold_rules([(None, 600.0, vocab.EX + "low"), (600.0, 3000.0, vocab.EX + "usual"),
@@ -181,7 +189,7 @@ def stream_live_delivery(spark, sf):
     allowed.select(stream.alias("resource")).write.parquet(paths["grants"])
     customers.where("c_nationkey < 10").select(F.md5(stream).alias("query_hash"), F.col("c_name").alias("subscriber")).write.parquet(
         paths["subscriptions"])
-    end = end_of(spark, sf)
+    end = end_of(spark, sf, allowed.select("c_custkey"))
     observed = monitor.observations_of(notification_stream(spark, sf, end), derived)
     averages = monitor.sliding(observed, "event_time", R, S, [Agg("avg", "value", "value")], ["stream"], delay=DELAY)
     made = events.construct(averages, F.md5("stream"), "value", F.array("stream"), F.col("window_end"), by=["stream"])

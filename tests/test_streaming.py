@@ -2,11 +2,15 @@ import json
 import time
 from datetime import datetime, timedelta
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from streamwarden import vocab
 from streamwarden.operators import rules
 from streamwarden.operators.windows import Agg, windowed
+from streamwarden.plans import stream_queries
+from streamwarden.plans.registered import SQL
 from streamwarden.sources import live
 from streamwarden.streaming import monitor
 
@@ -145,3 +149,24 @@ def test_late_rows_of_a_whole_run_are_counted(spark, tmp_path):
         assert counter.counts[str(q.id)] == monitor.late_rows(q) == 2
     finally:
         spark.streams.removeListener(counter)
+
+
+@pytest.mark.parametrize("name", ["stream_window_join", "stream_live_alerts", "stream_live_delivery"])
+def test_a_tail_of_one_type_and_an_ungranted_user_loses_nothing(spark, tmp_path, name):
+    kinds = ["click", "view", "purchase", "error", "signup"]
+    events = [(i, at(600 * i), 1 + i % 2, kinds[i % 5], float(i)) for i in range(40)]
+    events += [(1000 + i, at(24_000 + i), 3, "click", 1.0) for i in range(300)]  # user 3 has no grant
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1) \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    customers = [(1, "c1", 5.0, 1), (2, "c2", 5.0, 2), (3, "c3", -5.0, 3)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_acctbal double, c_nationkey int").coalesce(1) \
+        .write.parquet(str(tmp_path / "customer.parquet"))
+    db = duckdb.connect()
+    for table in ("events", "customer"):
+        db.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    result = db.execute(SQL[name])
+    columns = [c[0] for c in result.description]
+    want = sorted(result.fetchall())
+    assert want
+    got = getattr(stream_queries, name)(spark, str(tmp_path)).select(*columns)
+    assert sorted(tuple(r) for r in got.collect()) == want
