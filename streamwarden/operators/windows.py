@@ -6,7 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .skew import null_safe_join
+
 PANE_OVERLAP = 8
+SPOTS = 1 << 14  # of a block in one running aggregate
+EXPANDED = 1 << 12  # output windows of one row before it is expanded
 
 
 @dataclass(frozen=True)
@@ -115,10 +119,12 @@ def windowed_by_panes(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs:
     """Same rows as ``windowed``; every input row is aggregated once.
 
     Rows become panes of one step. A window of L panes is a tail of one block of L
-    panes plus a head of the next, so two running aggregates per block give every
-    window: work is linear in panes and results, not in panes times L. Blocks are
-    the unit of the shuffle: a busy group is spread over time, and a task's group
-    never exceeds 3 L small rows, however many rows a pane had.
+    panes plus a head of the next. Both change only behind a pane that holds rows, so running
+    aggregates are made at these spots alone and hold up to the next one; such a stretch of
+    equal windows is expanded in pieces of ``EXPANDED``. Running aggregates go over ``SPOTS``
+    consecutive spots and then over one summary row for each of these runs, so a task's group
+    has at most ``SPOTS`` rows and L / ``SPOTS`` summaries, also without ``by``. Work is linear
+    in panes and results, and no array or group is as long as L.
     """
     if range_ms % step_ms:
         raise ValueError("panes need a range that is a multiple of the step")
@@ -130,38 +136,51 @@ def windowed_by_panes(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs:
         *[expr.alias(name) for name, (expr, _) in parts.items()])
     spot = F.pmod("_pane", F.lit(length))
     block = F.expr(f"div(_pane - pmod(_pane, {length}), {length})")
-    # In its own block a pane serves tails ('c'); for the block before, heads ('n').
-    placed = panes.select(*by, spot.cast("int").alias("_at"), *parts, F.explode(F.array(
+    # In its own block a pane serves tails ('c') of windows that start at or before it; for the block
+    # before, heads ('n') of windows that start behind it. Either changes at the spot after the pane.
+    placed = panes.select(*by, spot.alias("_at"), *parts, F.explode(F.array(
         F.struct(block.alias("_block"), F.lit(True).alias("_own")),
         F.struct((block - 1).alias("_block"), F.lit(False).alias("_own")))).alias("_p"))
-    placed = placed.select(*by, "_p.*", "_at", *parts)
-    grid = placed.select(*by, "_block").distinct().withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+    placed = placed.select(*by, "_p.*", (F.col("_at") + 1).alias("_at"), *parts)
     nothing = [F.lit(None).cast(placed.schema[n].dataType).alias(n) for n in parts]
-    rows = placed.unionByName(grid.select(*by, "_block", F.lit(None).cast("boolean").alias("_own"), "_at", *nothing))
-    merged = (
-        rows.repartition(*by, "_block").groupBy(*by, "_block", "_at")
-        .agg(*[getattr(F, how)(F.when(F.col("_own") == own, F.col(n))).alias(f"{side}{n}")
-               for n, (_, how) in parts.items() for side, own in (("c", True), ("n", False))])
-    )
-    group = Window.partitionBy(*by, "_block")
-    tail = group.orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    head = group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    run = merged.select(*by, "_block", "_at", *[
-        getattr(F, how)(f"{side}{n}").over(frame).alias(f"{tag}{n}")
-        for side, tag, frame in (("c", "t", tail), ("n", "h", head)) for n, (_, how) in parts.items()])
-
-    def value(name: str) -> Column:
-        t, h = F.col(f"t{name}"), F.col(f"h{name}")
-        how = parts[name][1]
+    first = placed.select(*by, "_block").distinct().select(
+        *by, "_block", F.lit(None).cast("boolean").alias("_own"), F.lit(0).cast("long").alias("_at"), *nothing)
+    sides = [(side, own, n, how) for n, (_, how) in parts.items() for side, own in (("c", True), ("n", False))]
+    merged = placed.unionByName(first).groupBy(*by, "_block", "_at").agg(
+        *[getattr(F, how)(F.when(F.col("_own") == own, F.col(n))).alias(f"{side}{n}") for side, own, n, how in sides])
+    merged = merged.withColumn("_run", F.expr(f"div(_at, {SPOTS})"))
+    runs = Window.partitionBy(*by, "_block").orderBy("_run")
+    before = runs.rowsBetween(Window.unboundedPreceding, -1)
+    behind = runs.rowsBetween(1, Window.unboundedFollowing)
+    summary = merged.groupBy(*by, "_block", "_run").agg(
+        F.min("_at").alias("_from"), *[getattr(F, how)(f"{side}{n}").alias(f"{side}{n}") for side, _, n, how in sides])
+    summary = summary.select(*by, "_block", "_run", F.lead("_from").over(runs).alias("_after"), *[
+        getattr(F, how)(f"{side}{n}").over(behind if own else before).alias(f"far{side}{n}") for side, own, n, how in sides])
+    group = Window.partitionBy(*by, "_block", "_run").orderBy("_at")
+    # A pane counts in tails up to its own place, one spot before the one it is kept at.
+    tail = group.rowsBetween(1, Window.unboundedFollowing)
+    head = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = merged.select(*by, "_block", "_run", "_at", F.lead("_at").over(group).alias("_next"), *[
+        getattr(F, how)(f"{side}{n}").over(tail if own else head).alias(f"{side}{n}") for side, own, n, how in sides])
+    run = null_safe_join(run, summary, [*by, "_block", "_run"])
+
+    def both(how: str, a: Column, b: Column) -> Column:
         if how == "sum":
-            return F.coalesce(t + h, t, h)
-        return (F.least if how == "min" else F.greatest)(t, h)
-
+            return F.coalesce(a + b, a, b)
+        return (F.least if how == "min" else F.greatest)(a, b)
+
+    held = run.select(*by, "_block", "_at", F.coalesce("_next", "_after", F.lit(length)).alias("_until"), *[
+        both(how, both(how, F.col(f"c{n}"), F.col(f"farc{n}")), both(how, F.col(f"n{n}"), F.col(f"farn{n}"))).alias(n)
+        for n, (_, how) in parts.items()]).where("_rows > 0 and _at < _until")
+    pieces = held.withColumn("_lo", F.explode(F.sequence("_at", F.col("_until") - 1, F.lit(EXPANDED).cast("long"))))
+    if length > EXPANDED:  # a stretch may be much longer than others: its pieces go to all tasks
+        pieces = pieces.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = pieces.withColumn("_at", F.explode(F.sequence("_lo", F.least(F.col("_lo") + EXPANDED, F.col("_until")) - 1)))
     start = (F.col("_block") * length + F.col("_at")) * step_us
-    return run.where(value("_rows") > 0).select(
+    return rows.select(
         F.timestamp_micros(start).alias("window_start"),
         F.timestamp_micros(start + range_ms * 1000).alias("window_end"),
-        *by, *[_final(a, value) for a in aggs])
+        *by, *[_final(a, F.col) for a in aggs])
 
 
 def sliding_stream(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs: list[Agg],

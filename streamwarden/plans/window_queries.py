@@ -282,6 +282,27 @@ def template_patient_2(spark, sf):
     return out.select(*bounds(), "averageHR2")
 
 
+# The templates at their own STEP, over the history of one hour: 180 000 windows overlap.
+_HOUR_FROM, _HOUR_TO = datetime(2024, 1, 15), datetime(2024, 1, 15, 1)
+_HOUR_SQL = (f"with h as (select * from events where ts >= timestamp '{_HOUR_FROM}' and ts < timestamp '{_HOUR_TO}'), "
+             f"{win(HOUR, templates.STEP_MS, 'h')} select ws window_start_ms, we window_end_ms, ")
+
+
+def _own_step(spark, sf, name):
+    history = _participant_streams(spark, sf).where((F.col("event_time") >= F.lit(str(_HOUR_FROM)).cast("timestamp")) & (F.col("event_time") < F.lit(str(_HOUR_TO)).cast("timestamp")))
+    return templates.run_named(name, history, _HOUR_FROM, _HOUR_TO)
+
+
+@query(_HOUR_SQL + 'avg(cents) "averageHR1" from w where event_type in (\'click\', \'view\') group by ws, we')
+def template_patient_1_own_step(spark, sf):
+    return _own_step(spark, sf, "averageHRPatient1").select(*bounds(), "averageHR1")
+
+
+@query(_HOUR_SQL + 'avg(cents) "averageHR2" from w where event_type not in (\'click\', \'view\') group by ws, we')
+def template_patient_2_own_step(spark, sf):
+    return _own_step(spark, sf, "averageHRPatient2").select(*bounds(), "averageHR2")
+
+
 @query(f"with {win(_SPAN, _STEP)}, "
        "a as (select distinct ws, we, user_id, cents from w where event_type in ('click', 'view')), "
        "b as (select distinct ws, we, user_id, cents from w where event_type not in ('click', 'view')) "

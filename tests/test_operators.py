@@ -103,6 +103,28 @@ def test_panes_equal_windows(spark, range_ms, step_ms):
     assert key(panes) == key(plain)
 
 
+@pytest.mark.parametrize("by", [["k"], []])
+def test_panes_in_short_runs_equal_windows(spark, monkeypatch, by):
+    monkeypatch.setattr(windows, "SPOTS", 4)
+    monkeypatch.setattr(windows, "EXPANDED", 3)
+    data = [("a" if i % 3 else "b", at(i * 0.7 if i < 40 else 500 + 3 * i), float(i % 11) if i % 5 else None) for i in range(80)]
+    data += [(None, at(90), 5.0), ("b", at(59), None), ("b", at(60), 2.0)]
+    df = spark.createDataFrame(data, "k string, t timestamp, v double")
+    cols = ["window_start", "window_end", *by, "a", "s", "c", "lo", "hi"]
+    key = lambda df: sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
+    assert key(windows.windowed_by_panes(df, "t", 30_000, 1000, ALL, by)) == key(windows.windowed(df, "t", 30_000, 1000, ALL, by))
+
+
+def test_template_at_its_own_step_over_thirty_days(spark):
+    start, end, length = datetime(2024, 1, 1), datetime(2024, 1, 31), 129_600_000
+    seen = [(templates.PARTICIPANT_STREAM.format(1), templates.BVP, "s", start + timedelta(days=d), v) for d, v in ((0, 10), (10, 40))]
+    obs = spark.createDataFrame(seen, "stream string, property string, resource_id string, event_time timestamp, value long")
+    out = templates.run_named("averageHRPatient1", obs, start, end)
+    third = length // 3  # ten days: the first row alone, both, the second alone
+    got = out.groupBy("averageHR1").agg(F.count("*").alias("n")).collect()
+    assert sorted((r.averageHR1, r.n) for r in got) == [(10.0, third), (25.0, 2 * third), (40.0, third)]
+
+
 def test_window_bounds_are_half_open_and_epoch_aligned(spark):
     df = spark.createDataFrame([(datetime(1970, 1, 1, 0, 0, s),) for s in (0, 19, 20)], "t timestamp")
     got = rows(windows.windowed(df, "t", 20_000, 20_000, [Agg("count", "*", "n")]), "window_start", "window_end", "n")
