@@ -8,7 +8,10 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..operators.skew import sized
+from ..session import cut
 
 SLICE_BYTES = 1_000_000
 SHINGLE = 5
@@ -90,23 +93,69 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES):
         first = last
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and where each text's words begin.
+def words_in(data: np.ndarray, ends: np.ndarray, word: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(begin, end, 64-bit hash) of all words in order, and where each text's words begin.
 
-    A-Z count as a-z; words part at the bytes 0x20 and 0x09-0x0D and at ends of texts.
+    ``word`` says of each byte whether it belongs to words, ``fold`` what it counts as; words end at ends of texts.
     """
     n = len(data)
-    word = np.zeros(n + 2, bool)
-    word[1:-1] = _WORD[data]
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = word[data]
     fresh = np.zeros(n + 1, bool)
     fresh[ends] = True
-    begin = np.flatnonzero(word[1:-1] & (~word[:-2] | fresh[:-1]))
-    end = np.flatnonzero(word[1:-1] & (~word[2:] | fresh[1:])) + 1
+    begin = np.flatnonzero(inside[1:-1] & (~inside[:-2] | fresh[:-1]))
+    end = np.flatnonzero(inside[1:-1] & (~inside[2:] | fresh[1:])) + 1
     top = 1 << max(20, int(n).bit_length())
     power, inverse = _powers(top)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * power[:n], out=total[1:])
-    return mix((total[end] - total[begin]) * inverse[begin]), np.searchsorted(begin, ends)
+    np.cumsum(_BYTE[fold[data]] * power[:n], out=total[1:])
+    return begin, end, mix((total[end] - total[begin]) * inverse[begin]), np.searchsorted(begin, ends)
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and where each text's words begin.
+
+    A-Z count as a-z; words part at the bytes 0x20 and 0x09-0x0D and at ends of texts.
+    """
+    return words_in(data, ends, _WORD, _LOWER)[2:]
+
+
+def run_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of all runs of ``size`` words, from the words' hashes; another ``salt`` gives an independent hash."""
+    n = len(words)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(1 << max(20, n.bit_length()))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((mix(words + np.uint64(salt)) if salt else words) * power[:n], out=total[1:])
+    return mix((total[size:] - total[:-size]) * inverse[:n - size + 1])
+
+
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds ``number``, from 0 without gaps in the order given; rows that tie wholly come in any order.
+
+    A range shuffle sorts, and one count for each partition gives its first number. The sorted rows are written
+    out, as they must not change between the two.
+    """
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+               .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    first = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("_part").agg(F.count("*").alias("n")).select("_part", first.alias("_first"))
+    return rows.join(F.broadcast(parts), "_part").withColumn("number", F.col("_first") + F.col("_at")).drop(
+        "_part", "_at", "_first")
+
+
+def held_twice(each: DataFrame, by: list[str], hot: int = 1_000, weight: str | None = None) -> DataFrame:
+    """The rows of ``each`` whose value of ``by`` stands in two rows or more (or sums up to two of ``weight``).
+
+    Counts are combined before the shuffle. Values in over ``hot`` rows (at most one in ``hot`` of all rows) are looked up
+    by broadcast where a count proves them few, so that no task gets all rows of one value. ``each`` should be a stored table.
+    """
+    counts = cut(each.groupBy(*by).agg(F.count("*").alias("_n"), (F.sum(weight) if weight else F.count("*")).alias("_w"))
+                 .where("_w > 1").select(*by, "_n"))
+    often = counts.where(F.col("_n") > hot).drop("_n")
+    seldom = each.join(counts.where(F.col("_n") <= hot).drop("_n"), by, "left_semi")
+    return seldom if often.isEmpty() else seldom.union(each.join(sized(often), by, "left_semi"))
 
 
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
