@@ -120,15 +120,18 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return words_in(data, ends, _WORD, _LOWER)[2:]
 
 
+def span_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of the words from ``begin`` to before ``end``, from the words' hashes; another ``salt`` gives an independent hash."""
+    power, inverse = _powers(1 << max(20, len(words).bit_length()))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum((mix(words + np.uint64(salt)) if salt else words) * power[:len(words)], out=total[1:])
+    return mix((total[end] - total[begin]) * inverse[begin])
+
+
 def run_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
-    """64-bit hashes of all runs of ``size`` words, from the words' hashes; another ``salt`` gives an independent hash."""
-    n = len(words)
-    if n < size:
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(1 << max(20, n.bit_length()))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((mix(words + np.uint64(salt)) if salt else words) * power[:n], out=total[1:])
-    return mix((total[size:] - total[:-size]) * inverse[:n - size + 1])
+    """``span_hashes`` of all runs of ``size`` words."""
+    begin = np.arange(max(0, len(words) - size + 1))
+    return span_hashes(words, begin, begin + size, salt)
 
 
 def numbered(df: DataFrame, order: list[Column]) -> DataFrame:

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import reach
-from . import (decontaminate, fingerprints, language_id, mixing, ngram_join, resampling, sharding, suffix_dedup, token_counts,
-               token_files, url_filter)
+from . import (decontaminate, fingerprints, language_id, mixing, ngram_join, resampling, sharding, substring_dedup, suffix_dedup,
+               token_counts, token_files, url_filter)
 
 BPE, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,11 @@ def op10_token_files(spark, sf_dir):
     return token_files.token_files(documents(spark, sf_dir), public_tokenizers.path(BPE))
 
 
+@query()
+def op12_substring_dedup(spark, sf_dir):
+    return substring_dedup.without_repeats(documents(spark, sf_dir))
+
+
 @query()
 def op13_resampling(spark, sf_dir):
     return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
