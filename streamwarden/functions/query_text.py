@@ -55,7 +55,7 @@ def unwrap(iri: Column, prefixes: Column) -> Column:
 
 
 def catalog(queries: DataFrame, text: str = "query_text") -> DataFrame:
-    """Adds hash, prefixes, emit mode, windows, aggregate, variable, patterns, focus and ``remainder``.
+    """Adds hash, prefixes, emit mode, windows, their frames as written, aggregate, variable, patterns, focus and ``remainder``.
 
     ``remainder`` is what no other column holds: SELECT items, filters, grouping, nested groups
     and whatever was not understood. One projection per stage, so columns nobody asks for are not computed.
@@ -76,13 +76,13 @@ def catalog(queries: DataFrame, text: str = "query_text") -> DataFrame:
                          for i, n in ((1, "w"), (2, "st"), (3, "r"), (4, "sl"))])
     windows = let(F.col("prefixes"), lambda prefixes: F.transform(raw, lambda w: F.struct(
         unwrap(w["w"], prefixes).alias("name"), unwrap(w["st"], prefixes).alias("stream"),
-        w["r"].try_cast("bigint").alias("width_ms"), w["sl"].try_cast("bigint").alias("slide_ms"),
-        F.concat_ws("~", w["r"], w["sl"]).alias("frame"))))
+        w["r"].try_cast("bigint").alias("width_ms"), w["sl"].try_cast("bigint").alias("slide_ms"))))
     left = F.regexp_replace(F.regexp_replace("sparql", PREFIX_FORM, " "), BLOCK_FORM, " ")
     parsed = split.select(
         *[c for c in split.columns if not c.startswith("_")],
         F.coalesce(*[F.when(mode == m.lower(), F.lit(m)) for m in EMIT_MODES]).alias("r2s_operator"),
         last(2, "undefined").alias("r2s_name"), windows.alias("windows"),
+        F.transform(raw, lambda w: F.concat_ws("~", w["r"], w["sl"])).alias("frames"),
         F.lower(F.regexp_extract("sparql", SELECT_FORM, 1)).alias("aggregate"),
         F.regexp_extract("sparql", SELECT_FORM, 2).alias("aggregate_var"),
         F.regexp_extract("sparql", SELECT_FORM, 3).alias("projection_var"),
@@ -179,7 +179,8 @@ def equivalence_key(windows: Column, patterns: Column, operator: Column, sparql:
 
 def with_equivalence_key(queries: DataFrame, text: str = "query_text", out: str = "query_key") -> DataFrame:
     """The input columns plus the equivalence key of the query text."""
-    parsed = catalog(queries, text)
+    parsed = catalog(queries, text).withColumn("_framed", F.transform("windows", lambda w, i: F.struct(
+        w["name"].alias("name"), w["stream"].alias("stream"), F.get(F.col("frames"), i).alias("frame"))))
     return parsed.withColumn(out, equivalence_key(
-        F.col("windows"), F.col("patterns"), F.col("r2s_operator"), F.col("sparql"), F.col("remainder"), F.col("prefixes"),
+        F.col("_framed"), F.col("patterns"), F.col("r2s_operator"), F.col("sparql"), F.col("remainder"), F.col("prefixes"),
         F.col(text))).select(*queries.columns, out)

@@ -98,7 +98,7 @@ def match_rules(facts: DataFrame, rules: DataFrame, on: list[str] = ("rule_set",
                 value: str = "value") -> DataFrame:
     """The same against a table of rules: equi join on the rule set, bounds as a filter.
 
-    The table is broadcast only if counted small; otherwise the equi keys shuffle
+    The table is broadcast only if its rows and bytes are counted small; otherwise the equi keys shuffle
     and hot rule sets are split.
     """
     v = F.col(value)
@@ -107,8 +107,10 @@ def match_rules(facts: DataFrame, rules: DataFrame, on: list[str] = ("rule_set",
         & (F.col("upper").isNull() | (v < F.col("upper")) | (F.col("upper_incl") & (v == F.col("upper"))))
         & ~F.isnan(v.cast("double"))
     )
-    if facts.isStreaming or rules.limit(skew.BROADCAST_ROWS + 1).count() <= skew.BROADCAST_ROWS:
-        joined = facts.join(F.broadcast(rules) if not facts.isStreaming else rules, list(on))
+    if facts.isStreaming:
+        joined = facts.join(rules, list(on))
+    elif skew.counted_small(rules):
+        joined = facts.join(F.broadcast(rules), list(on))
     else:
         joined = skew.salted_join(facts, rules, list(on))
     return joined.where(v.isNotNull() & within).select(*facts.columns, "rule_id", "derived_p", "derived_o")

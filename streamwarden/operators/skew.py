@@ -37,11 +37,15 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, keep: bool = False) ->
         return df
     if keep:
         df = cut(df)
+    return F.broadcast(df) if counted_small(df, max_rows) else df
+
+
+def counted_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``max_rows`` rows and ``BROADCAST_BYTES`` bytes."""
     if df.limit(max_rows + 1).count() > max_rows:
-        return df
+        return False
     whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    size = df.agg(F.sum(F.octet_length(whole).cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return (df.agg(F.sum(F.octet_length(whole).cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
@@ -171,12 +175,12 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
                 limit: int = GROUP_LIMIT) -> DataFrame:
     """Equi join whose left side may have hot keys.
 
-    Left rows of a hot key are spread over one sub-key for each ``limit`` of them; the right rows of
-    just those keys are repeated once per sub-key. Exact for inner, left, left_semi and
+    Left rows of a hot key are spread over one sub-key for each ``limit`` of them (0 counts every key as hot and
+    each row as a sub-key's worth); the right rows of just those keys are repeated once per sub-key. Exact for inner, left, left_semi and
     left_anti, where each left row meets all its partners exactly once.
     """
     hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    hot = cut(hot.select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")))
+    hot = cut(hot.select(*on, F.ceil(F.col("_n") / max(limit, 1)).cast("int").alias("_salts")))
     if hot.isEmpty():
         return left.join(right, on, how)
     flag = sized(hot)

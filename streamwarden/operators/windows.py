@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut
+from . import ranges
 from .skew import null_safe_join
 
 PANE_OVERLAP = 8
@@ -85,11 +87,16 @@ def windowed(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs: list[Agg
 
 
 def sliding(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs: list[Agg], by: list[str] = ()) -> DataFrame:
-    """``windowed``, through panes where rows would be copied more than ``PANE_OVERLAP`` times."""
+    """``windowed``, through panes where rows would be copied more than ``PANE_OVERLAP`` times.
+
+    Aggregates that panes cannot merge, and a RANGE that is no multiple of STEP, go through ranges of windows there.
+    """
+    if df.isStreaming or range_ms <= PANE_OVERLAP * step_ms:
+        return windowed(df, ts, range_ms, step_ms, aggs, by)
     mergeable = all(a.fn in ("avg", "sum", "count", "min", "max") for a in aggs)
-    if not df.isStreaming and mergeable and range_ms > PANE_OVERLAP * step_ms and range_ms % step_ms == 0:
+    if mergeable and range_ms % step_ms == 0:
         return windowed_by_panes(df, ts, range_ms, step_ms, aggs, by)
-    return windowed(df, ts, range_ms, step_ms, aggs, by)
+    return ranges.windowed(df, ts, range_ms, step_ms, aggs, by)
 
 
 def _parts(aggs: list[Agg]) -> dict[str, tuple[Column, str]]:
@@ -123,8 +130,9 @@ def windowed_by_panes(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs:
     aggregates are made at these spots alone and hold up to the next one; such a stretch of
     equal windows is expanded in pieces of ``EXPANDED``. Running aggregates go over ``SPOTS``
     consecutive spots and then over one summary row for each of these runs, so a task's group
-    has at most ``SPOTS`` rows and L / ``SPOTS`` summaries, also without ``by``. Work is linear
-    in panes and results, and no array or group is as long as L.
+    has at most ``SPOTS`` rows and L / ``SPOTS`` summaries, also without ``by``. Running values only ever
+    grow by the next row (tails over descending spots), so work is linear in panes and results, and no array or group is
+    as long as L.
     """
     if range_ms % step_ms:
         raise ValueError("panes need a range that is a multiple of the step")
@@ -148,21 +156,24 @@ def windowed_by_panes(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs:
     sides = [(side, own, n, how) for n, (_, how) in parts.items() for side, own in (("c", True), ("n", False))]
     merged = placed.unionByName(first).groupBy(*by, "_block", "_at").agg(
         *[getattr(F, how)(F.when(F.col("_own") == own, F.col(n))).alias(f"{side}{n}") for side, own, n, how in sides])
-    merged = merged.withColumn("_run", F.expr(f"div(_at, {SPOTS})"))
-    runs = Window.partitionBy(*by, "_block").orderBy("_run")
-    before = runs.rowsBetween(Window.unboundedPreceding, -1)
-    behind = runs.rowsBetween(1, Window.unboundedFollowing)
-    summary = merged.groupBy(*by, "_block", "_run").agg(
-        F.min("_at").alias("_from"), *[getattr(F, how)(f"{side}{n}").alias(f"{side}{n}") for side, _, n, how in sides])
-    summary = summary.select(*by, "_block", "_run", F.lead("_from").over(runs).alias("_after"), *[
-        getattr(F, how)(f"{side}{n}").over(behind if own else before).alias(f"far{side}{n}") for side, own, n, how in sides])
-    group = Window.partitionBy(*by, "_block", "_run").orderBy("_at")
-    # A pane counts in tails up to its own place, one spot before the one it is kept at.
-    tail = group.rowsBetween(1, Window.unboundedFollowing)
-    head = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = merged.select(*by, "_block", "_run", "_at", F.lead("_at").over(group).alias("_next"), *[
-        getattr(F, how)(f"{side}{n}").over(tail if own else head).alias(f"{side}{n}") for side, own, n, how in sides])
-    run = null_safe_join(run, summary, [*by, "_block", "_run"])
+    ahead = (Window.unboundedPreceding, -1)  # over descending spots: Spark keeps such a frame as a running value
+    if length < SPOTS:  # one run
+        group = Window.partitionBy(*by, "_block")
+        run = _running(merged, group, sides, ahead).withColumn("_after", F.lit(None).cast("long"))
+        far = {n: F.lit(None).cast(placed.schema[n].dataType) for n in parts}
+        far = {side + n: c for n, c in far.items() for side in "cn"}
+    else:
+        merged = cut(merged.withColumn("_run", F.expr(f"div(_at, {SPOTS})")))
+        summary = merged.groupBy(*by, "_block", "_run").agg(
+            F.min("_at").alias("_from"), *[getattr(F, how)(f"{side}{n}").alias(f"{side}{n}") for side, _, n, how in sides])
+        runs = Window.partitionBy(*by, "_block")
+        up, down = runs.orderBy("_run"), runs.orderBy(F.col("_run").desc())
+        summary = summary.select(*by, "_block", "_run", F.lead("_from").over(up).alias("_after"), *[
+            getattr(F, how)(f"{side}{n}").over((down if own else up).rowsBetween(*ahead)).alias(f"far{side}{n}")
+            for side, own, n, how in sides])
+        run = _running(merged, Window.partitionBy(*by, "_block", "_run"), sides, ahead)
+        run = null_safe_join(run, summary, [*by, "_block", "_run"])
+        far = {side + n: F.col(f"far{side}{n}") for side, _, n, _ in sides}
 
     def both(how: str, a: Column, b: Column) -> Column:
         if how == "sum":
@@ -170,7 +181,7 @@ def windowed_by_panes(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs:
         return (F.least if how == "min" else F.greatest)(a, b)
 
     held = run.select(*by, "_block", "_at", F.coalesce("_next", "_after", F.lit(length)).alias("_until"), *[
-        both(how, both(how, F.col(f"c{n}"), F.col(f"farc{n}")), both(how, F.col(f"n{n}"), F.col(f"farn{n}"))).alias(n)
+        both(how, both(how, F.col(f"c{n}"), far[f"c{n}"]), both(how, F.col(f"n{n}"), far[f"n{n}"])).alias(n)
         for n, (_, how) in parts.items()]).where("_rows > 0 and _at < _until")
     pieces = held.withColumn("_lo", F.explode(F.sequence("_at", F.col("_until") - 1, F.lit(EXPANDED).cast("long"))))
     if length > EXPANDED:  # a stretch may be much longer than others: its pieces go to all tasks
@@ -183,22 +194,42 @@ def windowed_by_panes(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs:
         *by, *[_final(a, F.col) for a in aggs])
 
 
+def _running(merged: DataFrame, group, sides: list, ahead: tuple) -> DataFrame:
+    """Spots of each group with ``_next`` and their running aggregates; a pane counts in tails up to its own place,
+    one spot before the one it is kept at, and in heads from there on."""
+    kept = [c for c in merged.columns if c not in {f"{side}{n}" for side, _, n, _ in sides}]
+    up, down = group.orderBy("_at"), group.orderBy(F.col("_at").desc())
+    return merged.select(*kept, F.lag("_at").over(down).alias("_next"), *[
+        getattr(F, how)(f"{side}{n}").over(
+            down.rowsBetween(*ahead) if own else up.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"{side}{n}")
+        for side, own, n, how in sides])
+
+
 def sliding_stream(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs: list[Agg],
-                   by: list[str] = ()) -> DataFrame:
+                   by: list[str] = (), timed: bool = False) -> DataFrame:
     """Streaming panes: a tumbling aggregate per step feeds the sliding one.
 
     State holds one row per pane and per open window instead of updating every
-    overlapping window for each input row. Needs a watermark on ``ts``.
+    overlapping window for each input row. Needs a watermark on ``ts``. ``timed`` adds ``_end``, the event time
+    of each result (just before its window's end), for a further operator that needs a watermark.
     """
-    if range_ms % step_ms or range_ms <= step_ms:
-        return windowed(df, ts, range_ms, step_ms, aggs, by)
+    def out(grouped: DataFrame, end: Column, finals: list[Column]) -> DataFrame:
+        time = [F.window_time("_w").alias("_end")] if timed else []
+        return grouped.select(*time, F.col("_w.start").alias("window_start"), end, *by, *finals)
+
+    if range_ms < step_ms:
+        grouped = in_gapped_windows(df, ts, range_ms, step_ms).groupBy("_w", *by).agg(*[aggregate(a) for a in aggs])
+        return out(grouped, window_end(range_ms, step_ms), [F.col(a.alias) for a in aggs])
+    mergeable = all(a.fn in ("avg", "sum", "count", "min", "max") for a in aggs)
+    if not mergeable or range_ms % step_ms or range_ms == step_ms:
+        grouped = df.groupBy(window_of(ts, range_ms, step_ms).alias("_w"), *by).agg(*[aggregate(a) for a in aggs])
+        return out(grouped, F.col("_w.end").alias("window_end"), [F.col(a.alias) for a in aggs])
     parts = _parts(aggs)
     panes = df.groupBy(F.window(ts, _interval(step_ms)).alias("_pane"), *by).agg(
         *[expr.alias(n) for n, (expr, _) in parts.items()]).withColumn("_at", F.window_time("_pane"))
     merged = panes.groupBy(window_of("_at", range_ms, step_ms).alias("_w"), *by).agg(
         *[getattr(F, how)(n).alias(n) for n, (_, how) in parts.items()])
-    return merged.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *by,
-                         *[_final(a, F.col) for a in aggs])
+    return out(merged, F.col("_w.end").alias("window_end"), [_final(a, F.col) for a in aggs])
 
 
 def rstream(df: DataFrame, ts: str, range_ms: int, step_ms: int, row: list[str]) -> DataFrame:
@@ -255,13 +286,58 @@ def result_delta(results: DataFrame, step_ms: int, row: list[str], mode: str) ->
     )
 
 
+def result_delta_stream(results: DataFrame, range_ms: int, step_ms: int, row: list[str], mode: str) -> DataFrame:
+    """IStream or DStream of closed window results on a stream, as a second event-time aggregate.
+
+    ``results`` has ``_end`` (see ``sliding_stream``). A window of two steps over these times holds the results of one
+    window of the query and of the one before, and closes a step after the first: state is two results of a row.
+    """
+    offset = (range_ms if range_ms >= step_ms else step_ms) % step_ms
+    pair = F.window("_end", _interval(2 * step_ms), _interval(step_ms), _interval(offset))
+    late = F.unix_micros("_end") - F.unix_micros("_pair.start") >= step_ms * 1000
+    seen = results.select("_end", *row).withColumn("_pair", pair).withColumn("_now", late.cast("int")).groupBy("_pair", *row).agg(
+        F.max("_now").alias("_now"), F.min("_now").alias("_before"))
+    kept = seen.where("_before = 1" if mode == "IStream" else "_now = 0")
+    end = F.unix_micros("_pair.end") - max(0, step_ms - range_ms) * 1000  # a window below its step ends before the next begins
+    return kept.select(F.timestamp_micros(end - range_ms * 1000).alias("window_start"), F.timestamp_micros(end).alias("window_end"), *row)
+
+
+def solutions_stream(df: DataFrame, ts: str, range_ms: int, step_ms: int, variables: list[str]) -> DataFrame:
+    """Distinct solutions of each closed window, with ``_end``; needs a watermark on ``ts``."""
+    held = df.groupBy(window_of(ts, range_ms, step_ms).alias("_w"), *variables).agg(F.count(F.lit(1)).alias("_n"))
+    return held.select(F.window_time("_w").alias("_end"), F.col("_w.start").alias("window_start"),
+                       F.col("_w.end").alias("window_end"), *variables)
+
+
+def window_join_stream(sides: list[tuple[DataFrame, list[str]]], ts: str, frames: list[tuple[int, int]]) -> DataFrame:
+    """Solutions of named windows that end together, joined on the variables they share; frames may differ.
+
+    Each side is (rows, variables). Equal ends are equal event times, so both sides' watermarks clear the join's state:
+    a solution waits for the window of the other frame that ends with it, and no longer. ``window_start`` is the first frame's.
+    """
+    def solved(i: int) -> DataFrame:
+        df, variables = sides[i]
+        found = solutions_stream(df, ts, *frames[i], variables)
+        return found if i == 0 else found.drop("window_start", "window_end")
+
+    out = solved(0)
+    for i in range(1, len(sides)):
+        other = solved(i)
+        out = out.join(other, [c for c in out.columns if c in other.columns])
+    return out
+
+
 def window_join(left: DataFrame, right: DataFrame, shared: list[str], ts: str, left_frame: tuple[int, int],
                 right_frame: tuple[int, int]) -> DataFrame:
     """Solutions of two named windows that end together and agree on all ``shared`` variables.
 
     Each side is reduced to its distinct solutions first: a window is a graph, and
-    a graph has no duplicates, so no pair is built twice.
+    a graph has no duplicates, so no pair is built twice. Above ``PANE_OVERLAP`` rows are not copied into their windows.
     """
+    if max(r / s for r, s in (left_frame, right_frame)) > PANE_OVERLAP:
+        found = ranges.window_join(left, right, shared, ts, left_frame, right_frame)
+        return found if left_frame == right_frame else found.select("window_end", *shared, "window_start")
+
     def side(df: DataFrame, frame: tuple[int, int]) -> DataFrame:
         return assign(df.select(ts, *shared), ts, *frame).select("window_end", "window_start", *shared).distinct()
 

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
-from ..operators import events, patterns, rules as rule_ops, windows
+from ..operators import events, patterns, ranges, rules as rule_ops, windows
 
 MODES = ("RStream", "IStream", "DStream")
 # Predicates an observation table holds as columns.
@@ -101,7 +101,7 @@ class ContinuousQuery:
     def over_observations(self, observations: DataFrame) -> DataFrame:
         """The same over an observation table: patterns on one subject are columns, so nothing is joined.
 
-        Also runs on a stream (with a watermark on ``event_time``), for one window.
+        Also runs on a stream (with a watermark on ``event_time``): any emit mode, and several windows of own frames.
         """
         return self._finish([self._columns(observations, w) for w in self.windows])
 
@@ -134,20 +134,38 @@ class ContinuousQuery:
                     df = df.withColumn(v, F.col(v).try_cast("double"))
             return df
 
+        streaming = any(df.isStreaming for df in sides)
         if len(sides) == 1 and not self.subjects_repeat and "window_start" not in sides[0].columns:
-            df = ready(sides[0])
-            run = windows.sliding_stream if df.isStreaming else windows.sliding
-            out = run(df, "event_time", first.width_ms, first.slide_ms, list(self.aggregates), list(self.group_by))
+            df, frame = ready(sides[0]), (first.width_ms, first.slide_ms)
+            if streaming:
+                out = windows.sliding_stream(df, "event_time", *frame, list(self.aggregates), list(self.group_by), timed=True)
+            else:
+                out = windows.sliding(df, "event_time", *frame, list(self.aggregates), list(self.group_by))
         else:
-            out = self._joined(sides, ready)
+            out = self._joined_stream(sides, ready) if streaming else self._joined(sides, ready)
         if self.having:
             out = out.where(re.sub(r"\?(\w+)", r"\1", self.having))
-        if self.emit == "RStream":
-            return out
         row = [*self.group_by, *[a.alias for a in self.aggregates]]
+        if self.emit == "RStream":
+            return out.drop("_end")
+        if streaming:
+            return windows.result_delta_stream(out, first.width_ms, first.slide_ms, row, self.emit)
         return windows.result_delta(out, first.slide_ms, row, self.emit)
 
+    def _joined_stream(self, sides: list[DataFrame], ready) -> DataFrame:
+        held = [(df, [c for c in df.columns if c != "event_time"]) for df in sides]
+        both = windows.window_join_stream(held, "event_time", [(w.width_ms, w.slide_ms) for w in self.windows])
+        return ready(both).groupBy("_end", "window_start", "window_end", *self.group_by).agg(
+            *[windows.aggregate(a) for a in self.aggregates])
+
     def _joined(self, sides: list[DataFrame], ready) -> DataFrame:
+        overlap = max(-(-w.width_ms // w.slide_ms) for w in self.windows)
+        if overlap > windows.PANE_OVERLAP and not any(df.isStreaming or "window_start" in df.columns for df in sides):
+            frames = [(w.width_ms, w.slide_ms) for w in self.windows]
+            both, grid = ranges.joined([(df, "event_time") for df in sides], frames)
+            found = ranges.aggregated(ready(both), list(self.group_by), list(self.aggregates), overlap)
+            return ranges.expanded(found, grid, [*self.group_by, *[a.alias for a in self.aggregates]])
+
         def solved(df: DataFrame, w: WindowSpec) -> DataFrame:
             variables = [c for c in df.columns if c not in ("event_time", "window_start", "window_end")]
             dealt = df if "window_start" in df.columns else windows.assign(df, "event_time", w.width_ms, w.slide_ms)

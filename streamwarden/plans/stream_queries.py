@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import literals
 from ..operators.windows import Agg
-from ..operators import events, rules
+from ..operators import events, rules, windows
 from ..session import scratch_path
 from ..streaming import monitor
 from . import tables
+from .continuous import ContinuousQuery, WindowSpec
 from .registered import HOUR, MINUTE, query, win
 from .window_queries import _USER_SQL, bounds, user_query
 
@@ -117,6 +118,63 @@ def stream_continuous_query(spark, sf):
     return monitor.run_available(user_query().over_observations(obs), "continuous", end).select(*bounds(), "k", "max_o", "n")
 
 
+def _user_stream(spark, sf, end):
+    return observation_stream(spark, sf, end).withColumn("stream", F.lit("http://example.org/streams/all/")).withColumn(
+        "property", F.concat(F.lit(tables.PROPERTY), F.col("event_type"))).withWatermark("event_time", DELAY)
+
+
+@query(_USER_SQL + f"select ws window_start_ms, we window_end_ms, k, max_o, n from r where not exists (select 1 "
+       f"from r q where q.k = r.k and q.max_o = r.max_o and q.n = r.n and q.ws = r.ws - {S})")
+def stream_continuous_query_istream(spark, sf):
+    """What a live query's window results have that those a step before had not."""
+    end = end_of(spark, sf)
+    out = user_query("IStream").over_observations(_user_stream(spark, sf, end))
+    return monitor.run_available(out, "continuous-istream", end).select(*bounds(), "k", "max_o", "n")
+
+
+@query(_USER_SQL + f"select ws + {S} window_start_ms, we + {S} window_end_ms, k, max_o, n from r where not exists (select 1 "
+       f"from r q where q.k = r.k and q.max_o = r.max_o and q.n = r.n and q.ws = r.ws + {S})")
+def stream_continuous_query_dstream(spark, sf):
+    """What a live query's window results no longer have a step later."""
+    end = end_of(spark, sf)
+    out = user_query("DStream").over_observations(_user_stream(spark, sf, end))
+    return monitor.run_available(out, "continuous-dstream", end).select(*bounds(), "k", "max_o", "n")
+
+
+@query(f"with {win(48 * HOUR, 12 * HOUR)}, a as (select distinct ws, we, user_id, cast(floor(value) as bigint) o from w where event_type = 'click'), "
+       "x as (select *, epoch_us(ts) u from events), "
+       "b as (select distinct ((u // 43200000000) - g) * 43200000 + 86400000 we, user_id, "
+       "cast(floor(value) as bigint) o from x, range(2) t(g) where event_type = 'view') "
+       "select a.ws window_start_ms, a.we window_end_ms, a.user_id, a.o from a join b using (we, user_id, o)")
+def stream_window_join_unequal(spark, sf):
+    """Windows of different length on live streams meet where they end together."""
+    end = end_of(spark, sf)
+    obs = observation_stream(spark, sf, end).withColumn("o", F.floor("value")).withWatermark("event_time", DELAY)
+    row = ["user_id", "o"]
+    out = windows.window_join_stream(
+        [(obs.where(F.col("event_type") == kind), row) for kind in ("click", "view")], "event_time",
+        [(48 * HOUR, 12 * HOUR), (24 * HOUR, 12 * HOUR)]).drop("_end")
+    return monitor.run_available(out, "window-join-unequal", end).select(*bounds(), *row)
+
+
+@query(f"with {win(24 * HOUR, 12 * HOUR)}, a as (select distinct ws, we, user_id % 20 s, value o from w where event_type = 'click'), "
+       "x as (select *, epoch_us(ts) u from events), "
+       "b as (select distinct ((u // 21600000000) - g) * 21600000 + 43200000 we, user_id % 20 s from x, range(2) t(g) where event_type = 'view') "
+       "select ws window_start_ms, we window_end_ms, max(o) max_o, count(*) n from a join b using (we, s) group by all")
+def stream_continuous_query_two_windows(spark, sf):
+    """A spec of two windows with frames of their own, aggregated over their joined solutions."""
+    end = end_of(spark, sf)
+    kinds = F.when(F.col("event_type") == "click", "http://example.org/streams/a/").when(
+        F.col("event_type") == "view", "http://example.org/streams/b/")
+    obs = _user_stream(spark, sf, end).withColumn("stream", kinds).withColumn(
+        "resource_id", F.concat(F.lit("http://example.org/user/"), F.pmod("user_id", F.lit(20)).cast("string")))
+    a = WindowSpec("w1", "http://example.org/streams/a/", 24 * HOUR, 12 * HOUR)
+    b = WindowSpec("w2", "http://example.org/streams/b/", 12 * HOUR, 6 * HOUR)
+    q = ContinuousQuery("two", (a, b), (("w1", "?s", vocab.HAS_VALUE, "?o"), ("w2", "?s", vocab.RELATES_TO, tables.PROPERTY + "view")),
+                        (Agg("max", "o", "max_o"), Agg("count", "*", "n")))
+    return monitor.run_available(q.over_observations(obs), "two-windows", end).select(*bounds(), "max_o", "n")
+
+
 def _side(kind):
     return f"select distinct ws, we, user_id from w where event_type = '{kind}'"
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..operators import events, rules, windows
+from ..operators import events, ranges, rules, windows
 from ..operators.windows import Agg
 from ..sources import triples as triple_source
 from . import tables, templates
@@ -311,3 +311,51 @@ def template_patient_2_own_step(spark, sf):
 def template_patients_joined(spark, sf):
     out = templates.run_named("averageHRPatientMultiple", _participant_streams(spark, sf), _FROM, _TO, step_ms=_STEP)
     return out.select(*bounds(), "averageHR1")
+
+
+def _coarse_streams(spark, sf):
+    """Both patients' streams with few subjects and values, so that they agree now and then."""
+    obs = _participant_streams(spark, sf)
+    return obs.withColumn("resource_id", F.concat(F.lit("http://example.org/user/"), F.pmod("user_id", F.lit(7)).cast("string"))) \
+        .withColumn("value", F.expr("cents div 2000"))
+
+
+_JOINED_FROM, _JOINED_TO = datetime(2024, 1, 15), datetime(2024, 1, 15, 1)
+_COARSE = "user_id % 7 s, cast(round(value * 100) as bigint) // 2000 o"
+
+
+@query(f"with h as (select * from events where ts >= timestamp '{_JOINED_FROM}' and ts < timestamp '{_JOINED_TO}'), "
+       f"{win(HOUR, templates.STEP_MS, 'h')}, "
+       f"a as (select distinct ws, we, {_COARSE} from w where event_type in ('click', 'view')), "
+       f"b as (select distinct ws, we, {_COARSE} from w where event_type not in ('click', 'view')) "
+       'select ws window_start_ms, we window_end_ms, avg(o) "averageHR1" from a join b using (ws, we, s, o) group by ws, we')
+def template_patients_joined_own_step(spark, sf):
+    """The template over two patients at its own STEP: 180 000 windows overlap."""
+    history = _coarse_streams(spark, sf).where((F.col("event_time") >= F.lit(str(_JOINED_FROM)).cast("timestamp"))
+                                               & (F.col("event_time") < F.lit(str(_JOINED_TO)).cast("timestamp")))
+    return templates.run_named("averageHRPatientMultiple", history, _JOINED_FROM, _JOINED_TO).select(*bounds(), "averageHR1")
+
+
+@query(f"with {win(30 * 24 * HOUR, 288_000)}, "
+       "a as (select distinct ws, we, user_id % 50 u from w where event_type = 'click'), "
+       "b as (select distinct ws, we, user_id % 50 u from w where event_type = 'error') "
+       "select ws window_start_ms, we window_end_ms, sum(u)::bigint total, count(*) solutions from a join b using (ws, we, u) group by all")
+def multi_window_join_overlap_9000(spark, sf):
+    """Two windows of all events, each in 9 000 windows."""
+    obs = tables.observations(spark, sf).withColumn("u", F.pmod("user_id", F.lit(50)))
+    frame = (30 * 24 * HOUR, 288_000)
+    found, grid = ranges.joined([(obs.where(F.col("event_type") == kind).select("event_time", "u"), "event_time")
+                                 for kind in ("click", "error")], [frame, frame])
+    sums = ranges.aggregated(found, [], [Agg("sum", "u", "total"), Agg("count", "*", "solutions")], 9000)
+    return ranges.expanded(sums, grid, ["total", "solutions"]).select(*bounds(), "total", "solutions")
+
+
+@query(f"with r as (select * from events where event_type = 'error'), {win(9000 * 8000, 8000, 'r')} "
+       "select ws window_start_ms, we window_end_ms, count(distinct user_id) users, min(user_id) sample_user, "
+       "md5(string_agg(cast(event_id as varchar), ' ' order by cast(event_id as varchar))) event_ids from w group by ws, we")
+def window_values_overlap_9000(spark, sf):
+    """DISTINCT, SAMPLE and GROUP_CONCAT where each row is in 9 000 windows."""
+    aggs = [Agg("count_distinct", "user_id", "users"), Agg("sample", "user_id", "sample_user"), Agg("group_concat", "event_id", "ids")]
+    errors = tables.observations(spark, sf).where("event_type = 'error'")
+    out = windows.sliding(errors, "event_time", 9000 * 8000, 8000, aggs)
+    return out.select(*bounds(), "users", "sample_user", F.md5("ids").alias("event_ids"))
