@@ -20,63 +20,113 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.skew import counted_small
 from ..session import cut
-from .common import _LOWER, numbered, picked, release, slices, words_in
+from .common import _LOWER, numbered, release, slices, words_in
 
-BLOCK_BYTES = 4_000_000
-LOOKED_UP = 2_000_000  # phrases a task may hold, 8 bytes each
+BLOCK_BYTES, BLOCK_WORDS = 4_000_000, 3_000_000
+LOOKED_UP = 2_000_000  # phrases a task may hold: 8 bytes each, words also their text
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[*b".,;:!?", 10, 11, 12, 13]] = True
 _IN_WORD = ~_PIECE_END
 _IN_WORD[[9, 32]] = False
 
-BLOCK = "block long, lang string, steps array<int>, codes array<int>, words array<string>, counts array<long>"
+BLOCK = "block long, lang string, steps array<int>, codes array<int>, words array<string>"
 RELATION = "block long, steps array<int>, codes array<int>, ids array<long>"
 
 
+def _tokens(batches):
+    """(language, steps, a code for each word, the distinct words) of a few megabytes of texts at a time."""
+    for batch in batches:
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        for first, last, data, ends in slices(batch.column("text"), BLOCK_BYTES):
+            data = _LOWER[data]
+            begin, end, word, at = words_in(data, ends, _IN_WORD, _LOWER)
+            if not len(begin):
+                continue
+            text = np.repeat(np.arange(last - first), np.diff(at))
+            piece = np.cumsum(_PIECE_END[data])[begin]
+            names, lang = np.unique(langs[first:last].astype(str), return_inverse=True)
+            raw = data.tobytes()
+            for k, name in enumerate(names):
+                mine = np.flatnonzero(lang[text] == k)
+                if not len(mine):
+                    continue
+                apart = (np.diff(piece[mine]) > 0) | (np.diff(text[mine]) > 0)
+                _, one, codes = np.unique(word[mine], return_index=True, return_inverse=True)
+                words = [raw[a:b].decode() for a, b in zip(begin[mine[one]].tolist(), end[mine[one]].tolist())]
+                yield name, np.concatenate([[2], 1 + apart]).astype(np.int32), codes, words
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``lang, phrase, n`` of each word in parts of the texts; the null phrase counts all words."""
+    def made(batches):
+        release()
+        for name, _, codes, words in _tokens(batches):
+            counts = [*np.bincount(codes).tolist(), len(codes)]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(counts), pa.string()), pa.array([*words, None], pa.string()),
+                                              pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+
+    return rows.mapInArrow(made, "lang string, phrase string, n long")
+
+
 def occurrences(rows: DataFrame) -> DataFrame:
-    """``block, lang, steps, codes, words, counts`` of ``lang, text``; ``codes`` point into ``words``."""
+    """``block, lang, steps, codes, words`` of ``lang, text``; ``codes`` point into ``words``."""
     def made(batches):
         release()
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            for first, last, data, ends in slices(batch.column("text"), BLOCK_BYTES):
-                data = _LOWER[data]
-                begin, end, word, at = words_in(data, ends, _IN_WORD, _LOWER)
-                if not len(begin):
-                    continue
-                text = np.repeat(np.arange(last - first), np.diff(at))
-                piece = np.concatenate([[0], np.cumsum(_PIECE_END[data])])[begin]
-                names, lang = np.unique(langs[first:last].astype(str), return_inverse=True)
-                for k, name in enumerate(names):
-                    mine = np.flatnonzero(lang[text] == k)
-                    if not len(mine):
-                        continue
-                    apart = (np.diff(piece[mine]) > 0) | (np.diff(text[mine]) > 0)
-                    steps = np.concatenate([[0], 1 + apart]).astype(np.int32)
-                    _, one, codes, counts = np.unique(word[mine], return_index=True, return_inverse=True, return_counts=True)
-                    raw = data.tobytes()
-                    words = [raw[a:b].decode() for a, b in zip(begin[mine[one]].tolist(), end[mine[one]].tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block]), pa.array([name], pa.string()), pa.array([steps], pa.list_(pa.int32())),
-                         pa.array([codes.astype(np.int32)], pa.list_(pa.int32())), pa.array([words], pa.list_(pa.string())),
-                         pa.array([counts.astype(np.int64)], pa.list_(pa.int64()))],
-                        names=["block", "lang", "steps", "codes", "words", "counts"])
-                    block += 1
+        for name, steps, codes, words in _tokens(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([name], pa.string()), pa.array([steps], pa.list_(pa.int32())),
+                 pa.array([codes.astype(np.int32)], pa.list_(pa.int32())), pa.array([words], pa.list_(pa.string()))],
+                names=["block", "lang", "steps", "codes", "words"])
+            block += 1
 
     return rows.mapInArrow(made, BLOCK)
 
 
-def _relation(block: int, place: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """One block; codes are made gapless, ``ids`` has a number for each code before."""
-    used, codes = np.unique(codes, return_inverse=True)
+def known_words(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The relation of the words in ``table``, which is small enough to be looked up in each task."""
+    found = table.select("lang", "phrase", "number").toArrow().combine_chunks()
+    sent = rows.sparkSession.sparkContext.broadcast({
+        name.as_py(): (part["phrase"].combine_chunks(), part["number"].to_numpy())
+        for name in found["lang"].unique() for part in [found.filter(pc.equal(found["lang"], name))]})
+
+    def made(batches):
+        release()
+        held: dict[str, list] = {}
+        block = TaskContext.get().partitionId() << 32
+        for name, steps, codes, words in _tokens(batches):
+            if name not in sent.value:
+                continue
+            known, numbers = sent.value[name]
+            at = pc.index_in(pa.array(words, known.type), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+            held.setdefault(name, []).append((steps, np.where(at >= 0, numbers[at], -1)[codes]))
+            if sum(len(x) for x, _ in held[name]) >= BLOCK_WORDS:
+                yield _joined_parts(block, held.pop(name))
+                block += 1
+        for parts in held.values():
+            yield _joined_parts(block, parts)
+            block += 1
+
+    return rows.mapInArrow(made, RELATION)
+
+
+def _joined_parts(block: int, parts: list) -> pa.RecordBatch:
+    place, numbers = np.cumsum(np.concatenate([s for s, _ in parts]), dtype=np.int64), np.concatenate([n for _, n in parts])
+    return _relation(block, place[numbers >= 0], numbers[numbers >= 0])
+
+
+def _relation(block: int, place: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+    """One block: the occurrences of phrases of these ``numbers``."""
+    ids, codes = np.unique(numbers, return_inverse=True)
     return pa.RecordBatch.from_arrays(
         [pa.array([block], pa.int64()), pa.array([np.diff(place, prepend=0).astype(np.int32)], pa.list_(pa.int32())),
-         pa.array([codes.astype(np.int32)], pa.list_(pa.int32())), pa.array([ids[used].astype(np.int64)], pa.list_(pa.int64()))],
+         pa.array([codes.astype(np.int32)], pa.list_(pa.int32())), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))],
         names=["block", "steps", "codes", "ids"])
 
 
@@ -108,7 +158,7 @@ def only_frequent(relation: DataFrame, asked: DataFrame, table: DataFrame, keys:
             of[known] = numbers
             held = of[codes] >= 0
             if held.any():
-                yield _relation(block, place[held], codes[held], of)
+                yield _relation(block, place[held], of[codes[held]])
 
     return relation.select("block", "steps", "codes").join(known, "block").mapInArrow(kept, RELATION)
 
@@ -139,7 +189,7 @@ def extended(relation: DataFrame) -> DataFrame:
 
 def looked_up(relation: DataFrame, table: DataFrame, size: int) -> DataFrame:
     """``only_frequent`` for few phrases: their parts, packed and sorted as they are numbered, go to each task."""
-    packed = table.select((F.col("left") * size + F.col("right")).alias("p")).toPandas()["p"].to_numpy(np.int64)
+    packed = table.select((F.col("left") * size + F.col("right")).alias("p")).toArrow()["p"].to_numpy()
     sent = table.sparkSession.sparkContext.broadcast(np.sort(packed))
 
     def kept(batches):
@@ -154,7 +204,7 @@ def looked_up(relation: DataFrame, table: DataFrame, size: int) -> DataFrame:
             of = np.where(keys[at] == asked, at, -1)
             held = of[codes] >= 0
             if held.any():
-                yield _relation(block, place[held], codes[held], of)
+                yield _relation(block, place[held], of[codes[held]])
 
     return relation.mapInArrow(kept, RELATION)
 
@@ -165,17 +215,19 @@ def frequent_phrases(rows: DataFrame, longest: int, least: int, few: int) -> tup
     Tables have ``number, lang, phrase, last`` (its last word), ``f, left, right`` (numbers of its parts) and ``heads, tails``:
     the counts of its first 1, 2, ... and of its last 1, 2, ... words.
     """
-    first = cut(occurrences(rows))
-    words = first.select("lang", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w")).select(
-        "lang", "block", "code", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
-    sizes = first.groupBy("lang").agg(F.sum(F.size("codes").cast("long")).alias("n"))
-    counted = words.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    counts = cut(word_counts(rows).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull()))
+    sizes = counts.where("phrase is null").select("lang", F.col("f").alias("n"))
     nothing = F.lit(None).cast("long")
-    table = numbered(counted, [F.col("lang"), F.col("phrase")]).select(
+    table = numbered(counts.where("phrase is not null"), [F.col("lang"), F.col("phrase")]).select(
         "number", "lang", "phrase", F.col("phrase").alias("last"), "f", nothing.alias("left"), nothing.alias("right"),
         F.array("f").alias("heads"), F.array("f").alias("tails"))
     tables = [cut(table)]
-    relation = cut(only_frequent(first, words.drop("n"), tables[0], ["lang", "phrase"], False))
+    if counted_small(tables[0].select("lang", "phrase"), few):
+        relation = cut(known_words(rows, tables[0]))
+    else:
+        first = cut(occurrences(rows))
+        words = first.select("lang", "block", F.posexplode("words").alias("code", "phrase"))
+        relation = cut(only_frequent(first, words, tables[0], ["lang", "phrase"], False))
     for length in range(2, longest + 1):
         counted = extended(relation).groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         before, pairs = tables[-1], numbered(counted, [F.col("left"), F.col("right")])
