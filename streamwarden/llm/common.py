@@ -33,6 +33,14 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A name for a working column that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while (name := "_" + name) in taken:
+        pass
+    return name
+
+
 def reach(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver found it, if they have it there."""
     root = str(Path(__file__).resolve().parents[2])

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.skew import sized
 from ..session import cut
-from .common import mix, parts, picked, release, shingle_sets, text_key
+from .common import fresh_name, mix, parts, picked, release, shingle_sets, text_key
 from .components import components
 
 CHUNK = 512
@@ -74,46 +75,68 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixed(rows: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, key, n, set, grams`` of each row; ``grams`` are those it is sent under."""
+    """``doc_id, key, n, set, grams, rare`` of each row; ``grams`` are those it is sent under, the first ``rare`` not found often."""
     grams, levels = common_shingles(rows)
     sent = rows.sparkSession.sparkContext.broadcast((grams, levels))
 
     def out(batches):
         common, level = sent.value
         for batch in parts(batches):
-            ns, ids, heads = [], [], []
+            ns, ids, heads, rare = [], [], [], []
             for s in shingle_sets(batch.column("text")):
                 n = len(s)
                 ns.append(n)
                 ids.append(set_id(s) if n else None)
                 keep = n - needed(n, percent) + 1 + extra(n) if n else 0
+                few = keep
                 if len(common) and n:
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     rank = np.where(common[at] == s, level[at], np.uint64(0))
                     s = s[np.argsort(rank, kind="stable")]
+                    few = min(keep, int((rank == 0).sum()))
                 heads.append(s[:keep].astype(np.int64))
+                rare.append(few)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()),
-                 pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "set", "grams"])
+                 pa.array(heads, pa.list_(pa.int64())), pa.array(rare, pa.int32())],
+                names=["doc_id", "key", "n", "set", "grams", "rare"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(out, f"doc_id {kind}, key binary, n long, set long, grams array<long>")
+    return rows.mapInArrow(out, f"doc_id {kind}, key binary, n long, set long, grams array<long>, rare int")
+
+
+def once(sets: DataFrame) -> DataFrame:
+    """``set, n, grams, rare`` of each different set with a shingle. Only sets that repeat are grouped."""
+    some = sets.where("n > 0").select("set", "n", "grams", "rare")
+    again = cut(some.groupBy("set").agg(F.count("*").alias("rows")).where("rows > 1").select("set"))
+    known = sized(again)
+    one = some.join(known, "set", "left_semi").groupBy("set").agg(*[F.first(c).alias(c) for c in ("n", "grams", "rare")])
+    return some.join(known, "set", "left_anti").union(one)
 
 
 def sharing(sets: DataFrame, percent: int) -> DataFrame:
     """``gram, set, n, size, low``: what sets that may be linked are sent under; ``low`` is the smallest set they meet there.
 
-    ``size`` is the logarithm of n in millionths; linked sets differ by at most that of 100 / percent.
+    ``size`` is the logarithm of n in millionths; linked sets differ by at most that of 100 / percent. Shingles not
+    found often have few rows, which a window compares. Of the others, smallest and largest set of each cell of that width
+    are combined before the shuffle and read from a cell and its neighbours, so that a frequent passage sends a few rows for
+    each task and not all its sets to one.
     """
-    reach = near(percent)
-    line = Window.partitionBy("gram").orderBy("size").rangeBetween(-reach, reach)
+    width = near(percent)
+    line = Window.partitionBy("gram").orderBy("size").rangeBetween(-width, width)
     least = F.floor(F.ceil(F.col("n") * percent / 100) / 16) + 1
-    rows = sets.where("n > 0").select("set", "n", F.floor(F.log("n") * 1_000_000).alias("size"), F.explode("grams").alias("gram"))
-    before = None
+    size = F.floor(F.log("n") * 1_000_000).alias("size")
+    rows = once(sets).select("set", "n", size, "rare", F.posexplode("grams").alias("at", "gram")).select(
+        "gram", "set", "n", "size", (F.col("at") >= F.col("rare")).alias("often"))
+    names, before = ["gram", "set", "n", "size", "often", "low"], None
     while True:
-        met = (rows.withColumn("low", F.min("set").over(line)).withColumn("high", F.max("set").over(line))
-               .where("low != high").select("gram", "set", "n", "size", "low").distinct())
-        met = cut(met)
+        met = (rows.where("not often").withColumn("low", F.min("set").over(line)).withColumn("high", F.max("set").over(line))
+               .where("low != high").select(*names))
+        often = rows.where("often").withColumn("cell", F.floor(F.col("size") / width))
+        ends = often.groupBy("gram", "cell").agg(F.min("set").alias("low"), F.max("set").alias("high"))
+        wide = ends.select("gram", "low", "high", F.explode(F.array(F.col("cell") - 1, "cell", F.col("cell") + 1)).alias("cell"))
+        seen = wide.groupBy("gram", "cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high")
+        met = cut(met.union(often.join(seen, ["gram", "cell"]).select(*names)))
         enough = met.groupBy("set", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
         rows = cut(met.join(enough.select("set"), "set", "left_semi"))
         now = rows.count()
@@ -302,12 +325,26 @@ def join(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "te
 def one_of_each(docs: DataFrame, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each component, with all its columns: the smallest id, nulls last, then ``text_key``.
 
-    Rows without words are components of their own and all stay.
+    Rows without words are components of their own and all stay. Of repeated rows (equal id and text) one stays, any.
+    Columns may have any names. An empty table gives no rows.
     """
-    found = groups(docs, percent, id, text)
-    texts = found.where("n_shingles > 0").select(F.col("key").alias("_key"), F.col("group").alias("_group")).distinct()
-    keyed = docs.withColumn("_key", text_key(docs[text]))
-    every = F.struct(*[keyed[c].alias(c) for c in docs.columns])
-    first = F.struct(keyed[id].isNull().alias("a"), keyed[id].alias("b"), keyed["_key"].alias("c"))
-    kept = (keyed.join(texts, "_key").groupBy("_group").agg(F.min_by(every, first).alias("row")).select("row.*"))
-    return kept.unionByName(keyed.join(texts, "_key", "left_anti").drop("_key"))
+    found = groups(docs, percent, id, text).where("n_shingles > 0")
+    first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
+    # Ids and keys alone decide; texts are moved only where the one that stays stands in several rows.
+    best = cut(found.groupBy("group").agg(F.min(first).alias("first"), F.count("*").alias("n")))
+    chosen = best.select(F.col("first.b").alias("doc_id"), F.col("first.c").alias("key"))
+    lost = cut(found.select("doc_id", "key").distinct().join(
+        chosen, found["key"].eqNullSafe(chosen["key"]) & found["doc_id"].eqNullSafe(chosen["doc_id"]), "left_anti"))
+    own_id, own_key = fresh_name(docs, "id"), fresh_name(docs, "key")
+    keyed = docs.withColumns({own_id: docs[id], own_key: text_key(docs[text])})
+    gone = keyed[own_id].eqNullSafe(lost["doc_id"]) & (keyed[own_key] == lost["key"])
+    kept = keyed.join(sized(lost), gone, "left_anti")
+    again = found.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "key")
+    if not again.isEmpty():
+        again = cut(again)
+        twice = keyed[own_id].eqNullSafe(again["doc_id"]) & (keyed[own_key] == again["key"])
+        names = docs.columns
+        single = kept.join(again, twice, "left_semi").groupBy(own_id, own_key).agg(
+            F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("row")).select("row.*")
+        return kept.join(again, twice, "left_anti").select(*[F.col(f"`{c}`") for c in names]).unionByName(single)
+    return kept.drop(own_id, own_key)

@@ -240,6 +240,47 @@ def test_one_of_each_component(odd, none):
     assert ngram_join.one_of_each(none).count() == 0
 
 
+def test_one_of_each_with_working_names_of_its_own(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = [(1, text, "a", 5, "p"), (2, text, "b", 6, "q"), (1, text, "c", 7, "r"), (3, None, "d", 8, "s"), (3, None, "e", 9, "t")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _key string, _id int, `_group` string")
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert sorted(r[0] for r in kept) == [1, 3, 3] and set(kept) <= set(docs)
+
+
+def test_frequent_shingles_meet_by_cells(spark, monkeypatch):
+    """The same components when every shingle counts as frequent."""
+    rng = __import__("random").Random(3)
+    base = [f"w{rng.randrange(50)}" for _ in range(120)]
+    docs = []
+    for i in range(60):
+        w = list(base[:rng.choice([60, 75, 90, 110, 120])])
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10 ** 6)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = pairs(ngram_join.join(df))
+    monkeypatch.setattr(ngram_join, "COMMON_ROWS", 1)
+    monkeypatch.setattr(ngram_join, "COMMON_SHARE", 0.0)
+    assert pairs(ngram_join.join(df)) == want
+    up = {i: i for i in range(60)}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    sets = [set(shingles(t)) for _, t in docs]
+    for i in range(60):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    assert [(d, root(d)) for d in range(60)] == sorted((r[0], r[2]) for r in want)
+
+
 @pytest.mark.parametrize("heap", [10**9, 0])
 def test_search_finds_what_pairs_find(monkeypatch, heap):
     import numpy as np
@@ -325,8 +366,16 @@ def test_shards_are_near_equal(spark, sf):
 
 def test_mixing_odd_rows(odd, none):
     got = mixing.mix(odd, {"src0": 3.0, "src1": 0.0})
-    assert [c for c in got.columns if c in odd.columns] == [c for c in odd.columns if c != "copies"]
+    added = ["copies", "copy", "shuffle_key"]  # the fixture has a column "copies" too, which is replaced
+    assert got.columns == [c for c in odd.columns if c not in added] + added
     found = got.collect()
+    assert all(isinstance(r["copies"], int) and isinstance(r["copy"], int) and 0 <= r["shuffle_key"] < 1 << 60 for r in found)
+    by_row = collections.Counter((r["doc_id"], r["text"], r["copies"]) for r in found)
+    times = collections.Counter((r[0], r[1]) for r in rows())
+    assert all(n == copies * times[id, text] for (id, text, copies), n in by_row.items())
+    kept = [c for c in odd.columns if c not in added]
+    given = {tuple(r) for r in odd.select(*kept).collect()}
+    assert all(tuple(r[c] for c in kept) in given for r in found)
     assert all(r["source"] != "src1" and 0 <= r["copy"] < r["copies"] for r in found)
     again = mixing.mix(odd.repartition(5), {"src0": 3.0, "src1": 0.0}).collect()
     brief = lambda rs: sorted((str(r["doc_id"]), r["copy"], r["shuffle_key"]) for r in rs)
@@ -336,6 +385,22 @@ def test_mixing_odd_rows(odd, none):
     assert mixing.mix(none, {}).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, f"t{i}", "a", f"h{i}", "u", "x", "m", 1) for i in range(30)],
+                               "doc_id long, text string, source string, _hash string, _u string, _steps string, _mix_hash string, `a.b` int")
+    got = mixing.mix(df, {}, budget=400)
+    assert got.columns == df.columns + ["copies", "copy", "shuffle_key"]
+    assert got.count() > 0 and all(r["_hash"] == f"h{r['doc_id']}" and r["_mix_hash"] == "m" and r["a.b"] == 1 for r in got.collect())
+
+
+def test_mixing_refuses_endless_copies_and_takes_large_means(spark):
+    df = spark.createDataFrame([(1, "x", "small"), (2, "y" * 100, "large")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="small"):
+        mixing.mix(df, {}, budget=10 ** 8)
+    got = mixing.mix(df, {"large": 0.0}, budget=2 * 50_000).count()  # a mean of 50 000 copies of one row
+    assert abs(got - 50_000) < 12 * 50_000 ** 0.5
+
+
 def test_mixing_reaches_the_rates(spark):
     docs = spark.range(20_000).selectExpr("id as doc_id", "cast('x' as string) text", "if(id % 10 = 0, 'a', 'b') source")
     got = {r["source"]: r["n"] for r in mixing.mix(docs, {"a": 1.0, "b": 1.0}).groupBy("source").count()
