@@ -5,8 +5,8 @@ phrase it is. It is stored sorted, in blocks of whole documents of one language:
 between successive places (words of one piece have successive places, a place is left free between
 pieces), ``codes`` number the phrases of the block, ``ids`` give their numbers in the table of all frequent phrases.
 
-1. Words of all texts make the first relation; their counts, summed over blocks, the first table.
-2. Occurrences of infrequent phrases leave the relation (a semi-join).
+1. Words of all texts are counted: the first table.
+2. Occurrences of infrequent phrases leave the relation (a semi-join); what is left is written.
 3. The relation is merge-joined with itself by piece and adjacent place: a phrase of k words and the one that
    begins a word later make one of k + 1. Groups are counted in the block, then in Spark.
 4. Steps 2 and 3 go on to the longest length. A phrase is known by the numbers of its two parts, so counts are exact.
@@ -28,7 +28,8 @@ from ..operators.skew import counted_small
 from ..session import cut
 from .common import _LOWER, numbered, release, slices, words_in
 
-BLOCK_BYTES, BLOCK_WORDS = 4_000_000, 3_000_000
+BLOCK_BYTES, BLOCK_WORDS = 4_000_000, 1_500_000
+ROWS = 50_000  # sent to Spark at once
 LOOKED_UP = 2_000_000  # phrases a task may hold: 8 bytes each, words also their text
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -67,9 +68,12 @@ def word_counts(rows: DataFrame) -> DataFrame:
     def made(batches):
         release()
         for name, _, codes, words in _tokens(batches):
-            counts = [*np.bincount(codes).tolist(), len(codes)]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(counts), pa.string()), pa.array([*words, None], pa.string()),
-                                              pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+            counts, words = [*np.bincount(codes).tolist(), len(codes)], [*words, None]
+            for first in range(0, len(counts), ROWS):
+                some = slice(first, first + ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(counts[some]), pa.string()), pa.array(words[some], pa.string()),
+                     pa.array(counts[some], pa.int64())], names=["lang", "phrase", "n"])
 
     return rows.mapInArrow(made, "lang string, phrase string, n long")
 
@@ -171,20 +175,23 @@ def adjacent(place: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return place[at], both, np.stack([pairs // size, pairs % size])
 
 
-def extended(relation: DataFrame) -> DataFrame:
-    """``block, code, left, right, n``: the phrases one word longer in each block, with their counts there."""
+def extended(relation: DataFrame, placed: bool = False) -> DataFrame:
+    """``left, right, n``: the phrases one word longer in each block, with their counts there; if ``placed`` also ``block, code``."""
+    columns = ["block", "code"] * placed + ["left", "right", "n"]
+
     def made(batches):
         release()
         for block, steps, codes, ids in _blocks(batches, "block", "steps", "codes", "ids"):
             _, both, pairs = adjacent(np.cumsum(steps, dtype=np.int64), codes)
-            if len(both):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([ids[pairs[0]]], pa.list_(pa.int64())),
-                     pa.array([ids[pairs[1]]], pa.list_(pa.int64())), pa.array([np.bincount(both)], pa.list_(pa.int64()))],
-                    names=["block", "left", "right", "n"])
+            counts = np.bincount(both)
+            for first in range(0, len(counts), ROWS):
+                some = slice(first, first + ROWS)
+                n = len(counts[some])
+                held = {"block": np.full(n, block, np.int64), "code": np.arange(first, first + n), "left": ids[pairs[0][some]],
+                        "right": ids[pairs[1][some]], "n": counts[some].astype(np.int64)}
+                yield pa.RecordBatch.from_arrays([pa.array(held[c]) for c in columns], names=columns)
 
-    found = relation.mapInArrow(made, "block long, left array<long>, right array<long>, n array<long>")
-    return found.select("block", F.posexplode(F.arrays_zip("left", "right", "n")).alias("code", "g")).select("block", "code", "g.*")
+    return relation.mapInArrow(made, ", ".join(f"{c} long" for c in columns))
 
 
 def looked_up(relation: DataFrame, table: DataFrame, size: int) -> DataFrame:
@@ -242,7 +249,7 @@ def frequent_phrases(rows: DataFrame, longest: int, least: int, few: int) -> tup
             if tables[-1].limit(few + 1).count() <= few and size < 1 << 31:
                 relation = cut(looked_up(relation, tables[-1], size))
             else:
-                relation = cut(only_frequent(relation, extended(relation).drop("n"), tables[-1], ["left", "right"], True))
+                relation = cut(only_frequent(relation, extended(relation, True).drop("n"), tables[-1], ["left", "right"], True))
     return tables, sizes
 
 
