@@ -1,10 +1,10 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-A document's words give five-word shingles. Where it holds one of an item's rarest
-shingles (so few that a window reaching the similarity must hold one), the item is
-laid over the document at that place: the window there, of the item's own length, gets
-a weighted 64-bit SimHash. Fingerprints meet in a multi-index: the bits are cut into
-radius + 1 blocks, of which two fingerprints within the radius share one. Pairs within
+A document's words give five-word shingles. A window of an item's own length that reaches the similarity
+holds one of the item's rarest shingles (so few that it must). So where a document holds one, all windows of that length
+over it are looked at, wherever in them it stands; those with too few shingles of the item to reach the similarity are
+dropped by a sliding count. The others get a weighted 64-bit SimHash. Fingerprints meet in a multi-index:
+the bits are cut into radius + 1 blocks, of which two fingerprints within the radius share one. Pairs within
 the radius are then decided by their exact weighted similarity: the sum of the smaller
 over the sum of the larger counts of their shingles. All steps are SQL functions.
 """
@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.binding import let
 from ..operators.skew import sized
 from ..session import cut
-from .common import picked, text_key
+from .common import fresh_name, picked, text_key
 
 SHINGLE = 5
 RADIUS = 20
@@ -66,24 +67,37 @@ def similarity(a: str, b: str) -> Column:
 
 
 def items_of(benchmark: DataFrame, id: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Items with fingerprint, and the seeds: (shingle, place in the item, length) of their rarest shingles.
+    """Items with fingerprint, and the seeds: shingle to the items (by hash) of whose rarest shingles it is one.
 
     Among n shingles any n - ceil(threshold n) + 1 will do; those of fewest items are taken.
     """
     rows = picked(benchmark, item_id=id, text=text)
     distinct = shingled(rows.dropDuplicates(["item_id", "text"]), "text").where("n_words > 0").drop("text")
-    items = cut(distinct.withColumn("print", simhash("grams")))
-    placed = items.select("item_id", "n_words", F.xxhash64("item_id", "grams").alias("_item"), F.size("grams").alias("n"),
-                          F.posexplode("grams").alias("place", "gram"))
+    items = cut(distinct.withColumn("print", simhash("grams")).withColumn("item", F.xxhash64("grams")))
+    placed = items.select(F.col("item").alias("_item"), "grams").dropDuplicates(["_item"]).select(
+        "_item", F.size("grams").alias("n"), F.posexplode("grams").alias("place", "gram"))
     spread = placed.groupBy("gram").agg(F.count_distinct("_item").alias("_df"))
     order = Window.partitionBy("_item").orderBy("_df", "gram", "place")
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1
     seeds = (placed.join(spread, "gram").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= keep)
-             .select("gram", "place", "n_words").distinct()
-             .groupBy("gram").agg(F.collect_set(F.struct("place", "n_words")).alias("_seeds")))
+             .groupBy("gram").agg(F.collect_set("_item").alias("_items")))
     return items, seeds
 
 
+def starts(grams: str, ats: str, own: str, threshold: float) -> Column:
+    """First places of the windows over the hits ``ats`` that hold enough shingles of the item ``own``.
+
+    Windows are as long as the item, or the text if that is shorter, and do not stick out of it.
+    """
+    size, length = F.size(grams), F.least(F.size(grams), F.size(own))
+    over = F.array_distinct(F.flatten(F.transform(ats, lambda at: F.transform(
+        F.sequence(at - length + 1, at), lambda p: F.greatest(F.lit(0), F.least(p, size - length))))))
+    need = F.ceil((F.size(own) + length) * F.lit(threshold / (1 + threshold)) - F.lit(1e-6))
+    places = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.array_contains(own, F.get(grams, i)))
+    return let(places, lambda places: F.filter(over, lambda p: F.size(
+        F.filter(places, lambda i: (i >= p) & (i < p + length))) >= need))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS,
                  text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``key, item_id, similarity, first_word``: each text that holds an item, with its best window.
@@ -96,14 +110,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     items, seeds = items_of(benchmark, item_id, item_text, threshold)
     seeds = sized(seeds, keep=True)
     rows = picked(docs, text=text).select("text", text_key(F.col("text")).alias("key"))
-    rows = shingled(rows, "text").select("key", "n_words", "grams").where("n_words > 0")
-    hits = (rows.select("*", F.posexplode("grams").alias("at", "gram")).join(seeds, "gram")
-            .select("key", "grams", F.size("grams").alias("n"), "at", F.explode("_seeds").alias("seed")))
-    length = F.greatest(F.lit(1), F.col("seed.n_words") - (SHINGLE - 1))
-    first = F.greatest(F.lit(0), F.least(F.col("at") - F.col("seed.place"), F.col("n") - length))
-    windows = (hits.withColumn("first_word", first).withColumn("window", F.slice("grams", first + 1, length))
-               .groupBy("key", "first_word", F.col("seed.n_words").alias("n_words"))
-               .agg(F.first("window").alias("window")).withColumn("print", simhash("window")))
+    grams = shingled(rows, "text").select("key", F.posexplode("grams").alias("at", "gram"))
+    hits = cut(grams.join(seeds, "gram").select("key", "at", F.explode("_items").alias("item")).groupBy("key", "item").agg(
+        F.collect_set("at").alias("ats")))
+    # Only the texts that were hit are read again; the first pass moved no arrays.
+    texts = rows.join(sized(hits.select("key").distinct(), keep=True), "key", "left_semi").dropDuplicates(["key"])
+    whole = items.select("item", "n_words", F.col("grams").alias("own")).dropDuplicates(["item"])
+    found = shingled(texts, "text").select("key", "grams").join(hits, "key").join(sized(whole, keep=True), "item")
+    windows = (found.select("key", "n_words", "grams", F.explode(starts("grams", "ats", "own", threshold)).alias("first_word"), F.size("own").alias("n"))
+               .groupBy("key", "first_word", "n_words").agg(F.first(F.slice("grams", F.col("first_word") + 1, F.col("n"))).alias("window"))
+               .withColumn("print", simhash("window")))
     windows = cut(windows)
     left = windows.select("*", F.explode(blocks("print", radius)).alias("b"))
     right = items.select("item_id", F.col("n_words").alias("_n"), F.col("grams").alias("item"),
@@ -129,7 +145,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS,
                   text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no item."""
-    found = contaminated(docs, benchmark, threshold, radius, text).select(F.col("key").alias("_leak")).distinct()
-    return docs.withColumn("_key", text_key(docs[text])).join(
-        found, F.col("_key") == F.col("_leak"), "left_anti").drop("_key")
+    """The rows of ``docs`` whose text holds no item, with all their columns, whatever their names.
+
+    Rows with a null, empty or wordless text stay, repeated rows stay or go together, an empty table gives no rows, and an
+    empty benchmark leaves all rows.
+    """
+    own = fresh_name(docs, "key")
+    found = contaminated(docs, benchmark, threshold, radius, text).select(F.col("key").alias(own)).distinct()
+    return docs.withColumn(own, text_key(docs[text])).join(sized(found, keep=True), own, "left_anti").select(
+        *[F.col(f"`{c}`") for c in docs.columns])

@@ -457,6 +457,48 @@ def leaks_of(row, items):
     return False
 
 
+def test_leaks_in_shifted_windows(spark):
+    """Seeds between an insertion and a deletion, seeds behind moved parts, windows against all of a brute force."""
+    import random
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    front, end = [word() for _ in range(60)], [word() for _ in range(60)]
+    items = [front + [word() for _ in range(34)] + end for _ in range(3)] + [[word() for _ in range(n)] for n in (15, 40, 60)]
+    docs = []
+    for item in items[:3]:
+        docs.append([word() for _ in range(30)] + item[:20] + [word() for _ in range(8)] + item[20:-8] + [word() for _ in range(40)])
+    for item in items[3:]:
+        n = len(item)
+        docs.append(item[n // 2:] + item[:n // 2])  # halves changed places
+        docs.append([word() for _ in range(5)] + item[:n - n // 10] + [word() for _ in range(20)])
+        docs.append(item[:n // 3] + [word() for _ in range(2)] + item[n // 3:] + [word()])
+        docs.append(item[:n // 2] + [word() for _ in range(30)] + item[n // 2:])
+        docs.append(item[:-1])
+        docs.append([word() for _ in range(9)] + item + [word() for _ in range(9)] + item[2:])
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = {}
+    for i, d in enumerate(docs):
+        for k, t in enumerate(items):
+            doc, item = shingles(" ".join(d)), shingles(" ".join(t))
+            size = min(len(doc), len(item))
+            for at in range(len(doc) - size + 1):
+                a, b = collections.Counter(item), collections.Counter(doc[at:at + size])
+                found = sum((a & b).values()) / sum((a | b).values())
+                if found >= 0.8 and found > want.get((i, k), (0, 0))[0]:
+                    want[i, k] = found, at
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontaminate.leaks(df, bench).collect()}
+    assert set(got) == set(want) and {(0, 0), (1, 1), (2, 2)} <= set(got)
+    assert all(got[k][1] == at and got[k][0] == pytest.approx(found) for k, (found, at) in want.items())
+
+
+def test_without_leaks_with_working_names_of_its_own(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, item, "a", "b", 1), (2, "clean text", "c", None, 2)], "doc_id long, text string, _key string, key string, `x.y` int")
+    got = decontaminate.without_leaks(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(2, "clean text", "c", None, 2)]
+
+
 def test_blocks_cover_the_radius():
     """Two 64-bit numbers within the radius agree on one of radius + 1 blocks at least."""
     import random
