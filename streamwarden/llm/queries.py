@@ -84,7 +84,7 @@ def op6_ngram_join(spark, sf_dir):
 
 @query()
 def op7_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.without_repeats(documents(spark, sf_dir)).drop("removed")
+    return suffix_dedup.without_repeats(documents(spark, sf_dir))
 
 
 @query()

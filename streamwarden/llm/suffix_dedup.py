@@ -7,15 +7,15 @@ so the suffixes that can match are first brought together:
 1. Every window of ``width`` bytes has an anchor, its ``gram``-byte string of least hash
    (the leftmost of equals). Equal windows have equal anchors at the same offset. The
    windows of one anchor are a run; together they span one segment of the text.
-2. Segments whose anchor string occurs once are done. The others meet by anchor.
+2. Segments whose anchor string occurs once are done. Of the others equal ones (same bytes, same place of
+   the anchor) are found first: all of their windows repeat. The different ones, each once, meet by anchor.
 3. A task builds the suffix order of its segments column by column, from the right:
    each round inserts one symbol for every segment (the next column of the collection's
    Burrows-Wheeler transform), sorts the suffixes by it from their order before, and
    updates the common prefixes of neighbours. As equal windows lie in the same column,
    suffixes of different columns need not be merged. A window repeats if it shares ``width`` bytes with a
    neighbour. Batches of whole anchors bound the memory; columns are read in sequence.
-4. Of an anchor with more than ``COPIES`` segments equal ones are first made one (all of
-   their windows repeat). If over ``LIMIT`` different ones are left, its windows go into
+4. If an anchor has over ``LIMIT`` different segments, its windows go into
    classes by their offset, each keyed by the bytes that all windows of the class share,
    with classes of 64, 8 and at last one window, whose key is the window itself.
 """
@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.skew import sized
 from ..session import cut
-from .common import _BYTE, _powers, mix, parts, picked, slices, text_key
+from .common import _BYTE, _powers, held_twice, mix, parts, picked, slices, text_key
 
 WIDTH = 400
-COPIES, LIMIT = 2_000, 20_000
+LIMIT = 20_000
 BATCH = 4_000  # segments from which on a batch is sorted
 CLASSES = (64, 8, 1)
 
@@ -227,38 +227,59 @@ def repeats(rows: DataFrame, width: int = WIDTH, limit: int = LIMIT) -> tuple[Da
     long = rows.where(F.octet_length("text") >= width)
     runs = long.mapInArrow(marked, "key binary, gram array<long>, first array<int>, last array<int>, place array<int>")
     once = cut(runs.groupBy("key").agg(*[F.first(c).alias(c) for c in ("gram", "first", "last", "place")]))
-    each = once.select("key", F.inline(F.arrays_zip("gram", "first", "last", "place")))
-    often = each.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    marks = (each.join(often, "gram").groupBy("key")
-             .agg(F.collect_list(F.struct("gram", "first", "last", "place", (F.col("n") > min(limit, COPIES)).alias("hot"))).alias("marks")))
-    marks = cut(marks)
+    each = cut(once.select("key", F.inline(F.arrays_zip("gram", "first", "last", "place"))))
+    marks = cut(held_twice(each, ["gram"]).groupBy("key").agg(F.collect_list(F.struct("gram", "first", "last", "place")).alias("marks")))
     wanted = sized(marks.select("key"))  # keys alone; beyond a counted size the texts are shuffled instead
     texts = cut(long.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(marks, "key"))
 
+    def named(batches):
+        """All segments by a hash of their bytes."""
+        for key, text, found in few_at_once(batches, "key", "text", "marks"):
+            data = text.encode()
+            same = [hashlib.blake2b(data[m["first"]:m["last"] + width], digest_size=16).digest() for m in found]
+            columns = [np.array([m[c] for m in found]) for c in ("gram", "first", "last", "place")]
+            gram, first, last, place = columns
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * len(found), pa.binary()), pa.array(gram, pa.int64()), pa.array(first, pa.int32()),
+                 pa.array(last, pa.int32()), pa.array((first - place).astype(np.int32)), pa.array(same, pa.binary())],
+                names=["key", "gram", "first", "last", "place", "same"])
+
+    segments = cut(texts.mapInArrow(named, "key binary, gram long, first int, last int, place int, same binary"))
+    alike = ["gram", "place", "same"]
+    spans = held_twice(segments, alike).select(
+        "key", F.col("first").cast("long").alias("begin"), (F.col("last") + width).cast("long").alias("end"))
+    # What is left to sort are the different segments of an anchor, each once; equal ones repeat as a whole.
+    different = cut(segments.groupBy(*alike).agg(F.min(F.struct("key", "first", "last")).alias("one")).select(
+        "gram", "place", "one.key", "one.first", "one.last"))
+    mixed = cut(held_twice(different, ["gram"]))
+    often = cut(mixed.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("gram", F.lit(True).alias("hot")))
+    asked = mixed.join(sized(often), "gram", "left").groupBy("key").agg(F.collect_list(F.struct(
+        "gram", "first", "last", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("segs"))
+
     def emitted(batches):
         out = []
-        for key, text, found in few_at_once(batches, "key", "text", "marks"):
+        for key, text, found in few_at_once(batches, "key", "text", "segs"):
             data = text.encode()
             for m in found:
-                out.append((m["gram"].to_bytes(8, "little", signed=True), key, m["first"], m["first"] - m["place"],
+                out.append((m["gram"].to_bytes(8, "little", signed=True), key, m["first"], m["place"],
                             data[m["first"]:m["last"] + width], m["hot"]))
                 if len(out) == 2048:
                     yield _segment_batch(out)
                     out = []
         yield _segment_batch(out)
 
-    segments = texts.mapInArrow(emitted, SEGMENT + ", hot boolean")
-    spans = sort_segments(segments.where("not hot").drop("hot"), width)
-    hot = segments.where("hot").drop("hot")
-    if often.where(F.col("n") > min(limit, COPIES)).isEmpty():
-        return texts.select("key", "text"), spans
-    for size in [None, *(c for c in CLASSES if c == 1 or 2 * c <= width)]:
-        one, alike = made_one(cut(hot if size is None else divided(hot, width, size)))
-        counted = one.join(one.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "gram")
-        spans = spans.union(alike).union(sort_segments(counted.where(F.col("n") <= limit).drop("n"), width))
-        hot = counted.where(F.col("n") > limit).drop("n")
-        if hot.isEmpty():
-            break
+    bytes_of = texts.select("key", "text").join(cut(asked), "key").mapInArrow(emitted, SEGMENT + ", hot boolean")
+    spans = spans.union(sort_segments(bytes_of.where("not hot").drop("hot"), width))
+    if not often.isEmpty():
+        hot = cut(bytes_of.where("hot").drop("hot"))
+        for size in (c for c in CLASSES if c == 1 or 2 * c <= width):
+            one, repeated = made_one(cut(divided(hot, width, size)))
+            counted = held_twice(cut(one), ["gram"])
+            many = cut(counted.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("gram"))
+            spans = spans.union(repeated).union(sort_segments(counted.join(sized(many), "gram", "left_anti"), width))
+            if many.isEmpty():
+                break
+            hot = cut(counted.join(sized(many), "gram", "left_semi"))
     return texts.select("key", "text"), spans
 
 
@@ -278,7 +299,7 @@ def _segment_batch(out: list[tuple]) -> pa.RecordBatch:
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, limit: int = LIMIT, id: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed`` of every row; ``removed`` has the runs taken out.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, removed`` of every row; ``removed`` has the runs taken out.
 
     Lengths are in UTF-8 bytes. A null text counts as empty and shorter texts than
     ``width`` lose nothing. Two rows of the same text repeat each other, so both lose all of
@@ -320,4 +341,4 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, limit: int = LIMIT, id:
     return brief.join(single.union(all_of), "key", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"),
-        F.coalesce("runs", F.array().cast("array<array<bigint>>")).alias("removed"))
+        (F.col("n_bytes") - F.coalesce("n_removed", F.lit(0))).alias("n_kept"), F.coalesce("runs", F.array().cast("array<array<bigint>>")).alias("removed"))

@@ -331,7 +331,11 @@ def repeats_by_hand(width):
 
 @pytest.mark.parametrize("width, limit", [(40, 2000), (40, 2), (8, 1)])
 def test_repeats(odd, none, width, limit):
-    assert pairs(suffix_dedup.without_repeats(odd, width, limit).drop("removed")) == repeats_by_hand(width)
+    got = suffix_dedup.without_repeats(odd, width, limit)
+    assert pairs(got.drop("removed", "n_kept")) == repeats_by_hand(width)
+    for r in got.collect():
+        assert r["n_kept"] == r["n_bytes"] - r["n_removed"]
+        assert len(r["removed"]) == r["n_spans"] and sum(b - a for a, b in r["removed"]) == r["n_removed"]
     assert suffix_dedup.without_repeats(none, width, limit).count() == 0
 
 
