@@ -74,8 +74,11 @@ def _checked(spark, sf):
     return registry.detect_duplicates(registrations(spark, sf))
 
 
-@query(f"with {Q}, {_DUP} select o_orderkey registration_id, f = o_orderkey is_unique, "
-       "case when f <> o_orderkey then f end equivalent_to from d")
+SQL_OF_DUPLICATES = (f"with {Q}, {_DUP} select o_orderkey registration_id, f = o_orderkey is_unique, "
+                     "case when f <> o_orderkey then f end equivalent_to from d")
+
+
+@query(SQL_OF_DUPLICATES)
 def duplicate_queries(spark, sf):
     return _checked(spark, sf).select("registration_id", "is_unique", "equivalent_to")
 

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import literals
 from ..operators.windows import Agg
-from ..operators import events, rules, windows
-from ..session import scratch_path
-from ..streaming import monitor
-from . import tables
+from ..operators import events, rules, skew, windows
+from ..session import cut, scratch_path
+from ..sinks import incremental
+from ..streaming import carried, monitor
+from . import registry_queries, tables
 from .continuous import ContinuousQuery, WindowSpec
 from .registered import HOUR, MINUTE, query, win
 from .window_queries import _USER_SQL, bounds, user_query
@@ -261,3 +262,98 @@ def stream_live_delivery(spark, sf):
                         grants_path=paths["grants"]).awaitTermination()
     out = spark.read.parquet(paths["delivered"] + "/delivered")
     return out.select("subscriber", "stream", *bounds(), "value", "derived_o")
+
+
+# --- jobs that hand tables from batch to batch; events come in four parts, every tenth of them a part too late ---------
+
+PARTS = 4
+_ARRIVED = (f"r as (select *, (row_number() over (order by ts, event_id) - 1) * {PARTS} // count(*) over () p from events), "
+            f"arrived as (select *, least({PARTS - 1}, p + if(event_id % 10 = 0, 1, 0)) part from r)")
+
+
+def _arriving(spark, sf, job, end=None):
+    """Runs ``job(stream)`` after each part has landed, as a service would that is started again and again."""
+    events = tables.load(spark, sf, "events")
+    order = skew.positions(events, [], ["ts", "event_id"], "_pos").crossJoin(F.broadcast(events.agg(F.count("*").alias("n"))))  # one row
+    part = F.expr(f"least({PARTS - 1}, cast((_pos - 1) * {PARTS} div n + if(event_id % 10 = 0, 1, 0) as int))")
+    arrived, folder = cut(order.withColumn("part", part).select(*events.columns, "part")), scratch_path(spark, "arriving")
+    arrived.limit(0).drop("part").write.parquet(folder)
+    for k in range(PARTS + (end is not None)):
+        rows = arrived.where(F.col("part") == k).drop("part") if k < PARTS else end.rows
+        rows.coalesce(1).write.mode("append").parquet(folder)
+        job(spark.readStream.schema(events.schema).parquet(folder)).awaitTermination()
+
+
+@query(f"with {_ARRIVED}, m as (select part, max(epoch_us(ts)) - 3600000000 upto from arrived group by 1), "
+       "k as (select a.*, coalesce(epoch_us(ts) < (select max(upto) from m where m.part < a.part), false) late from arrived a), "
+       f"ok as (select * from k where not late), {win(R, S, 'ok')} "
+       "select 'window' kind, event_type, ws at_ms, count(*) n, cast(sum(cents) as bigint) total from w group by all "
+       "union all select 'late', event_type, event_id, 1, round(value * 100)::bigint from k where late")
+def stream_late_rows(spark, sf):
+    """Sliding windows over rows of which some come late, and the late rows beside them: no row is lost."""
+    out, checkpoint, end = scratch_path(spark, "late"), scratch_path(spark, "late-checkpoint"), end_of(spark, sf)
+
+    def job(stream):
+        rows = stream.select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("event_time"),
+                             F.round(F.col("value") * 100).cast("long").alias("cents"))
+        return carried.sliding_with_late(rows, "event_time", R, S, [Agg("count", "*", "n"), Agg("sum", "cents", "total")], ["event_type"],
+                                         out, checkpoint, delay_ms=HOUR, available_now=True)
+
+    _arriving(spark, sf, job, end)
+    windows_of = spark.read.parquet(f"{out}/results").select(
+        F.lit("window").alias("kind"), "event_type", tables.ms("window_start").alias("at_ms"), "n", "total")
+    late = spark.read.parquet(f"{out}/late").select(
+        F.lit("late").alias("kind"), "event_type", F.col("event_id").cast("long").alias("at_ms"), F.lit(1).cast("long").alias("n"),
+        F.col("cents").alias("total"))
+    return windows_of.unionByName(late)
+
+
+@query("select event_id, row_number() over (order by ts, event_id) as position from events")
+def stream_earliest_first(spark, sf):
+    """Events that come out of order leave the queue in order of their time."""
+    out, checkpoint, end = scratch_path(spark, "queue"), scratch_path(spark, "queue-checkpoint"), end_of(spark, sf)
+    last = tables.load(spark, sf, "events").agg(F.max("ts").alias("last"))
+    span = tables.load(spark, sf, "events").agg(
+        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000).cast("long")).first()[0]
+
+    def job(stream):
+        rows = stream.select("event_id", F.col("ts").cast("timestamp").alias("event_time"))
+        return carried.earliest_first(rows, "event_time", "event_id", [], out, checkpoint, delay_ms=span, available_now=True)
+
+    _arriving(spark, sf, job, end)
+    released = spark.read.parquet(f"{out}/released")
+    real = last.select(F.col("last").cast("timestamp").alias("last"))  # one row
+    return released.join(F.broadcast(real), released["event_time"] <= real["last"]).select("event_id", "position")
+
+
+@query(registry_queries.SQL_OF_DUPLICATES)
+def stream_duplicate_queries(spark, sf):
+    """Registrations checked against the registry as they arrive, in three batches by date."""
+    out, checkpoint, folder = (scratch_path(spark, k) for k in ("checked", "checked-checkpoint", "arriving"))
+    every = cut(registry_queries.registrations(spark, sf))
+    dates = every.agg(*[F.percentile_approx(F.unix_micros(F.col("registered_at").cast("timestamp")), q) for q in (0.33, 0.66)]).first()
+    at = F.unix_micros(F.col("registered_at").cast("timestamp"))
+    every.limit(0).write.parquet(folder)
+    for part in (at <= dates[0], (at > dates[0]) & (at <= dates[1]), at > dates[1]):
+        every.where(part).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(every.schema).parquet(folder)
+        carried.check_registrations(stream, out, checkpoint, available_now=True).awaitTermination()
+    return spark.read.parquet(f"{out}/checked").select("registration_id", "is_unique", "equivalent_to")
+
+
+@query(f"with m as (select event_id id, concat('{BASE}', user_id, '/') stream, date_trunc('day', ts) d, ts from events), "
+       "r as (select *, row_number() over (partition by stream, d order by ts, id) - 1 p from m), "
+       "o as (select distinct stream, d, ts from r where p > 0 and p % 20 = 0), "
+       "x as (select m.*, (select max(o.ts) from o where o.stream = m.stream and o.d = m.d and o.ts <= m.ts) n from m) "
+       "select id, stream, concat(stream, coalesce(epoch_us(n) // 1000, epoch_us(d::timestamp) // 1000), '/') new_bucket from x")
+def stream_incremental_store(spark, sf):
+    """Members stored as they arrive, in four batches that rewrite only the days and streams they touch."""
+    out, checkpoint = scratch_path(spark, "store"), scratch_path(spark, "store-checkpoint")
+
+    def job(stream):
+        rows = stream.select(F.col("event_id").alias("id"), tables.user_url().alias("stream"), F.col("ts").cast("timestamp").alias("event_time"))
+        return carried.store(rows, out, checkpoint, available_now=True)
+
+    _arriving(spark, sf, job)
+    kind = dict(tables.load(spark, sf, "events").dtypes)["event_id"]
+    return incremental.current(spark, out, PARTS - 1, f"id {kind}, stream string, event_time timestamp").select("id", "stream", "new_bucket")
