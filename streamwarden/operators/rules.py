@@ -54,6 +54,32 @@ class Path:
     derived: str
 
 
+@dataclass(frozen=True)
+class Body:
+    """All ``premises`` hold for one binding of their variables, and so do ``tests`` on them => ``conclusion``.
+
+    A test is (variable, comparison name, number or other variable); a variable compared with a number has
+    to be one. Premises have to be connected by shared variables, and the conclusion uses theirs only.
+    """
+
+    rule_id: str
+    premises: tuple[tuple[str, str, str], ...]
+    conclusion: tuple[str, str, str]
+    tests: tuple[tuple[str, str, float | str], ...] = ()
+
+    def __post_init__(self):
+        bound, left = {t for t in self.premises[0] if t.startswith("?")}, list(self.premises[1:])
+        while left:
+            near = next((p for p in left if bound & set(p)), None)
+            if near is None:
+                raise ValueError(f"{self.rule_id}: premises without a common variable")
+            left.remove(near)
+            bound |= {t for t in near if t.startswith("?")}
+        used = [*self.conclusion, *(x for v, _, b in self.tests for x in (v, b) if isinstance(x, str))]
+        if any(t.startswith("?") and t not in bound for t in used):
+            raise ValueError(f"{self.rule_id}: a variable that no premise binds")
+
+
 def threshold_rules(bounds: list[tuple[float | None, float | None, str]], **common) -> list[Threshold]:
     """Rules over (lower, upper] ranges; None leaves a side open."""
     def tests(low, high):
@@ -128,13 +154,15 @@ def apply_template(triples: DataFrame, rule: Template) -> DataFrame:
     return made.where(F.col("c").isNotNull()).select("c.*").distinct()
 
 
-def fixpoint(facts: DataFrame, rules: list[Threshold | Template | Path], max_rounds: int | None = None) -> DataFrame:
+def fixpoint(facts: DataFrame, rules: list[Threshold | Template | Path | Body], max_rounds: int | None = None) -> DataFrame:
     """All triples that follow from ``facts``, the facts themselves excluded.
 
     Each round reads only what the last round added, and is written out, so the
     plan stays short and a lost executor costs one round. Threshold and template
     rules are one projection of a triple; path rules are equi joins of the new
-    triples with all known ones. Facts on predicates no rule mentions are left out.
+    triples with all known ones. A rule with a body is joined once for each premise that may take a new triple,
+    the premises before it from what was known a round earlier, so no binding is found twice. Facts on predicates
+    no rule mentions are left out.
     Rounds go on until nothing new follows; ``max_rounds`` is for callers that would rather fail.
     """
     read, made = _predicates(rules)
@@ -142,14 +170,14 @@ def fixpoint(facts: DataFrame, rules: list[Threshold | Template | Path], max_rou
     if read is not None and made is not None:
         wanted = wanted.where(F.col("p").isin(sorted(read | made)))
     known = cut(wanted.distinct())
-    fresh, added = known, None
+    fresh, added, old = known, None, None
     for _ in count() if max_rounds is None else range(max_rounds):
-        produced = _concluded(fresh, known, rules).distinct()
+        produced = _concluded(fresh, known, old, rules).distinct()
         stated = known.where(F.col("p").isin(sorted(made))) if made is not None else known
         fresh = cut(produced.join(stated, ["s", "p", "o"], "left_anti"))
         if fresh.isEmpty():
             return added if added is not None else fresh
-        known = known.unionByName(fresh)
+        old, known = known, known.unionByName(fresh)
         added = fresh if added is None else added.unionByName(fresh)
     raise RuntimeError(f"rules still derive new facts after {max_rounds} rounds")
 
@@ -157,6 +185,7 @@ def fixpoint(facts: DataFrame, rules: list[Threshold | Template | Path], max_rou
 def _predicates(rules: list) -> tuple[set[str] | None, set[str] | None]:
     """Predicates the rules read and those they derive; None if a rule leaves one open."""
     pairs = [((r.first, r.second), (r.derived,)) if isinstance(r, Path)
+             else (tuple(p[1] for p in r.premises), (r.conclusion[1],)) if isinstance(r, Body)
              else ((r.premise_p,), (r.derived_p,)) if isinstance(r, Threshold)
              else ((r.premise[1],), (r.conclusion[1],)) for r in rules]
 
@@ -167,9 +196,42 @@ def _predicates(rules: list) -> tuple[set[str] | None, set[str] | None]:
     return closed(0), closed(1)
 
 
-def _concluded(fresh: DataFrame, known: DataFrame, rules: list) -> DataFrame:
-    local = [c for r in rules if not isinstance(r, Path) for c in [_conclusion(r)]]
-    parts = []
+def bindings(triples: DataFrame, pattern: tuple[str, str, str]) -> DataFrame:
+    """One column for each variable of the pattern, named like it without its question mark."""
+    seen: dict[str, str] = {}
+    for column, term in zip("spo", pattern):
+        if not term.startswith("?"):
+            triples = triples.where(F.col(column) == term)
+        elif term in seen:
+            triples = triples.where(F.col(column) == F.col(seen[term]))
+        else:
+            seen[term] = column
+    return triples.select(*[F.col(c).alias(v[1:]) for v, c in seen.items()])
+
+
+def _of_body(rule: Body, fresh: DataFrame, known: DataFrame, old: DataFrame | None) -> list[DataFrame]:
+    """Conclusions in which a premise takes a new triple: semi-naive, one join for each such premise."""
+    out = []
+    for new in range(len(rule.premises) if old is not None else 1):  # at first all is new
+        sources = [old if i < new else fresh if i == new else known for i in range(len(rule.premises))]
+        found, left = bindings(sources[new], rule.premises[new]), [i for i in range(len(rule.premises)) if i != new]
+        while left:
+            i = next(i for i in left if {t[1:] for t in rule.premises[i] if t.startswith("?")} & set(found.columns))
+            left.remove(i)
+            other = bindings(sources[i], rule.premises[i])
+            found = found.join(other, [c for c in other.columns if c in found.columns]).distinct()
+        for variable, name, bound in rule.tests:
+            if isinstance(bound, str) and bound.startswith("?"):
+                found = found.where(COMPARISONS[name](F.col(variable[1:]), F.col(bound[1:])))
+            else:
+                found = found.where(COMPARISONS[name](F.col(variable[1:]).try_cast("double"), F.lit(bound)))
+        out.append(found.select(*[(F.col(t[1:]) if t.startswith("?") else F.lit(t)).alias(c) for c, t in zip("spo", rule.conclusion)]))
+    return out
+
+
+def _concluded(fresh: DataFrame, known: DataFrame, old: DataFrame | None, rules: list) -> DataFrame:
+    local = [c for r in rules if not isinstance(r, (Path, Body)) for c in [_conclusion(r)]]
+    parts = [part for r in rules if isinstance(r, Body) for part in _of_body(r, fresh, known, old)]
     if local:
         parts.append(fresh.select(F.explode(F.filter(F.array(*local), lambda x: x.isNotNull())).alias("c")).select("c.*"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from .. import vocab
 from ..functions import times, urls
@@ -482,3 +482,22 @@ def notifications(spark, sf):
        f"concat('{BASE}', user_id, '/derived/', event_type) derived from events where event_type <> 'error'")
 def notification_filter(spark, sf):
     return live.added(notifications(spark, sf)).select("event_id", "stream", "derived")
+
+
+@query("with recursive n as (select o_orderkey a, o_orderpriority p, "
+       "lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) b, "
+       "lead(o_orderpriority) over (partition by o_custkey order by o_orderdate, o_orderkey) q from orders), "
+       "k as (select a, b from n where b is not null and p = q), "
+       "r as (select a, b from k union select r.a, k.b from r join k on r.b = k.a) "
+       f"select concat('{vocab.EX}o', a) s, '{vocab.EX}runsTo' p, concat('{vocab.EX}o', b) o from r")
+def rule_recursive_body(spark, sf):
+    """A rule of three premises over its own conclusions: orders of one customer that follow each other with one priority."""
+    line = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = tables.load(spark, sf, "orders").withColumn("b", F.lead("o_orderkey").over(line))
+    name = lambda c: F.concat(F.lit(vocab.EX + "o"), F.col(c).cast("string"))
+    after = orders.where("b is not null").select(name("o_orderkey").alias("s"), F.lit("before").alias("p"), name("b").alias("o"))
+    of = orders.select(name("o_orderkey").alias("s"), F.lit("priority").alias("p"), F.col("o_orderpriority").alias("o"))
+    runs = vocab.EX + "runsTo"
+    first = rules.Body("first", (("?a", "before", "?b"), ("?a", "priority", "?k"), ("?b", "priority", "?k")), ("?a", runs, "?b"))
+    more = rules.Body("more", (("?a", runs, "?b"), ("?b", "before", "?c"), ("?b", "priority", "?k"), ("?c", "priority", "?k")), ("?a", runs, "?c"))
+    return rules.fixpoint(after.unionByName(of), [first, more])

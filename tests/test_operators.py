@@ -1,4 +1,5 @@
 import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -267,6 +268,61 @@ def test_two_sided_rule_and_comparisons(spark):
                                   rules.rule_table(spark, "x", [at_least])), "value") == [(6.0,)]
 
 
+def by_bodies(facts, bodies):
+    """Naive evaluation: every combination of facts, again and again."""
+    known = set(facts)
+    while True:
+        new = set()
+        for r in bodies:
+            found = [{}]
+            for pattern in r.premises:
+                grown = []
+                for b in found:
+                    for t in known:
+                        c = dict(b)
+                        if all((c.setdefault(x, v) == v) if x.startswith("?") else x == v for x, v in zip(pattern, t)):
+                            grown.append(c)
+                found = grown
+            for b in found:
+                ok = True
+                for v, name, bound in r.tests:
+                    if isinstance(bound, str):
+                        ok &= rules.COMPARISONS[name](b[v], b[bound])
+                    else:
+                        try:
+                            ok &= rules.COMPARISONS[name](float(b[v]), bound)
+                        except ValueError:
+                            ok = False
+                if ok:
+                    new.add(tuple(b.get(x, x) for x in r.conclusion))
+        if new <= known:
+            return known - set(facts)
+        known |= new
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rules_of_several_premises(spark, seed):
+    rng = random.Random(seed)
+    facts = {(f"n{rng.randrange(9)}", "e", f"n{rng.randrange(9)}") for _ in range(14)} | {
+        (f"n{i}", "v", str(rng.randrange(4))) for i in range(9)} | {("n1", "v", "high")}
+    bodies = [
+        rules.Body("base", (("?a", "e", "?b"), ("?a", "v", "?x"), ("?b", "v", "?y")), ("?a", "up", "?b"), (("?x", "lessThan", "?y"),)),
+        rules.Body("step", (("?a", "up", "?b"), ("?b", "e", "?c"), ("?c", "v", "?x")), ("?a", "up", "?c"), (("?x", "greaterThan", 0.0),)),
+        rules.Body("loop", (("?a", "up", "?a"),), ("?a", "is", "looped")),
+        rules.Body("any", (("?a", "?p", "?b"), ("?b", "is", "looped")), ("?a", "?p", "loop"))]
+    df = spark.createDataFrame(sorted(facts), "s string, p string, o string")
+    got = rules.fixpoint(df, bodies)
+    assert {tuple(r) for r in got.collect()} == by_bodies(facts, bodies)
+    assert got.count() == got.distinct().count()
+
+
+def test_bodies_have_to_be_connected():
+    with pytest.raises(ValueError):
+        rules.Body("r", (("?a", "p", "?b"), ("?c", "q", "?d")), ("?a", "x", "?d"))
+    with pytest.raises(ValueError):
+        rules.Body("r", (("?a", "p", "?b"),), ("?a", "x", "?z"))
+
+
 def test_fixpoint_of_cycle_ends(spark):
     facts = spark.createDataFrame([("a", "next", "b"), ("b", "next", "c"), ("c", "next", "a")], "s string, p string, o string")
     assert rules.fixpoint(facts, [rules.Path("r", "next", "next", "next")]).count() == 6
