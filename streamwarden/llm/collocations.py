@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.skew import counted_small
 from ..session import cut
-from .common import _LOWER, numbered, release, slices, words_in
+from .common import _LOWER, numbered, release, slices, trim, words_in
 
 BLOCK_BYTES, BLOCK_WORDS = 4_000_000, 1_500_000
 ROWS = 50_000  # sent to Spark at once
@@ -140,6 +140,7 @@ def _blocks(batches, *columns: str):
         for row in range(batch.num_rows):
             yield [v.values.to_numpy(zero_copy_only=False) if isinstance(v := batch.column(c)[row], pa.ListScalar) else v.as_py()
                    for c in columns]
+    trim()
 
 
 def only_frequent(relation: DataFrame, asked: DataFrame, table: DataFrame, keys: list[str], joined: bool) -> DataFrame:

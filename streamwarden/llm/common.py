@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from functools import lru_cache
 from pathlib import Path
@@ -63,14 +65,26 @@ _HELD: dict[str, object] = {}
 def held(key: str, make):
     """What a worker keeps between its tasks, made once. It keeps one such thing: another key takes the place of the last."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def release() -> None:
     """Frees what another operator kept in this worker."""
-    _HELD.clear()
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system. Workers live on between tasks, and the C library keeps what was freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def parts(batches, rows: int = 1000):
@@ -78,6 +92,7 @@ def parts(batches, rows: int = 1000):
     for batch in batches:
         for first in range(0, batch.num_rows, rows):
             yield batch.slice(first, rows)
+    trim()
 
 
 @lru_cache(maxsize=1)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.skew import sized
 from ..session import cut
-from .common import fresh_name, mix, parts, picked, release, shingle_sets, text_key
+from .common import fresh_name, mix, parts, picked, release, shingle_sets, text_key, trim
 from .components import components
 
 CHUNK = 512
@@ -280,6 +280,7 @@ def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                                            pa.array([ids[b] for _, b in pairs], pa.int64())], names=["a", "b"])
 
     def searched(batches):  # rows come sorted by cluster; one cluster is held at a time
+        release()
         held, key = [], None
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in cluster)))
@@ -294,6 +295,8 @@ def linked(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 first = last
         if held:
             yield closed(held)
+        held.clear()
+        trim()
 
     return full.repartition(*cluster).sortWithinPartitions(*cluster).mapInArrow(searched, "a long, b long")
 
