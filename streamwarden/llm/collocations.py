@@ -1,18 +1,17 @@
 """Phrase collocations by set-oriented mining of sorted occurrence relations.
 
 An occurrence relation has the occurrences of all frequent phrases of one length: where each begins and which
-phrase it is. It is stored sorted, in blocks of whole documents of one language: ``steps`` are the distances
+phrase it is. It is stored sorted, in blocks of whole pieces of one language: ``steps`` are the distances
 between successive places (words of one piece have successive places, a place is left free between
 pieces), ``codes`` number the phrases of the block, ``ids`` give their numbers in the table of all frequent phrases.
 
 1. Words of all texts are counted: the first table.
 2. Occurrences of infrequent phrases leave the relation (a semi-join); what is left is written.
 3. The relation is merge-joined with itself by piece and adjacent place: a phrase of k words and the one that
-   begins a word later make one of k + 1. Groups are counted in the block, then in Spark.
+   begins a word later make one of k + 1. Groups are counted over some blocks, then in Spark.
 4. Steps 2 and 3 go on to the longest length. A phrase is known by the numbers of its two parts, so counts are exact.
 
-Blocks stay whole in a task, so the join needs no shuffle. Counts and semi-joins are grouped by phrase, of which a block
-sends each once. The semi-join looks phrases up in each task while a count proves them few, and goes through a shuffle
+Blocks stay whole in a task, so the join needs no shuffle. A task sends each phrase once for millions of occurrences. The semi-join looks phrases up in each task while a count proves them few, and goes through a shuffle
 beyond that.
 """
 
@@ -28,8 +27,9 @@ from ..operators.skew import counted_small
 from ..session import cut
 from .common import _LOWER, numbered, release, slices, trim, words_in
 
-BLOCK_BYTES, BLOCK_WORDS = 4_000_000, 1_500_000
-ROWS = 50_000  # sent to Spark at once
+BLOCK_BYTES = 4_000_000  # of texts tokenized at once
+PIECE = 100_000  # occurrences of a block
+COUNTED, ROWS = 2_000_000, 50_000  # pairs counted before they leave a task, and sent to Spark at once
 LOOKED_UP = 2_000_000  # phrases a task may hold: 8 bytes each, words also their text
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -93,6 +93,16 @@ def occurrences(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(made, BLOCK)
 
 
+def cut_points(place: np.ndarray, size: int):
+    """(first, last) of stretches of about ``size`` occurrences, cut where no words are neighbours, so that no pair is lost."""
+    gaps, first = np.flatnonzero(np.diff(place) > 1) + 1, 0
+    while first < len(place):
+        k = np.searchsorted(gaps, first + size)
+        last = int(gaps[k]) if k < len(gaps) else len(place)
+        yield first, last
+        first = last
+
+
 def known_words(rows: DataFrame, table: DataFrame) -> DataFrame:
     """The relation of the words in ``table``, which is small enough to be looked up in each task."""
     found = table.select("lang", "phrase", "number").toArrow().combine_chunks()
@@ -102,29 +112,23 @@ def known_words(rows: DataFrame, table: DataFrame) -> DataFrame:
 
     def made(batches):
         release()
-        held: dict[str, list] = {}
         block = TaskContext.get().partitionId() << 32
         for name, steps, codes, words in _tokens(batches):
             if name not in sent.value:
                 continue
             known, numbers = sent.value[name]
             at = pc.index_in(pa.array(words, known.type), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-            held.setdefault(name, []).append((steps, np.where(at >= 0, numbers[at], -1)[codes]))
-            if sum(len(x) for x, _ in held[name]) >= BLOCK_WORDS:
-                yield _joined_parts(block, held.pop(name))
+            found = np.where(at >= 0, numbers[at], -1)[codes]
+            place = np.cumsum(steps, dtype=np.int64)[found >= 0]
+            found = found[found >= 0]
+            for first, last in cut_points(place, PIECE):
+                yield _relation(block, place[first:last], found[first:last])
                 block += 1
-        for parts in held.values():
-            yield _joined_parts(block, parts)
-            block += 1
+        trim()
 
     return rows.mapInArrow(made, RELATION)
 
 
-def _joined_parts(block: int, parts: list) -> pa.RecordBatch:
-    place, numbers = np.cumsum(np.concatenate([s for s, _ in parts]), dtype=np.int64), np.concatenate([n for _, n in parts])
-    return _relation(block, place[numbers >= 0], numbers[numbers >= 0])
-
-
 def _relation(block: int, place: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
     """One block: the occurrences of phrases of these ``numbers``."""
     ids, codes = np.unique(numbers, return_inverse=True)
@@ -176,23 +180,41 @@ def adjacent(place: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return place[at], both, np.stack([pairs // size, pairs % size])
 
 
-def extended(relation: DataFrame, placed: bool = False) -> DataFrame:
-    """``left, right, n``: the phrases one word longer in each block, with their counts there; if ``placed`` also ``block, code``."""
-    columns = ["block", "code"] * placed + ["left", "right", "n"]
+def extended(relation: DataFrame, size: int) -> DataFrame:
+    """``left, right, n``: the phrases one word longer, counted over some blocks at a time. Numbers are below ``size``."""
+    def counted(pairs: list):
+        found, counts = np.unique(np.concatenate(pairs), return_counts=True)
+        for first in range(0, len(found), ROWS):
+            some = slice(first, first + ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(found[some] // size), pa.array(found[some] % size), pa.array(counts[some])],
+                                             names=["left", "right", "n"])
+
+    def made(batches):
+        release()
+        held = []
+        for steps, codes, ids in _blocks(batches, "steps", "codes", "ids"):
+            at = np.flatnonzero(steps[1:] == 1)
+            held.append(ids[codes[at]] * size + ids[codes[at + 1]])
+            if sum(map(len, held)) >= COUNTED:
+                yield from counted(held)
+                held = []
+        if held:
+            yield from counted(held)
+
+    return relation.select("steps", "codes", "ids").mapInArrow(made, "left long, right long, n long")
 
+
+def extended_blocks(relation: DataFrame) -> DataFrame:
+    """``block, code, left, right``: the phrases one word longer that each block has."""
     def made(batches):
         release()
         for block, steps, codes, ids in _blocks(batches, "block", "steps", "codes", "ids"):
-            _, both, pairs = adjacent(np.cumsum(steps, dtype=np.int64), codes)
-            counts = np.bincount(both)
-            for first in range(0, len(counts), ROWS):
-                some = slice(first, first + ROWS)
-                n = len(counts[some])
-                held = {"block": np.full(n, block, np.int64), "code": np.arange(first, first + n), "left": ids[pairs[0][some]],
-                        "right": ids[pairs[1][some]], "n": counts[some].astype(np.int64)}
-                yield pa.RecordBatch.from_arrays([pa.array(held[c]) for c in columns], names=columns)
+            _, _, pairs = adjacent(np.cumsum(steps, dtype=np.int64), codes)
+            n = pairs.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), pa.array(np.arange(n)), pa.array(ids[pairs[0]]),
+                                              pa.array(ids[pairs[1]])], names=["block", "code", "left", "right"])
 
-    return relation.mapInArrow(made, ", ".join(f"{c} long" for c in columns))
+    return relation.mapInArrow(made, "block long, code long, left long, right long")
 
 
 def looked_up(relation: DataFrame, table: DataFrame, size: int) -> DataFrame:
@@ -237,7 +259,10 @@ def frequent_phrases(rows: DataFrame, longest: int, least: int, few: int) -> tup
         words = first.select("lang", "block", F.posexplode("words").alias("code", "phrase"))
         relation = cut(only_frequent(first, words, tables[0], ["lang", "phrase"], False))
     for length in range(2, longest + 1):
-        counted = extended(relation).groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        size = tables[-1].count()
+        if size >= 1 << 31:
+            raise ValueError("more frequent phrases than pairs of them have numbers: ask for more occurrences")
+        counted = extended(relation, max(size, 1)).groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         before, pairs = tables[-1], numbered(counted, [F.col("left"), F.col("right")])
         left = before.select(F.col("number").alias("left"), "lang", F.col("phrase").alias("head"), "heads")
         right = before.select(F.col("number").alias("right"), "last", "tails")
@@ -246,11 +271,10 @@ def frequent_phrases(rows: DataFrame, longest: int, least: int, few: int) -> tup
             F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"))
         tables.append(cut(table))
         if length < longest:
-            size = before.count()
-            if tables[-1].limit(few + 1).count() <= few and size < 1 << 31:
+            if tables[-1].limit(few + 1).count() <= few:
                 relation = cut(looked_up(relation, tables[-1], size))
             else:
-                relation = cut(only_frequent(relation, extended(relation, True).drop("n"), tables[-1], ["left", "right"], True))
+                relation = cut(only_frequent(relation, extended_blocks(relation), tables[-1], ["left", "right"], True))
     return tables, sizes
 
 

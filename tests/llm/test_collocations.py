@@ -81,3 +81,13 @@ def test_scores_are_exact_beyond_64_bits(spark):
                                   "number long, lang string, phrase string, f long, heads array<long>, tails array<long>")
     row = collocations.scored(table, 2).first()
     assert (row.score, row.l, row.r) == (1_000_000 * a * a // (l * r), l, r)
+
+
+def test_blocks_are_cut_between_neighbours():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    for size in (1, 3, 50):
+        place = np.cumsum(rng.choice([1, 1, 1, 2, 5], 300))
+        cuts = list(collocations.cut_points(place, size))
+        assert [i for a, b in cuts for i in range(a, b)] == list(range(300))
+        assert all(place[b] - place[b - 1] > 1 for _, b in cuts[:-1]) and all(b - a >= size for a, b in cuts[:-1])
