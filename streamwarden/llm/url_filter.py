@@ -17,18 +17,44 @@ FEATURES = 1 << 14
 GRAMS = (3, 4)
 ALLOW, BLOCK = "allow", "block"
 
-# Words of the small training table: hosts and paths of either kind are made of them.
-BLOCKED_WORDS = ["casino", "poker", "slots", "jackpot", "bets", "betting", "pills", "pharma", "tablets", "loans",
-                 "payday", "adult", "xxx", "escorts", "ads", "track", "tracker", "clicks", "popup", "banner"]
-BLOCKED_PARTS = ["win", "free", "cheap", "online", "bonus", "fast", "best", "deal"]
-ALLOWED_WORDS = ["news", "library", "museum", "garden", "weather", "recipes", "science", "history", "travel", "music",
-                 "school", "letters", "forum", "journal", "atlas", "river", "market", "village", "theory", "nation",
-                 "thread", "station", "northern", "interest", "mother", "brother", "leather", "tension", "mention",
-                 "entire", "ancient", "another", "gather", "height", "sentence", "heather", "region", "person",
-                 "reading", "landing", "island", "harvest", "theatre", "orchard", "printer", "winter", "student",
-                 "shelter", "healing", "trade", "bread", "tablet", "best", "trail", "office", "onion", "other", "earth",
-                 "stone", "silver"]
-ALLOWED_PARTS = ["city", "daily", "old", "north", "open", "the", "land", "hand"]
+# The labelled table: hosts (and paths) of invented and typical sites, by kind. Each is tried under several page paths.
+BLOCKED_SITES = """
+casino-royal.com spincasino.net mycasino777.org grandcasino.example.com casinobonus.example.net poker-stars-club.com pokerroom.net
+onlinepoker.example.org holdempoker.info slots-mania.com freeslots.net megaslots.example.com jackpot-city.com bigjackpot.net
+roulette-wheel.org liveroulette.example.net bet-and-win.com sportsbet.net betting-tips.org freebets.example.com bets4all.net gambling-guide.com
+onlinegambling.example.org gamble-now.net bingo-hall.com lotto-winner.net blackjack-table.com wagering.example.net bookmaker-odds.com
+cheap-pills.com pillstore.net buy-viagra-now.com viagra-direct.org cialis-online.net generic-meds.com discount-pharmacy.net rx-pharma.example.com
+pharmaonline.example.net diet-pills.org weightloss-miracle.com steroid-shop.net tablets-no-prescription.com kamagra.example.org
+payday-loan.com quick-loans.net instantcash-loans.org badcredit-loan.example.com fastcash-advance.net paydaycredit.example.org loan-shark.info
+adult-chat.com adultvideos.net hot-adult.example.org xxx-movies.com freexxx.net xxxtube.example.com porn-hub-free.net pornvideos.org
+sexcams.com sex-dating.net nude-girls.org livecams.example.net escorts-city.com escort-service.net webcam-sex.example.org hookup-tonight.com
+adserver.net ads-network.com ad-banner.example.net banner-ads.org trackpixel.com click-tracker.net tracker.example.com adstrack.example.org
+popup-ads.net popunder.com clickbait-farm.org affiliate-clicks.com redirect-click.example.net spamfarm.net spam-links.com linkfarm.example.org
+seo-spam.net phishing-page.com secure-login-verify.net account-verify-login.com paypa1-login.org bank-login-update.net signin-confirm.example.com
+phish.example.net wallet-unlock-verify.org free-gift-cards.com win-a-prize.net claim-your-prize.org lucky-winner.example.com crypto-doubler.net
+warez-download.com crack-keygen.net serialkeys.org free-cracked-apps.example.com torrent-warez.net malware-drop.com trojan.example.net
+fake-watches.com replica-bags.net replica-watch.example.org cheap-replica.com essay-mill.net buy-followers.com get-rich-fast.org
+"""
+ALLOWED_SITES = """
+cityherald.com dailynews.net northernpost.org worldreport.example.com newsroom.example.net localtimes.org eveningpaper.com weatherforecast.net
+encyclopedia.org wikipedia.org wiki.example.com dictionary.net opentextbook.org univ-paris.example.org university.edu cs.university.example.com
+univ-madrid.net college-library.org publiclibrary.net stateschool.org kindergarten-town.net museum.org artmuseum.example.com history-archive.net
+nationalarchives.example.org theatre-house.com orchestra.net opera.example.org gardening-tips.com gardenclub.net rosegarden.example.com
+cookbook.net recipes-at-home.com bakery.example.org breadmaking.net healthyfood.org hospital.example.com doctors-advice.net nursing.org
+pharmacology-journal.org medicine.university.net cityhall.gov parliament.example.org court-records.net ministry.example.com taxoffice.net
+farmersmarket.org dairyfarm.net farm-shop.example.com windfarm-energy.org fishing-club.net hiking-trails.com mountainguide.example.org
+travelblog.net railway-timetable.com busstation.example.net airport-info.org hotel-riverside.com campsite.net island-tours.example.com
+software-docs.org python-tutorial.net linuxforum.com developer.example.org api-reference.net database-manual.com opensource.example.net
+bookshop.net bookreview.org authors-guild.com poetry.example.org letters-online.net journalofscience.com physics-today.net chemistry.example.com
+mathforum.org astronomy-club.net geology.example.net biology-notes.com climate-data.org ocean-research.net birdwatching.example.org
+footballclub.com chess-academy.net tennis.example.com cyclingteam.org running-club.net sailing.example.net swimmingpool.org marathon.example.org
+familytree.net parenting-advice.com petcare.example.org doghouse.net catlovers.com horse-riding.example.com woodworking.net knitting-patterns.org
+oldcamera.com photography.example.net guitar-lessons.org pianoteacher.net musicfestival.com radio-station.example.org cinema-guide.net
+carpentry.net electrician.example.com plumbing-help.org furniture-maker.net shoe-repair.com clothing.example.net stationery.org printers.com
+jobs-board.net career-advice.org accountant.example.com insurance-facts.net savingsbank.org credit-union.example.net pension-office.com
+thther.example.com theaon.example.net tionre.example.org anthen.example.com oningth.example.net erthe.example.org ththing.example.com
+athou.example.net reonti.example.org ouented.example.com hathre.example.net bletion.example.org inorer.example.com wheston.example.net
+"""
 
 
 def parsed(rows: DataFrame) -> DataFrame:
@@ -58,17 +84,12 @@ def rule_of(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
 
 
 def training_table(spark: SparkSession) -> DataFrame:
-    """``url, label`` of 240 URLs made from the word lists; label 1 is to be blocked."""
-    rows = []
-    for label, words, parts in ((1, BLOCKED_WORDS, BLOCKED_PARTS), (0, ALLOWED_WORDS, ALLOWED_PARTS)):
-        for i, word in enumerate(words):
-            part, end, lang = parts[i % len(parts)], ("com", "net", "org")[i % 3], ("en", "de", "fr", "es")[i // 3 % 4]
-            front, page = ("www.", "m.", "blog.", "")[i % 4], (i * 977) % 10_000
-            rows += [(f"https://{front}{word}-{part}.example.{end}/{lang}/{page}.html", label),
-                     (f"http://{front}{part}{word}.example.{end}/{lang}/{page}/", label),
-                     (f"http://site.example.{end}/{lang}/{word}/{part}?page={i}", label)]
+    """``url, label`` of the sites above, each under three of the page forms that URLs of either kind have; label 1 is to be blocked."""
+    forms = ["http://{}/en/{}.html", "https://www.{}/fr/{}/", "https://m.{}/de/{}", "http://blog.{}/es/{}?page=2", "https://{}/", "http://www.{}/{}/index.html"]
+    rows = [(forms[(i + k) % len(forms)].format(site, (i * 977 + k * 31) % 10_000), label)
+            for label, sites in ((1.0, BLOCKED_SITES), (0.0, ALLOWED_SITES)) for i, site in enumerate(sites.split()) for k in (0, 1, 3)]
     return spark.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(url).alias("url"), F.lit(float(label)).alias("label")) for url, label in rows])))
+        F.struct(F.lit(url).alias("url"), F.lit(label).alias("label")) for url, label in rows])))
 
 
 def grams(text: str, tag: str) -> Column:

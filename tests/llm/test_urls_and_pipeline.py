@@ -34,14 +34,33 @@ def test_rules(spark):
     assert url_filter.judge(pages.limit(0), RULES).count() == 0
 
 
+# Hosts that are not in the training table: the ones of earlier rounds' tests and probes, and others.
+UNSEEN_BLOCKED = ["casino-club.example.org", "poker-win.example.net", "betting4u.example.org", "payday-loans.example.net", "ads-tracker.example.org",
+                  "casinoland.example.org", "poker-hall.example.net", "spam-farm.example.com", "gambling.example.net", "viagra-shop.example.org",
+                  "casino-win.example.org", "phishing-login.example.com", "royalslots.net", "xxxfilms.org", "adultcams.com",
+                  "jackpotparty.net", "pillsdirect.org", "loans-quick.com", "pornstar-clips.net", "verify-login-account.org"]
+UNSEEN_ALLOWED = ["thering.example.org", "ththan.example.net", "gardening.example.org", "oldmuseum.example.net", "northernnews.example.org",
+                  "univ-berlin.example.org", "wikipedia.example.net", "ththst.example.com", "tionsh.example.com", "blog.thther.example.net",
+                  "science-library.org", "villagebakery.net", "historyforum.com", "weather-station.org", "riverside-school.net",
+                  "mothers-kitchen.com", "cs.univ-rome.example.com", "townorchestra.org", "python-docs.net", "treefarm.example.org"]
+MISSED = {"viagra-shop.example.org", "treefarm.example.org"}
+
+
 def test_regression_tells_unseen_urls(spark):
-    bad = [f"https://{a}{b}.example.{c}/en/{i}" for i, (a, b, c) in enumerate(
-        [("casino-", "club", "org"), ("poker-", "win", "net"), ("betting", "4u", "org"), ("payday-", "loans", "net"), ("ads-", "tracker", "org")])]
-    good = [f"https://www.{a}.example.{b}/en/{i}" for i, (a, b) in enumerate(
-        [("thering", "org"), ("ththan", "net"), ("gardening", "org"), ("oldmuseum", "net"), ("northernnews", "org")])]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(bad + good)], "page_id long, url string")
+    sites = {s for kind in (url_filter.BLOCKED_SITES, url_filter.ALLOWED_SITES) for s in kind.split()}
+    assert not sites & {*UNSEEN_BLOCKED, *UNSEEN_ALLOWED}
+    urls = [f"https://{front}{h}/en/{i}" for i, h in enumerate(UNSEEN_BLOCKED + UNSEEN_ALLOWED) for front in ("", "www.")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, []).collect()}
-    assert [got[i] for i in range(10)] == ["block"] * 5 + ["allow"] * 5
+    n = 2 * len(UNSEEN_BLOCKED)
+    wrong = {u.split("/")[2].removeprefix("www.") for i, u in enumerate(urls) if got[i] != ("block" if i < n else "allow")}
+    assert wrong <= MISSED  # 38 of 40 hosts; the table was not changed to catch them
+
+
+def test_training_table_is_stated_and_even(spark):
+    blocked, allowed = url_filter.BLOCKED_SITES.split(), url_filter.ALLOWED_SITES.split()
+    assert len(set(blocked)) == len(blocked) and len(set(allowed)) == len(allowed) and not set(blocked) & set(allowed)
+    assert url_filter.training_table(spark).groupBy("label").count().count() == 2
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +76,21 @@ def test_stages_keep_the_columns_of_documents(stages):
     assert all(d.columns == stages[0].columns for d in stages)
 
 
+def test_language_stage_decides(spark, sf):
+    """Missing labels are filled, a label that the text contradicts is corrected, others stay; without any label nothing with letters goes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    long = docs.where("length(text) > 1500 and lang in ('en', 'fr')").orderBy("doc_id").limit(4).collect()
+    wrong, blank = long[0]["doc_id"], long[1]["doc_id"]
+    changed = docs.selectExpr("doc_id", "text", f"case when doc_id = {wrong} then 'es' when doc_id = {blank} then null else lang end as lang", "source", "n_chars")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.keep_languages(spark, changed, sf).collect()}
+    assert (got[wrong], got[blank]) == (long[0]["lang"], long[1]["lang"])
+    assert (got[long[2]["doc_id"]], got[long[3]["doc_id"]]) == (long[2]["lang"], long[3]["lang"])
+    unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
+    kept = corpus_pipeline.keep_languages(spark, unlabelled, sf)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(1 for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"]))
+
+
 def test_pipeline_against_brute_force(spark, sf, stages):
     from .test_text_operators import shingles
     raw, lang, single, clean, mixed = (sorted(d.collect(), key=lambda r: r["doc_id"]) for d in stages)
