@@ -139,21 +139,91 @@ def understood(sparql: Column, remainder: Column) -> Column:
     return F.forall(blocks, plain) & one_group & ~odd_literal & ~remainder.rlike(r"(?i)\b(WINDOW|GRAPH|REGISTER|PREFIX|BASE|STREAM)\b")
 
 
+def _is_variable(term: Column) -> Column:
+    return F.startswith(term, F.lit("?"))
+
+
+def _holds(t: Column, v: Column) -> Column:
+    return (t["s"] == v) | (t["p"] == v) | (t["o"] == v)
+
+
+def _refined(colours: Column, triples: Column) -> Column:
+    """Colours after as many rounds as there are variables: a variable's next colour is its own and those around it."""
+    def once(held: Column) -> Column:
+        def of(e: Column) -> Column:
+            def shown(term: Column) -> Column:
+                return F.when(term == e["key"], F.lit("*")).when(_is_variable(term), F.concat(F.lit("?"), F.element_at(held, term))).otherwise(term)
+
+            around = F.transform(F.filter(triples, lambda t: _holds(t, e["key"])), lambda t: F.concat_ws(
+                " ", t["place"], shown(t["s"]), shown(t["p"]), shown(t["o"])))
+            return F.struct(e["key"].alias("key"), F.md5(F.concat(e["value"], F.lit("#"), F.array_join(F.array_sort(around), ";"))).alias("value"))
+
+        return F.map_from_entries(F.transform(F.map_entries(held), of))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(colours), F.lit(1))), colours, lambda held, _: once(held))
+
+
+def _tied(colours: Column) -> Column:
+    """Variables of the first colour that several have; empty if all colours differ."""
+    values = F.map_values(colours)
+    first = F.array_min(F.filter(values, lambda c: F.size(F.filter(values, lambda d: d == c)) > 1))
+    return let(first, lambda c: F.coalesce(F.transform(F.filter(F.map_entries(colours), lambda e: e["value"] == c), lambda e: e["key"]),
+                                           F.array().cast("array<string>")))
+
+
+def _choices(colours: Column, triples: Column) -> Column:
+    """Colourings in which one of the tied variables is told apart: each of them, or any one if all could change places."""
+    def swapped(a: Column, b: Column) -> Column:
+        def other(term: Column) -> Column:
+            return F.when(term == a, b).when(term == b, a).otherwise(term)
+
+        return F.array_sort(F.transform(triples, lambda t: F.struct(
+            t["place"].alias("place"), other(t["s"]).alias("s"), other(t["p"]).alias("p"), other(t["o"]).alias("o"))))
+
+    def apart(tied: Column) -> Column:
+        alike = F.forall(tied, lambda b: swapped(F.get(tied, F.lit(0)), b) == F.array_sort(triples))
+        tried = F.when(alike, F.slice(tied, 1, 1)).otherwise(tied)
+        return F.transform(tried, lambda v: let(F.map_from_entries(F.transform(F.map_entries(colours), lambda e: F.struct(
+            e["key"].alias("key"), F.when(e["key"] == v, F.concat(e["value"], F.lit("!"))).otherwise(e["value"]).alias("value")))),
+            lambda marked: _refined(marked, triples)))
+
+    return let(_tied(colours), lambda tied: F.when(F.size(tied) == 0, F.array(colours)).otherwise(apart(tied)))
+
+
+def _numberings(variables: Column, triples: Column, named: Column) -> Column:
+    """Colourings that tell all variables apart, the same for any names: refinement, then trial of what is left tied.
+
+    A variable in the text around the patterns starts with its places there (``named``). Of colourings tried
+    only those with the least list of colours go on, so equal queries keep equal ones.
+    """
+    start = F.map_from_entries(F.transform(variables, lambda v: F.struct(v.alias("key"), F.array_join(F.filter(F.transform(
+        named, lambda n, i: F.when(n == v, i.cast("string"))), lambda x: x.isNotNull()), ",").alias("value"))))
+
+    def step(tried: Column) -> Column:
+        grown = F.flatten(F.transform(tried, lambda colours: _choices(colours, triples)))
+        shown = lambda colours: F.array_join(F.array_sort(F.map_values(colours)), ",")
+        return let(grown, lambda grown: let(F.array_min(F.transform(grown, shown)), lambda least: F.filter(
+            grown, lambda colours: shown(colours) == least)))
+
+    first = let(start, lambda colours: F.array(_refined(colours, triples)))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(variables), F.lit(1))), first, lambda tried, _: F.when(
+        F.size(_tied(F.get(tried, F.lit(0)))) == 0, tried).otherwise(step(tried)))
+
+
 def equivalence_key(windows: Column, patterns: Column, operator: Column, sparql: Column, remainder: Column,
                     prefixes: Column, text: Column) -> Column:
     """Equal only for queries that differ in variable, window or prefix names, order, spacing or case of keywords.
 
     Everything else the text holds is part of the key: all SELECT items, filters, groups, conditions.
-    A text that is not wholly understood is equal to the same text alone. So the error can
-    only be a missed duplicate; patterns of one shape may be numbered differently in two symmetric queries.
+    Variables are numbered by the shape of the patterns alone, so symmetric patterns get one key however they are named and
+    ordered. A text that is not wholly understood is equal to the same text alone, so the error can
+    only be a missed duplicate.
     """
     def place(name: Column) -> Column:
         return let(F.get(F.filter(windows, lambda x: x["name"] == name), F.lit(0)), lambda w: F.when(
             w.isNotNull(), F.concat_ws("~", w["stream"], w["frame"])).otherwise(name))
 
-    stated = F.transform(patterns, lambda t: F.concat_ws(" ", place(t["window"]), t["s"], t["p"], t["o"]))
-    shaped = F.array_sort(F.transform(stated, lambda t: F.struct(
-        F.regexp_replace(t, r"\?\w+", "?").alias("shape"), t.alias("text"))))
+    triples = F.transform(patterns, lambda t: F.struct(place(t["window"]).alias("place"), t["s"].alias("s"), t["p"].alias("p"), t["o"].alias("o")))
     frames = F.array_sort(F.transform(windows, lambda w: F.concat_ws("~", w["stream"], w["frame"])))
     rest = F.regexp_replace(remainder, r"\$(\w)", "?$1")
     for word in KEYWORDS:
@@ -162,19 +232,31 @@ def equivalence_key(windows: Column, patterns: Column, operator: Column, sparql:
     named = F.regexp_replace(remainder, _IRI, " ").rlike(r"[\w-]*:[\w-]")
     spaces = F.when(named, F.array_join(F.array_sort(F.transform(
         F.map_entries(prefixes), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")).otherwise(F.lit(""))
-    whole = F.concat_ws(" | ", operator, F.array_join(frames, ","),
-                        F.array_join(F.transform(shaped, lambda x: x["text"]), " . "), rest, spaces)
 
-    def numbered(text: Column) -> Column:
-        names = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\?(\w+)"), F.lit(1)))
-        return F.aggregate(
-            F.transform(names, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), text,
-            lambda acc, v: F.regexp_replace(
-                acc, F.concat(F.lit(r"\?"), v["n"], F.lit(r"\b")), F.concat(F.lit("?#"), v["i"].cast("string"))))
+    def whole(triples: Column, rest: Column) -> Column:
+        around = F.regexp_extract_all(rest, F.lit(r"\?\w+"), F.lit(0))
+        inside = F.filter(F.flatten(F.transform(triples, lambda t: F.array(t["s"], t["p"], t["o"]))), _is_variable)
+
+        def written(colours: Column) -> Column:
+            order = F.array_sort(F.map_values(colours))
+
+            def number(term: Column) -> Column:
+                return F.when(_is_variable(term), F.concat(F.lit("?#"), F.array_position(order, F.element_at(colours, term)).cast("string"))).otherwise(term)
+
+            lines = F.array_sort(F.transform(triples, lambda t: F.concat_ws(" ", t["place"], number(t["s"]), number(t["p"]), number(t["o"]))))
+            told = F.aggregate(F.array_distinct(around), rest, lambda acc, v: F.regexp_replace(
+                acc, F.concat(F.lit(r"\?"), F.substr(v, F.lit(2)), F.lit(r"\b")), number(v)))
+            return F.concat_ws(" | ", F.array_join(lines, " . "), told)
+
+        return let(around, lambda around: let(F.array_distinct(F.concat(inside, around)), lambda variables: F.when(
+            F.size(variables) == 0, F.concat_ws(" | ", F.array_join(F.array_sort(F.transform(triples, lambda t: F.concat_ws(
+                " ", t["place"], t["s"], t["p"], t["o"]))), " . "), rest)).otherwise(
+            F.array_min(F.transform(_numberings(variables, triples, around), written)))))
 
+    known = F.concat_ws(" | ", operator, F.array_join(frames, ","), let(triples, lambda t: let(rest, lambda r: whole(t, r))), spaces)
     own = F.concat(F.lit("text "), F.trim(F.regexp_replace(text, r"\s+", " ")))
     distinct_names = F.size(F.array_distinct(F.transform(windows, lambda w: w["name"]))) == F.size(windows)
-    return F.sha2(F.when(understood(sparql, remainder) & distinct_names, let(whole, numbered)).otherwise(own), 256)
+    return F.sha2(F.when(understood(sparql, remainder) & distinct_names, known).otherwise(own), 256)
 
 
 def with_equivalence_key(queries: DataFrame, text: str = "query_text", out: str = "query_key") -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -161,3 +162,54 @@ def test_same_query_in_another_form_has_the_same_key(spark):
            "[ range 10 step 5 ] where {\n window <win> { ?x <http://k> ?y . $x <http://v> $a } filter ( ?a > 5 ) } group by ?y")
     three = one.replace("<http://v>", "v:").replace("<http://k>", "p:k").replace("REGISTER", "PREFIX v: <http://v> PREFIX p: <http://> REGISTER")
     assert len(set(keys_of(spark, [one, two, three]))) == 1
+
+
+def pattern_query(patterns, order, names, select="(COUNT(*) AS ?n)"):
+    body = " . ".join(f"?{names[a]} {p} ?{names[b]}" for a, p, b in order)
+    return ("REGISTER RStream <out> AS SELECT " + select + " FROM NAMED WINDOW <w> ON STREAM <http://s/> [RANGE 10 STEP 5] "
+            "WHERE { WINDOW <w> { " + body + " } }")
+
+
+SHAPES = {
+    "cycle of 4": [(0, "<p>", 1), (1, "<p>", 2), (2, "<p>", 3), (3, "<p>", 0)],
+    "two cycles of 3": [(0, "<p>", 1), (1, "<p>", 2), (2, "<p>", 0), (3, "<p>", 4), (4, "<p>", 5), (5, "<p>", 3)],
+    "cycle of 6": [(i, "<p>", (i + 1) % 6) for i in range(6)],
+    "star of 8": [(0, "<p>", i) for i in range(1, 9)],
+    "K3,3 less one": [(i, "<p>", j) for i in range(3) for j in range(3, 6) if (i, j) != (2, 5)],
+    "K2,4": [(i, "<p>", j) for i in range(2) for j in range(2, 6)],
+    "path": [(i, "<p>", i + 1) for i in range(5)],
+    "path of two kinds": [(i, "<p>" if i % 2 else "<q>", i + 1) for i in range(5)],
+    "there and back": [(0, "<p>", 1), (1, "<p>", 0), (2, "<p>", 3), (3, "<p>", 2)],
+    "K3,3": [(i, "<p>", j) for i in range(3) for j in range(3, 6)],
+}
+
+
+def test_symmetric_patterns_have_one_key(spark):
+    """Any names and any order give one key; near misses stay apart."""
+    rng = random.Random(4)
+    rows = []
+    for shape, patterns in SHAPES.items():
+        size = 1 + max(max(a, b) for a, _, b in patterns)
+        for _ in range(6):
+            names, order = rng.sample("abcdefghijklmopq", size), list(patterns)
+            rng.shuffle(order)
+            rows.append((shape, pattern_query(patterns, order, names)))
+    found = query_text.with_equivalence_key(spark.createDataFrame(rows, "shape string, query_text string"))
+    by = {}
+    for r in found.select("shape", "query_key").collect():
+        by.setdefault(r.shape, set()).add(r.query_key)
+    assert {shape: len(keys) for shape, keys in by.items()} == dict.fromkeys(SHAPES, 1)
+    assert len(set.union(*by.values())) == len(SHAPES)
+
+
+def test_names_around_the_patterns_count(spark):
+    """In a symmetric pattern a selected variable tells which one is meant."""
+    cycle, names = SHAPES["cycle of 4"], "abcd"
+    ask = lambda select, names=names: pattern_query(cycle, cycle, names, select)
+    texts = {"a": ask("(MAX(?a) AS ?m)"), "c": ask("(MAX(?c) AS ?m)"), "renamed": ask("(MAX(?x) AS ?m)", "xyzw"),
+             "two": ask("(MAX(?a) AS ?m) (MIN(?b) AS ?k)"), "two turned": ask("(MAX(?b) AS ?m) (MIN(?c) AS ?k)"),
+             "two apart": ask("(MAX(?a) AS ?m) (MIN(?c) AS ?k)")}
+    df = spark.createDataFrame(list(texts.items()), "name string, query_text string")
+    key = {r.name: r.query_key for r in query_text.with_equivalence_key(df).collect()}
+    assert key["a"] == key["c"] == key["renamed"] and key["two"] == key["two turned"]
+    assert len({key["a"], key["two"], key["two apart"]}) == 3
