@@ -17,9 +17,10 @@ beyond that.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,10 +28,10 @@ from ..operators.skew import counted_small
 from ..session import cut
 from .common import _LOWER, numbered, release, slices, trim, words_in
 
-BLOCK_BYTES = 4_000_000  # of texts tokenized at once
+WORDS = 200_000  # different words counted before they leave a task
 PIECE = 100_000  # occurrences of a block
-COUNTED, ROWS = 2_000_000, 50_000  # pairs counted before they leave a task, and sent to Spark at once
-LOOKED_UP = 2_000_000  # phrases a task may hold: 8 bytes each, words also their text
+COUNTED, ROWS = 1_000_000, 50_000  # pairs counted before they leave a task, and sent to Spark at once
+LOOKED_UP = 2_000_000  # phrases a task may hold, 8 bytes each; of words, whose texts it needs, a quarter
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[*b".,;:!?", 10, 11, 12, 13]] = True
 _IN_WORD = ~_PIECE_END
@@ -41,10 +42,10 @@ RELATION = "block long, steps array<int>, codes array<int>, ids array<long>"
 
 
 def _tokens(batches):
-    """(language, steps, a code for each word, the distinct words) of a few megabytes of texts at a time."""
+    """(language, steps, a code for each word, the distinct words) of about a megabyte of texts at a time."""
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
-        for first, last, data, ends in slices(batch.column("text"), BLOCK_BYTES):
+        for first, last, data, ends in slices(batch.column("text")):
             data = _LOWER[data]
             begin, end, word, at = words_in(data, ends, _IN_WORD, _LOWER)
             if not len(begin):
@@ -65,15 +66,25 @@ def _tokens(batches):
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """``lang, phrase, n`` of each word in parts of the texts; the null phrase counts all words."""
+    def sent(held: dict):
+        for name, counts in held.items():
+            words, n = list(counts), list(counts.values())
+            for first in range(0, len(n), ROWS):
+                some = slice(first, first + ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n[some]), pa.string()), pa.array(words[some], pa.string()),
+                                                  pa.array(n[some], pa.int64())], names=["lang", "phrase", "n"])
+
     def made(batches):
         release()
+        held: dict[str, Counter] = {}
         for name, _, codes, words in _tokens(batches):
-            counts, words = [*np.bincount(codes).tolist(), len(codes)], [*words, None]
-            for first in range(0, len(counts), ROWS):
-                some = slice(first, first + ROWS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(counts[some]), pa.string()), pa.array(words[some], pa.string()),
-                     pa.array(counts[some], pa.int64())], names=["lang", "phrase", "n"])
+            own = held.setdefault(name, Counter())
+            own.update(dict(zip([*words, None], [*np.bincount(codes).tolist(), len(codes)])))
+            if sum(map(len, held.values())) >= WORDS:
+                yield from sent(held)
+                held = {}
+        yield from sent(held)
+        trim()
 
     return rows.mapInArrow(made, "lang string, phrase string, n long")
 
@@ -105,20 +116,18 @@ def cut_points(place: np.ndarray, size: int):
 
 def known_words(rows: DataFrame, table: DataFrame) -> DataFrame:
     """The relation of the words in ``table``, which is small enough to be looked up in each task."""
-    found = table.select("lang", "phrase", "number").toArrow().combine_chunks()
-    sent = rows.sparkSession.sparkContext.broadcast({
-        name.as_py(): (part["phrase"].combine_chunks(), part["number"].to_numpy())
-        for name in found["lang"].unique() for part in [found.filter(pc.equal(found["lang"], name))]})
+    sent = rows.sparkSession.sparkContext.broadcast(table.select("lang", "phrase", "number").toArrow().combine_chunks())
 
     def made(batches):
         release()
         block = TaskContext.get().partitionId() << 32
+        known: dict[str, dict[str, int]] = {}
+        for lang, phrase, number in zip(*(sent.value[c].to_pylist() for c in ("lang", "phrase", "number"))):
+            known.setdefault(lang, {})[phrase] = number
         for name, steps, codes, words in _tokens(batches):
-            if name not in sent.value:
+            if name not in known:
                 continue
-            known, numbers = sent.value[name]
-            at = pc.index_in(pa.array(words, known.type), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
-            found = np.where(at >= 0, numbers[at], -1)[codes]
+            found = np.array([known[name].get(w, -1) for w in words], np.int64)[codes]
             place = np.cumsum(steps, dtype=np.int64)[found >= 0]
             found = found[found >= 0]
             for first, last in cut_points(place, PIECE):
@@ -252,7 +261,7 @@ def frequent_phrases(rows: DataFrame, longest: int, least: int, few: int) -> tup
         "number", "lang", "phrase", F.col("phrase").alias("last"), "f", nothing.alias("left"), nothing.alias("right"),
         F.array("f").alias("heads"), F.array("f").alias("tails"))
     tables = [cut(table)]
-    if counted_small(tables[0].select("lang", "phrase"), few):
+    if counted_small(tables[0].select("lang", "phrase"), few // 4):
         relation = cut(known_words(rows, tables[0]))
     else:
         first = cut(occurrences(rows))
