@@ -11,7 +11,8 @@ pieces), ``codes`` number the phrases of the block, ``ids`` give their numbers i
    begins a word later make one of k + 1. Groups are counted over some blocks, then in Spark.
 4. Steps 2 and 3 go on to the longest length. A phrase is known by the numbers of its two parts, so counts are exact.
 
-Blocks stay whole in a task, so the join needs no shuffle. A task sends each phrase once for millions of occurrences. The semi-join looks phrases up in each task while a count proves them few, and goes through a shuffle
+Blocks stay whole in a task, so the join needs no shuffle. A task sends each phrase once for a million of its
+occurrences. The semi-join looks phrases up in each task while a count proves them few, and goes through a shuffle
 beyond that.
 """
 
