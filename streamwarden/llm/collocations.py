@@ -22,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -29,8 +30,8 @@ from ..operators.skew import counted_small
 from ..session import cut
 from .common import _LOWER, numbered, release, slices, trim, words_in
 
-WORDS = 200_000  # different words counted before they leave a task
-PIECE = 100_000  # occurrences of a block
+WORDS = 100_000  # different words counted before they leave a task
+PIECE = 30_000  # occurrences of a block, few enough for a row
 COUNTED, ROWS = 1_000_000, 50_000  # pairs counted before they leave a task, and sent to Spark at once
 LOOKED_UP = 2_000_000  # phrases a task may hold, 8 bytes each; of words, whose texts it needs, a quarter
 _PIECE_END = np.zeros(256, bool)
@@ -122,13 +123,16 @@ def known_words(rows: DataFrame, table: DataFrame) -> DataFrame:
     def made(batches):
         release()
         block = TaskContext.get().partitionId() << 32
-        known: dict[str, dict[str, int]] = {}
-        for lang, phrase, number in zip(*(sent.value[c].to_pylist() for c in ("lang", "phrase", "number"))):
-            known.setdefault(lang, {})[phrase] = number
+        known = {}
+        for name in sent.value["lang"].unique().to_pylist():
+            own = sent.value.filter(pc.equal(sent.value["lang"], name))
+            known[name] = own["phrase"].combine_chunks(), own["number"].to_numpy()
         for name, steps, codes, words in _tokens(batches):
             if name not in known:
                 continue
-            found = np.array([known[name].get(w, -1) for w in words], np.int64)[codes]
+            phrases, numbers = known[name]
+            at = pc.index_in(pa.array(words, phrases.type), value_set=phrases).fill_null(-1).to_numpy(zero_copy_only=False)
+            found = np.where(at >= 0, numbers[at], -1)[codes]
             place = np.cumsum(steps, dtype=np.int64)[found >= 0]
             found = found[found >= 0]
             for first, last in cut_points(place, PIECE):
