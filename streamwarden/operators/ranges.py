@@ -12,12 +12,14 @@ from functools import reduce
 from math import gcd, lcm
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import cut
 from . import skew
 
 EXPANDED = 1 << 12  # windows of one stretch before it is expanded
-LISTED = 1 << 10  # stretches of one row before it is expanded
+LISTED = 1 << 10  # pieces of stretches whose texts are written together
+TEXT_BYTES = 1 << 23  # of texts that leave a task at once, if there is more than one
 
 
 class Grid:
@@ -171,7 +173,7 @@ def aggregated(df: DataFrame, by: list[str], aggs: list, longest: int, limit: in
     ``df`` has ``_lo`` and ``_hi``, at most ``longest`` windows apart. Counts and sums of whole numbers and decimals are running sums of
     changes. A distinct count changes with the united ranges of each value. Minima, maxima, samples and sums of
     floating numbers (of which running sums would keep the errors) are merged from power-of-two cells of windows. Texts are
-    gathered for each stretch.
+    written for each stretch; with them, long stretches come in pieces.
     """
     df = cut(df)
     names = {a.alias: f"_v{i}" for i, a in enumerate(aggs)}
@@ -231,26 +233,100 @@ def _final(a, v: str) -> Column:
 
 
 def _with_texts(df: DataFrame, out: DataFrame, by: list[str], texts: list, names: dict[str, str], limit: int) -> DataFrame:
-    """Adds the sorted, joined values of each stretch. A row is sent to the stretches it is in, so work follows the texts."""
+    """Adds the sorted, joined values of each stretch, which is cut into pieces of ``EXPANDED`` windows.
+
+    A row goes once to each block of ``LISTED`` pieces it is in, not to every piece. A block sorts its rows once and writes the
+    texts of its pieces one after another; no text is shuffled.
+    """
     code = F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit("")
-    line = cut(skew.positions(out.withColumn("_k", code), ["_k"], ["_lo"], "_pos", limit=limit))
-    # A row covers the stretches from the one that begins at its first window to the one that ends at its last.
+    cuts = out.withColumn("_first", F.explode(F.sequence("_lo", "_hi", F.lit(EXPANDED).cast("long")))).withColumns({
+        "_lo": F.col("_first"), "_hi": F.least(F.col("_first") + EXPANDED - 1, F.col("_hi"))}).drop("_first")
+    line = cut(skew.positions(cuts.withColumn("_k", code), ["_k"], ["_lo"], "_pos", limit=limit))
+    # A row covers the pieces from the one that begins at its first window to the one that ends at its last.
     rows = df.select(code.alias("_k"), "_lo", "_hi", *[F.col(a.column).cast("string").alias(names[a.alias]) for a in texts])
     begins = line.select("_k", "_lo", F.col("_pos").alias("_from"))
     ends = line.select("_k", "_hi", F.col("_pos").alias("_to"))
     sent = skew.salted_join(skew.salted_join(rows, begins, ["_k", "_lo"], limit=max(limit, 1)), ends, ["_k", "_hi"], limit=max(limit, 1))
-    pieces = sent.withColumn("_first", F.explode(F.sequence("_from", "_to", F.lit(LISTED).cast("long"))))
-    each = pieces.withColumn("_pos", F.explode(F.sequence("_first", F.least(F.col("_first") + LISTED - 1, F.col("_to")))))
-    joined_texts = each.groupBy("_k", "_pos").agg(*[
-        F.array_join(F.array_sort(F.collect_list(names[a.alias])), a.separator).alias(names[a.alias] + "t") for a in texts])
-    return line.join(joined_texts, ["_k", "_pos"], "left").drop("_k", "_pos")
-
-
-def expanded(stretches: DataFrame, grid: Grid, columns: list[str]) -> DataFrame:
-    """``window_start, window_end`` and ``columns``, one row for each window of a stretch."""
+    both = _blocks(sent.drop("_lo", "_hi")).unionByName(
+        line.withColumn("_block", F.expr(f"_pos div {LISTED}")), allowMissingColumns=True)
+    # The number of parts is given, so that they are not merged for their few rows: the texts are much larger.
+    dealt = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_k", "_block").sortWithinPartitions("_k", "_block")
+    kept = [f for f in line.schema.fields if f.name not in ("_k", "_pos")]
+    schema = StructType([*[StructField(f.name, f.dataType) for f in kept], *[StructField(names[a.alias] + "t", StringType()) for a in texts]])
+    return dealt.mapInArrow(_text_writer([f.name for f in kept], [(names[a.alias], a.separator) for a in texts]), schema)
+
+
+def _blocks(sent: DataFrame) -> DataFrame:
+    """Each row once for every block of ``LISTED`` pieces between its ``_from`` and ``_to``."""
+    return sent.withColumn("_block", F.explode(F.sequence(F.expr(f"_from div {LISTED}"), F.expr(f"_to div {LISTED}"))))
+
+
+def _text_writer(kept: list[str], texts: list[tuple[str, str]]):
+    """A function over Arrow batches sorted by block: pieces (rows with ``_pos``) with the texts of the rows that cover them."""
+    batch_bytes = TEXT_BYTES
+
+    def sorted_rows(held, name, separator):
+        """(from, to, bytes of each value with its separator, their lengths), in the order of the values."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        known = held.filter(pc.is_valid(held[name]))
+        values = pc.cast(known[name], pa.large_binary()).combine_chunks()
+        order = pc.sort_indices(values)
+        ended = pc.binary_join_element_wise(values.take(order), pa.scalar(b"", pa.large_binary()), pa.scalar(separator.encode(), pa.large_binary()))
+        offsets = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset:ended.offset + len(ended) + 1] if len(ended) else np.zeros(1, np.int64)
+        data = np.frombuffer(ended.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]] if len(ended) else np.zeros(0, np.uint8)
+        return known["_from"].take(order).to_numpy(), known["_to"].take(order).to_numpy(), data, np.diff(offsets)
+
+    def written(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        asked, held = table.filter(pc.is_valid(table["_pos"])), table.filter(pc.is_null(table["_pos"]))
+        places, columns = asked["_pos"].to_numpy(), asked.select(kept)
+        sides = [(*sorted_rows(held, name, separator), len(separator.encode())) for name, separator in texts]
+        first, size, made = 0, 0, [[] for _ in texts]
+        for i, place in enumerate(places):
+            for (low, high, data, lengths, tail), out in zip(sides, made):
+                found = data[np.repeat((low <= place) & (high >= place), lengths)]
+                out.append(found[:max(len(found) - tail, 0)].tobytes())
+                size += len(found)
+            if size >= batch_bytes or i + 1 == len(places):
+                part = columns.slice(first, i + 1 - first).combine_chunks()
+                arrays = [c.chunk(0) for c in part.columns] + [pa.array(out, pa.binary()).cast(pa.string()) for out in made]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *[name + "t" for name, _ in texts]])
+                first, size, made = i + 1, 0, [[] for _ in texts]
+
+    def write(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        gathered, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, code = batch.column("_block"), batch.column("_k")
+            moved = pc.or_(pc.not_equal(block[1:], block[:-1]), pc.not_equal(code[1:], code[:-1])).to_numpy(zero_copy_only=False)
+            bounds = [0, *(np.flatnonzero(moved) + 1).tolist(), batch.num_rows]
+            for low, high in zip(bounds, bounds[1:]):
+                here = (block[low].as_py(), code[low].as_py())
+                if gathered and here != key:
+                    yield from written(pa.Table.from_batches(gathered))
+                    gathered = []
+                key = here
+                gathered.append(batch.slice(low, high - low))
+        if gathered:
+            yield from written(pa.Table.from_batches(gathered))
+
+    return write
+
+
+def expanded(stretches: DataFrame, grid: Grid, columns: list[str], dealt: bool = False) -> DataFrame:
+    """``window_start, window_end`` and ``columns``, one row for each window of a stretch. ``dealt``: they are spread in bounded pieces."""
     spark = stretches.sparkSession
     pieces = stretches.withColumn("_first", F.explode(F.sequence("_lo", "_hi", F.lit(EXPANDED).cast("long"))))
-    pieces = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # stretches differ in length
+    if not dealt:
+        pieces = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # stretches differ in length
     rows = pieces.withColumn("_number", F.explode(F.sequence("_first", F.least(F.col("_first") + EXPANDED - 1, F.col("_hi")))))
     return rows.select(*grid.bounds(F.col("_number")), *columns)
 
@@ -261,7 +337,7 @@ def windowed(df: DataFrame, ts: str, range_ms: int, step_ms: int, aggs: list, by
     needed = list(dict.fromkeys([*by, *[a.column for a in aggs if a.column != "*"]]))
     placed = grid.placed(df.select(ts, *[c for c in needed if c != ts]), ts)
     found = aggregated(placed.select(*needed, "_lo", "_hi"), by, aggs, -(-range_ms // step_ms), limit)
-    return expanded(found, grid, [*by, *[a.alias for a in aggs]])
+    return expanded(found, grid, [*by, *[a.alias for a in aggs]], dealt=any(a.fn == "group_concat" for a in aggs))
 
 
 def window_join(left: DataFrame, right: DataFrame, shared: list[str], ts: str, left_frame: tuple[int, int],

@@ -164,7 +164,8 @@ class ContinuousQuery:
             frames = [(w.width_ms, w.slide_ms) for w in self.windows]
             both, grid = ranges.joined([(df, "event_time") for df in sides], frames)
             found = ranges.aggregated(ready(both), list(self.group_by), list(self.aggregates), overlap)
-            return ranges.expanded(found, grid, [*self.group_by, *[a.alias for a in self.aggregates]])
+            return ranges.expanded(found, grid, [*self.group_by, *[a.alias for a in self.aggregates]],
+                                   dealt=any(a.fn == "group_concat" for a in self.aggregates))
 
         def solved(df: DataFrame, w: WindowSpec) -> DataFrame:
             variables = [c for c in df.columns if c not in ("event_time", "window_start", "window_end")]

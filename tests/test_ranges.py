@@ -93,3 +93,16 @@ def test_query_of_two_windows(spark):
     coarse = query(1000).over_observations(obs)  # rows copied into their windows
     some = fine.where("unix_millis(cast(window_start as timestamp)) % 1000 = 0")
     assert key(some.select("window_start", "window_end", "mean", "n")) == key(coarse.select("window_start", "window_end", "mean", "n"))
+
+
+def test_texts_are_written_by_blocks(spark, monkeypatch):
+    """A row goes once to each block of pieces, and small blocks, pieces and batches give the same texts."""
+    sent = spark.createDataFrame([(0, 2047), (1000, 5000), (7, 7)], "_from long, _to long")
+    assert ranges._blocks(sent).count() == 2 + 5 + 1
+    rows = [("a" if i % 3 else None, ["x", "\u00e9\u4e2d", "", None, "10", "9"][i % 6], i % 4, T0 + timedelta(milliseconds=137 * i)) for i in range(70)]
+    df = spark.createDataFrame(rows, "k string, v string, i int, t timestamp")
+    aggs = [Agg("group_concat", "v", "texts", " | "), Agg("group_concat", "i", "numbers", ""), Agg("count", "*", "n")]
+    for name, small in (("LISTED", 4), ("EXPANDED", 3), ("TEXT_BYTES", 40)):
+        monkeypatch.setattr(ranges, name, small)
+    for by in ([], ["k"]):
+        assert key(ranges.windowed(df, "t", 4000, 50, aggs, by)) == key(windows.windowed(df, "t", 4000, 50, aggs, by))
