@@ -161,8 +161,8 @@ def fixpoint(facts: DataFrame, rules: list[Threshold | Template | Path | Body],
     plan stays short and a lost executor costs one round. Threshold and template
     rules are one projection of a triple; path rules are equi joins of the new
     triples with all known ones. A rule with a body is joined once for each premise that may take a new triple,
-    the premises before it from what was known a round earlier, so no binding is found twice. Facts on predicates
-    no rule mentions are left out.
+    the premises before it from what was known a round earlier, so no binding is found twice. After the first round only
+    derived predicates are new, so premises on others get no join of their own. Facts on predicates no rule mentions are left out.
     Rounds go on until nothing new follows; ``max_rounds`` is for callers that would rather fail.
     """
     read, made = _predicates(rules)
@@ -172,7 +172,7 @@ def fixpoint(facts: DataFrame, rules: list[Threshold | Template | Path | Body],
     known = cut(wanted.distinct())
     fresh, added, old = known, None, None
     for _ in count() if max_rounds is None else range(max_rounds):
-        produced = _concluded(fresh, known, old, rules).distinct()
+        produced = _concluded(fresh, known, old, rules, made if old is not None else None).distinct()
         stated = known.where(F.col("p").isin(sorted(made))) if made is not None else known
         fresh = cut(produced.join(stated, ["s", "p", "o"], "left_anti"))
         if fresh.isEmpty():
@@ -209,17 +209,24 @@ def bindings(triples: DataFrame, pattern: tuple[str, str, str]) -> DataFrame:
     return triples.select(*[F.col(c).alias(v[1:]) for v, c in seen.items()])
 
 
-def _of_body(rule: Body, fresh: DataFrame, known: DataFrame, old: DataFrame | None) -> list[DataFrame]:
-    """Conclusions in which a premise takes a new triple: semi-naive, one join for each such premise."""
+def _may_be(predicate: str, made: set[str] | None) -> bool:
+    """Whether a triple on one of the predicates ``made`` (None: any) fits."""
+    return made is None or predicate.startswith("?") or predicate in made
+
+
+def _of_body(rule: Body, fresh: DataFrame, known: DataFrame, old: DataFrame | None, made: set[str] | None = None) -> list[DataFrame]:
+    """Conclusions in which a premise takes a new triple: semi-naive, one join for each premise that a triple on ``made`` fits."""
     out = []
     for new in range(len(rule.premises) if old is not None else 1):  # at first all is new
+        if not _may_be(rule.premises[new][1], made):
+            continue
         sources = [old if i < new else fresh if i == new else known for i in range(len(rule.premises))]
         found, left = bindings(sources[new], rule.premises[new]), [i for i in range(len(rule.premises)) if i != new]
         while left:
             i = next(i for i in left if {t[1:] for t in rule.premises[i] if t.startswith("?")} & set(found.columns))
             left.remove(i)
             other = bindings(sources[i], rule.premises[i])
-            found = found.join(other, [c for c in other.columns if c in found.columns]).distinct()
+            found = found.join(other, [c for c in other.columns if c in found.columns])  # sides without repeats give none
         for variable, name, bound in rule.tests:
             if isinstance(bound, str) and bound.startswith("?"):
                 found = found.where(COMPARISONS[name](F.col(variable[1:]), F.col(bound[1:])))
@@ -229,9 +236,10 @@ def _of_body(rule: Body, fresh: DataFrame, known: DataFrame, old: DataFrame | No
     return out
 
 
-def _concluded(fresh: DataFrame, known: DataFrame, old: DataFrame | None, rules: list) -> DataFrame:
+def _concluded(fresh: DataFrame, known: DataFrame, old: DataFrame | None, rules: list, made: set[str] | None = None) -> DataFrame:
+    """What follows with a triple of ``fresh``, which is on predicates ``made`` (None: any)."""
     local = [c for r in rules if not isinstance(r, (Path, Body)) for c in [_conclusion(r)]]
-    parts = [part for r in rules if isinstance(r, Body) for part in _of_body(r, fresh, known, old)]
+    parts = [part for r in rules if isinstance(r, Body) for part in _of_body(r, fresh, known, old, made)]
     if local:
         parts.append(fresh.select(F.explode(F.filter(F.array(*local), lambda x: x.isNotNull())).alias("c")).select("c.*"))
 
@@ -239,10 +247,12 @@ def _concluded(fresh: DataFrame, known: DataFrame, old: DataFrame | None, rules:
         return df.where(F.col("p") == predicate).select(F.col("s").alias(a), F.col("o").alias(b))
 
     for r in (r for r in rules if isinstance(r, Path)):
-        for first, second in ((fresh, known), (known, fresh)):
+        for first, second, new in ((fresh, known, r.first), (known, fresh, r.second)):
+            if not _may_be(new, made):
+                continue
             pairs = edges(first, r.first, "a", "b").join(edges(second, r.second, "b", "c"), "b")
             parts.append(pairs.select(F.col("a").alias("s"), F.lit(r.derived).alias("p"), F.col("c").alias("o")))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else fresh.limit(0)
 
 
 def _conclusion(rule: Threshold | Template) -> Column:

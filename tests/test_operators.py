@@ -619,3 +619,17 @@ def test_long_literals_are_read_whole(spark):
     good, bad = triples.ntriples_ingest(docs(spark, body))
     assert [r.o for r in good.orderBy("seq").collect()] == [plain, escaped] and bad.count() == 1
     assert triples.observations_from_documents(docs(spark, body)).first().property == escaped
+
+
+def test_rules_join_only_premises_that_may_be_new(spark):
+    first = rules.Body("first", (("?a", "next", "?b"), ("?a", "kind", "?k"), ("?b", "kind", "?k")), ("?a", "runs", "?b"))
+    more = rules.Body("more", (("?a", "runs", "?b"), ("?b", "next", "?c"), ("?b", "kind", "?k"), ("?c", "kind", "?k")), ("?a", "runs", "?c"))
+    steps, kinds = list(zip("abcde", "bcdef")), dict(zip("abcdef", "xxxyyy"))
+    facts = spark.createDataFrame([(a, "next", b) for a, b in steps] + [(a, "kind", k) for a, k in kinds.items()], "s string, p string, o string")
+    joins = [len(rules._of_body(r, facts, facts, facts, {"runs"})) for r in (first, more)]
+    assert joins == [0, 1] and len(rules._of_body(more, facts, facts, facts)) == 4
+    assert {(r.s, r.o) for r in rules.fixpoint(facts, [first, more]).collect()} == {
+        (a, b) for part in ("abc", "def") for a in part for b in part if a < b}
+    # Nothing follows from what the only rule derives.
+    assert rules.fixpoint(facts, [first]).count() == 4
+    assert rules.fixpoint(facts, [rules.Path("p", "next", "next", "twice")]).count() == 4
