@@ -61,7 +61,8 @@ def query_catalog_windows(spark, sf):
 @query(f"with {Q} select {HASH} query_hash, 'http://example.org/heart' focus from q")
 def query_focus(spark, sf):
     cat = query_text.catalog(registrations(spark, sf))
-    patterns = cat.select("query_hash", F.explode("patterns").alias("t")).select(
+    # Before an inner explode Spark tests the array in a filter of its own, for which the text would be read once more.
+    patterns = cat.select("query_hash", F.explode_outer("patterns").alias("t")).select(
         "query_hash", F.regexp_replace("t.p", "^<|>$", "").alias("p"), F.regexp_replace("t.o", "^<|>$", "").alias("o"))
     return discovery.query_focus(patterns)
 
