@@ -36,9 +36,17 @@ def _all(lines: Column, form: str, group: int) -> Column:
     return F.regexp_extract_all(lines, F.lit(form), F.lit(group))
 
 
+def _found(lines: Column, form: str, names: list[str]) -> Column:
+    """Structs of the groups of all matches, by one pass over the text: groups are read from the short matches.
+
+    For forms that end in a character of their own, so that a match alone matches in the same way.
+    """
+    return F.transform(_all(lines, form, 0), lambda m: F.struct(*[F.regexp_extract(m, form, i + 1).alias(n) for i, n in enumerate(names)]))
+
+
 def prefix_map(lines: Column) -> Column:
     """Prefix to namespace; a repeated prefix takes its last meaning."""
-    entries = F.arrays_zip(_all(lines, PREFIX_FORM, 1).alias("k"), _all(lines, PREFIX_FORM, 2).alias("v"))
+    entries = _found(lines, PREFIX_FORM, ["k", "v"])
     return let(entries, lambda found: F.map_from_entries(F.filter(found, lambda e, i: ~F.exists(
         F.slice(found, i + 2, F.size(found)), lambda later: later["k"] == e["k"]))))
 
@@ -57,23 +65,26 @@ def unwrap(iri: Column, prefixes: Column) -> Column:
 def catalog(queries: DataFrame, text: str = "query_text") -> DataFrame:
     """Adds hash, prefixes, emit mode, windows, their frames as written, aggregate, variable, patterns, focus and ``remainder``.
 
-    ``remainder`` is what no other column holds: SELECT items, filters, grouping, nested groups
+    ``blocks`` are the window blocks as written (name, body). ``remainder`` is what no other column holds: SELECT items, filters, grouping, nested groups
     and whatever was not understood. One projection per stage, so columns nobody asks for are not computed.
     """
-    plain = F.regexp_replace(F.col(text), COMMENT_FORM, "$1")
+    plain = F.when(F.contains(F.col(text), F.lit("#")), F.regexp_replace(F.col(text), COMMENT_FORM, "$1")).otherwise(F.col(text))
     split = queries.withColumn("_text", plain).select(
         *queries.columns, "_text", query_hash(text).alias("query_hash"), prefix_map(F.col("_text")).alias("prefixes"))
     body = F.regexp_replace(F.regexp_replace("_text", REGISTER_FORM, " "), WINDOW_FORM, " ")
     lines = F.transform(F.split(body, r"\r?\n", -1), lambda x: F.trim(x))
-    split = split.withColumn("sparql", F.regexp_replace(
-        F.array_join(F.filter(lines, lambda x: x != ""), "\n"), rf"(?i)\bWINDOW(\s+{_NAME}\s*\{{)", "GRAPH$1"))
+    # Each form is looked for once; what is read from its matches is read from these columns.
+    split = split.withColumns({
+        "sparql": F.regexp_replace(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), rf"(?i)\bWINDOW(\s+{_NAME}\s*\{{)", "GRAPH$1"),
+        "_registered": F.try_element_at(_all(F.col("_text"), REGISTER_FORM, 0), F.lit(-1)),
+        "_raw": _found(F.col("_text"), WINDOW_FORM, ["w", "st", "r", "sl"])})
+    split = split.withColumn("blocks", _found(F.col("sparql"), BLOCK_FORM, ["w", "b"]))
 
     def last(group: int, default: str) -> Column:
-        return F.coalesce(F.try_element_at(_all(F.col("_text"), REGISTER_FORM, group), F.lit(-1)), F.lit(default))
+        return F.coalesce(F.regexp_extract("_registered", REGISTER_FORM, group), F.lit(default))
 
     mode = F.lower(last(1, "RStream"))
-    raw = F.arrays_zip(*[_all(F.col("_text"), WINDOW_FORM, i).alias(n)
-                         for i, n in ((1, "w"), (2, "st"), (3, "r"), (4, "sl"))])
+    raw = F.col("_raw")
     windows = let(F.col("prefixes"), lambda prefixes: F.transform(raw, lambda w: F.struct(
         unwrap(w["w"], prefixes).alias("name"), unwrap(w["st"], prefixes).alias("stream"),
         w["r"].try_cast("bigint").alias("width_ms"), w["sl"].try_cast("bigint").alias("slide_ms"))))
@@ -86,14 +97,14 @@ def catalog(queries: DataFrame, text: str = "query_text") -> DataFrame:
         F.lower(F.regexp_extract("sparql", SELECT_FORM, 1)).alias("aggregate"),
         F.regexp_extract("sparql", SELECT_FORM, 2).alias("aggregate_var"),
         F.regexp_extract("sparql", SELECT_FORM, 3).alias("projection_var"),
-        let(F.col("prefixes"), lambda prefixes: _patterns(F.col("sparql"), prefixes)).alias("patterns"),
+        let(F.col("prefixes"), lambda prefixes: _patterns(F.col("blocks"), prefixes)).alias("patterns"),
         F.trim(F.regexp_replace(left, r"\s+", " ")).alias("remainder"))
     return parsed.withColumn("focus", F.transform(
         F.filter("patterns", lambda x: x["p"].isin([f"<{p}>" for p in vocab.FOCUS_PREDICATES])),
         lambda x: F.regexp_replace(x["o"], r"^[<?]|>$", "")))
 
 
-def _patterns(sparql: Column, prefixes: Column) -> Column:
+def _patterns(blocks: Column, prefixes: Column) -> Column:
     """Triple patterns per window block, with full IRIs."""
     def full(token: Column) -> Column:
         # A name with an unknown prefix stays as written.
@@ -101,12 +112,11 @@ def _patterns(sparql: Column, prefixes: Column) -> Column:
             F.concat(F.lit("<"), iri, F.lit(">"))))
         return (
             F.when(token == "a", F.lit(f"<{vocab.RDF_TYPE}>"))
-            .when(token.rlike(r'^[<?$"_]'), F.regexp_replace(token, r"^\$", "?"))
+            .when(F.startswith(token, F.lit("$")), F.concat(F.lit("?"), F.substr(token, F.lit(2))))
+            .when(F.substr(token, F.lit(1), F.lit(1)).isin("<", "?", '"', "_"), token)
             .otherwise(known)
         )
 
-    blocks = F.arrays_zip(_all(sparql, BLOCK_FORM, 1).alias("w"), _all(sparql, BLOCK_FORM, 2).alias("b"))
-
     def triples(block: Column) -> Column:
         stated = F.transform(F.split(block["b"], r"\s+\.\s*|\.(?=\s|$)", -1),
                              lambda t: F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " ", 3))
@@ -119,24 +129,24 @@ def _patterns(sparql: Column, prefixes: Column) -> Column:
 
 KEYWORDS = ("SELECT DISTINCT REDUCED AS WHERE FILTER OPTIONAL UNION MINUS BIND GROUP BY HAVING ORDER ASC DESC LIMIT OFFSET "
             "AVG MAX MIN SUM COUNT SAMPLE GROUP_CONCAT").split()
+KEYWORD_FORM = rf"(?i)(?<![\w?:<\"'/#.-])(?:{'|'.join(KEYWORDS)})(?![\w:/\"'])"
 
 
-def understood(sparql: Column, remainder: Column) -> Column:
+def understood(blocks: Column, remainder: Column) -> Column:
     """Whether windows, patterns and remainder together say all that the text says.
 
     Blocks have to stand directly in the one WHERE group and hold plain triples, and no
     literal may look as if it held a variable or a brace.
     """
-    blocks = _all(sparql, BLOCK_FORM, 2)
-
     def plain(block: Column) -> Column:
         stated = F.filter(F.split(block, r"\s+\.\s*|\.(?=\s|$)", -1), lambda t: F.trim(t) != "")
         three = F.forall(stated, lambda t: F.size(F.split(F.trim(F.regexp_replace(t, r"\s+", " ")), " ", -1)) == 3)
         return three & ~block.rlike(r"""["'();,\[\]]""")
 
     one_group = F.size(F.split(remainder, r"\{", -1)) == 2
-    odd_literal = remainder.rlike(r"""["'][^"']*[?${}<:#][^"']*["']""") | remainder.rlike(r"""\\""")
-    return F.forall(blocks, plain) & one_group & ~odd_literal & ~remainder.rlike(r"(?i)\b(WINDOW|GRAPH|REGISTER|PREFIX|BASE|STREAM)\b")
+    quoted = F.contains(remainder, F.lit('"')) | F.contains(remainder, F.lit("'"))
+    odd_literal = (quoted & remainder.rlike(r"""["'][^"']*[?${}<:#][^"']*["']""")) | F.contains(remainder, F.lit("\\"))
+    return F.forall(blocks, lambda block: plain(block["b"])) & one_group & ~odd_literal & ~remainder.rlike(r"(?i)\b(WINDOW|GRAPH|REGISTER|PREFIX|BASE|STREAM)\b")
 
 
 def _is_variable(term: Column) -> Column:
@@ -147,8 +157,12 @@ def _holds(t: Column, v: Column) -> Column:
     return (t["s"] == v) | (t["p"] == v) | (t["o"] == v)
 
 
+def _all_apart(colours: Column) -> Column:
+    return F.size(F.array_distinct(F.map_values(colours))) == F.size(colours)
+
+
 def _refined(colours: Column, triples: Column) -> Column:
-    """Colours after as many rounds as there are variables: a variable's next colour is its own and those around it."""
+    """Colours once all differ, or after as many rounds as there are variables: a variable's next colour is its own and those around it."""
     def once(held: Column) -> Column:
         def of(e: Column) -> Column:
             def shown(term: Column) -> Column:
@@ -156,11 +170,12 @@ def _refined(colours: Column, triples: Column) -> Column:
 
             around = F.transform(F.filter(triples, lambda t: _holds(t, e["key"])), lambda t: F.concat_ws(
                 " ", t["place"], shown(t["s"]), shown(t["p"]), shown(t["o"])))
-            return F.struct(e["key"].alias("key"), F.md5(F.concat(e["value"], F.lit("#"), F.array_join(F.array_sort(around), ";"))).alias("value"))
+            return F.struct(e["key"].alias("key"), F.md5(F.concat(e["value"], F.lit("#"), F.array_join(F.sort_array(around), ";"))).alias("value"))
 
         return F.map_from_entries(F.transform(F.map_entries(held), of))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(colours), F.lit(1))), colours, lambda held, _: once(held))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(colours), F.lit(1))), colours, lambda held, _: F.when(
+        _all_apart(held), held).otherwise(once(held)))
 
 
 def _tied(colours: Column) -> Column:
@@ -177,11 +192,11 @@ def _choices(colours: Column, triples: Column) -> Column:
         def other(term: Column) -> Column:
             return F.when(term == a, b).when(term == b, a).otherwise(term)
 
-        return F.array_sort(F.transform(triples, lambda t: F.struct(
+        return F.sort_array(F.transform(triples, lambda t: F.struct(
             t["place"].alias("place"), other(t["s"]).alias("s"), other(t["p"]).alias("p"), other(t["o"]).alias("o"))))
 
     def apart(tied: Column) -> Column:
-        alike = F.forall(tied, lambda b: swapped(F.get(tied, F.lit(0)), b) == F.array_sort(triples))
+        alike = F.forall(tied, lambda b: swapped(F.get(tied, F.lit(0)), b) == F.sort_array(triples))
         tried = F.when(alike, F.slice(tied, 1, 1)).otherwise(tied)
         return F.transform(tried, lambda v: let(F.map_from_entries(F.transform(F.map_entries(colours), lambda e: F.struct(
             e["key"].alias("key"), F.when(e["key"] == v, F.concat(e["value"], F.lit("!"))).otherwise(e["value"]).alias("value")))),
@@ -201,16 +216,16 @@ def _numberings(variables: Column, triples: Column, named: Column) -> Column:
 
     def step(tried: Column) -> Column:
         grown = F.flatten(F.transform(tried, lambda colours: _choices(colours, triples)))
-        shown = lambda colours: F.array_join(F.array_sort(F.map_values(colours)), ",")
+        shown = lambda colours: F.array_join(F.sort_array(F.map_values(colours)), ",")
         return let(grown, lambda grown: let(F.array_min(F.transform(grown, shown)), lambda least: F.filter(
             grown, lambda colours: shown(colours) == least)))
 
     first = let(start, lambda colours: F.array(_refined(colours, triples)))
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(variables), F.lit(1))), first, lambda tried, _: F.when(
-        F.size(_tied(F.get(tried, F.lit(0)))) == 0, tried).otherwise(step(tried)))
+        _all_apart(F.get(tried, F.lit(0))), tried).otherwise(step(tried)))
 
 
-def equivalence_key(windows: Column, patterns: Column, operator: Column, sparql: Column, remainder: Column,
+def equivalence_key(windows: Column, patterns: Column, operator: Column, blocks: Column, remainder: Column,
                     prefixes: Column, text: Column) -> Column:
     """Equal only for queries that differ in variable, window or prefix names, order, spacing or case of keywords.
 
@@ -224,13 +239,15 @@ def equivalence_key(windows: Column, patterns: Column, operator: Column, sparql:
             w.isNotNull(), F.concat_ws("~", w["stream"], w["frame"])).otherwise(name))
 
     triples = F.transform(patterns, lambda t: F.struct(place(t["window"]).alias("place"), t["s"].alias("s"), t["p"].alias("p"), t["o"].alias("o")))
-    frames = F.array_sort(F.transform(windows, lambda w: F.concat_ws("~", w["stream"], w["frame"])))
-    rest = F.regexp_replace(remainder, r"\$(\w)", "?$1")
-    for word in KEYWORDS:
-        rest = F.regexp_replace(rest, rf"(?i)(?<![\w?:<\"'/#.-]){word}(?![\w:/\"'])", word)
+    frames = F.sort_array(F.transform(windows, lambda w: F.concat_ws("~", w["stream"], w["frame"])))
+    rest = F.when(F.contains(remainder, F.lit("$")), F.regexp_replace(remainder, r"\$(\w)", "?$1")).otherwise(remainder)
+    # Pieces between the keywords, and the keywords in capitals: two passes for all words.
+    rest = let(rest, lambda r: F.array_join(F.flatten(F.zip_with(
+        F.split(r, KEYWORD_FORM, -1), F.concat(F.transform(_all(r, KEYWORD_FORM, 0), lambda word: F.upper(word)), F.array(F.lit(""))),
+        lambda between, word: F.array(between, word))), ""))
     rest = F.regexp_replace(F.regexp_replace(rest, r"\s*([(){}=<>!,+*/|&-])\s*", "$1"), r"\s+", " ")
-    named = F.regexp_replace(remainder, _IRI, " ").rlike(r"[\w-]*:[\w-]")
-    spaces = F.when(named, F.array_join(F.array_sort(F.transform(
+    named = F.contains(remainder, F.lit(":")) & F.regexp_replace(remainder, _IRI, " ").rlike(r"[\w-]*:[\w-]")
+    spaces = F.when(named, F.array_join(F.sort_array(F.transform(
         F.map_entries(prefixes), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")).otherwise(F.lit(""))
 
     def whole(triples: Column, rest: Column) -> Column:
@@ -238,25 +255,26 @@ def equivalence_key(windows: Column, patterns: Column, operator: Column, sparql:
         inside = F.filter(F.flatten(F.transform(triples, lambda t: F.array(t["s"], t["p"], t["o"]))), _is_variable)
 
         def written(colours: Column) -> Column:
-            order = F.array_sort(F.map_values(colours))
+            def shown(order: Column) -> Column:
+                def number(term: Column) -> Column:
+                    return F.when(_is_variable(term), F.concat(F.lit("?#"), F.array_position(order, F.element_at(colours, term)).cast("string"))).otherwise(term)
 
-            def number(term: Column) -> Column:
-                return F.when(_is_variable(term), F.concat(F.lit("?#"), F.array_position(order, F.element_at(colours, term)).cast("string"))).otherwise(term)
+                lines = F.sort_array(F.transform(triples, lambda t: F.concat_ws(" ", t["place"], number(t["s"]), number(t["p"]), number(t["o"]))))
+                told = F.aggregate(F.array_distinct(around), rest, lambda acc, v: F.regexp_replace(
+                    acc, F.concat(F.lit(r"\?"), F.substr(v, F.lit(2)), F.lit(r"\b")), number(v)))
+                return F.concat_ws(" | ", F.array_join(lines, " . "), told)
 
-            lines = F.array_sort(F.transform(triples, lambda t: F.concat_ws(" ", t["place"], number(t["s"]), number(t["p"]), number(t["o"]))))
-            told = F.aggregate(F.array_distinct(around), rest, lambda acc, v: F.regexp_replace(
-                acc, F.concat(F.lit(r"\?"), F.substr(v, F.lit(2)), F.lit(r"\b")), number(v)))
-            return F.concat_ws(" | ", F.array_join(lines, " . "), told)
+            return let(F.sort_array(F.map_values(colours)), shown)
 
         return let(around, lambda around: let(F.array_distinct(F.concat(inside, around)), lambda variables: F.when(
-            F.size(variables) == 0, F.concat_ws(" | ", F.array_join(F.array_sort(F.transform(triples, lambda t: F.concat_ws(
+            F.size(variables) == 0, F.concat_ws(" | ", F.array_join(F.sort_array(F.transform(triples, lambda t: F.concat_ws(
                 " ", t["place"], t["s"], t["p"], t["o"]))), " . "), rest)).otherwise(
             F.array_min(F.transform(_numberings(variables, triples, around), written)))))
 
     known = F.concat_ws(" | ", operator, F.array_join(frames, ","), let(triples, lambda t: let(rest, lambda r: whole(t, r))), spaces)
     own = F.concat(F.lit("text "), F.trim(F.regexp_replace(text, r"\s+", " ")))
     distinct_names = F.size(F.array_distinct(F.transform(windows, lambda w: w["name"]))) == F.size(windows)
-    return F.sha2(F.when(understood(sparql, remainder) & distinct_names, known).otherwise(own), 256)
+    return F.sha2(F.when(understood(blocks, remainder) & distinct_names, known).otherwise(own), 256)
 
 
 def with_equivalence_key(queries: DataFrame, text: str = "query_text", out: str = "query_key") -> DataFrame:
@@ -264,5 +282,5 @@ def with_equivalence_key(queries: DataFrame, text: str = "query_text", out: str
     parsed = catalog(queries, text).withColumn("_framed", F.transform("windows", lambda w, i: F.struct(
         w["name"].alias("name"), w["stream"].alias("stream"), F.get(F.col("frames"), i).alias("frame"))))
     return parsed.withColumn(out, equivalence_key(
-        F.col("_framed"), F.col("patterns"), F.col("r2s_operator"), F.col("sparql"), F.col("remainder"), F.col("prefixes"),
+        F.col("_framed"), F.col("patterns"), F.col("r2s_operator"), F.col("blocks"), F.col("remainder"), F.col("prefixes"),
         F.col(text))).select(*queries.columns, out)

@@ -213,3 +213,19 @@ def test_names_around_the_patterns_count(spark):
     key = {r.name: r.query_key for r in query_text.with_equivalence_key(df).collect()}
     assert key["a"] == key["c"] == key["renamed"] and key["two"] == key["two turned"]
     assert len({key["a"], key["two"], key["two apart"]}) == 3
+
+
+def test_texts_are_read_in_few_passes(spark):
+    """Keywords of any case between names that hold them, and symbols after $: one split and one extraction for all keywords."""
+    head = "REGISTER RStream <o> AS {} FROM NAMED WINDOW <w> ON STREAM <s> [RANGE 10 STEP 5] WHERE {{ WINDOW <w> {{ ?s <p> ?v }} {}}} {}"
+    texts = [head.format("SELECT (AVG(?v) AS ?r)", "", "GROUP BY ?s"), head.format("select (avg($x) as $y)", "", "group By $t").replace("?s <p> ?v", "$t <p> $x"),
+             head.format("SELECT (GROUP_CONCAT(?v) AS ?r)", "", ""), head.format("sElect (group_concat(?v) As ?r)", "", ""),
+             head.format("SELECT (AVG(?v) AS ?avg)", "", ""), head.format("SELECT (AVG(?v) AS ?AVG)", "", ""), head.format("", "", "")]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, query_text string")
+    keyed = query_text.with_equivalence_key(df)
+    keys = [r.query_key for r in keyed.orderBy("i").collect()]
+    assert keys[0] == keys[1] and keys[2] == keys[3] and keys[4] == keys[5] and len({keys[i] for i in (0, 2, 4, 6)}) == 4
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(plan.count(f"){w}(?!") for w in query_text.KEYWORDS) == 0  # no pattern for each keyword
+    # One pass over the text for each form, the rest reads matches.
+    assert plan.count("regexp_extract_all(_text") <= 3 and plan.count("regexp_extract_all(sparql") <= 1
