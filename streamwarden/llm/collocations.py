@@ -1,9 +1,9 @@
 """Phrase collocations by set-oriented mining of sorted occurrence relations.
 
 An occurrence relation has the occurrences of all frequent phrases of one length: where each begins and which
-phrase it is. It is stored sorted, in blocks of whole pieces of one language: ``steps`` are the distances
-between successive places (words of one piece have successive places, a place is left free between
-pieces), ``codes`` number the phrases of the block, ``ids`` give their numbers in the table of all frequent phrases.
+phrase it is. It is stored sorted, in blocks of whole pieces of one language: ``joined`` has a bit for each occurrence
+that says whether the next one begins a word later, ``numbers`` are the phrases' numbers in the table of all frequent
+phrases, 4 bytes each. Both are packed arrays, which Spark passes on whole instead of value by value.
 
 1. Words of all texts are counted: the first table.
 2. Occurrences of infrequent phrases leave the relation (a semi-join); what is left is written.
@@ -13,18 +13,20 @@ pieces), ``codes`` number the phrases of the block, ``ids`` give their numbers i
 
 Blocks stay whole in a task, so the join needs no shuffle. A task sends each phrase once for a million of its
 occurrences. The semi-join looks phrases up in each task while a count proves them few, and goes through a shuffle
-beyond that.
+beyond that, where a block follows its known phrases row by row. Executors hold some megabytes of rows at a time: batches
+to the workers and row groups of stored blocks are kept small.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators.skew import counted_small
 from ..session import cut
@@ -34,13 +36,28 @@ WORDS = 100_000  # different words counted before they leave a task
 PIECE = 30_000  # occurrences of a block, few enough for a row
 COUNTED, ROWS = 1_000_000, 50_000  # pairs counted before they leave a task, and sent to Spark at once
 LOOKED_UP = 2_000_000  # phrases a task may hold, 8 bytes each; of words, whose texts it needs, a quarter
+BATCH = 8 << 20  # bytes that go to a worker at once
+ROW_GROUP = {"parquet.block.size": str(BATCH), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[*b".,;:!?", 10, 11, 12, 13]] = True
 _IN_WORD = ~_PIECE_END
 _IN_WORD[[9, 32]] = False
 
-BLOCK = "block long, lang string, steps array<int>, codes array<int>, words array<string>"
-RELATION = "block long, steps array<int>, codes array<int>, ids array<long>"
+RELATION = "block long, joined binary, numbers binary"
+BLOCK = f"{RELATION}, lang string, words array<string>"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What runs meanwhile passes about ``BATCH`` bytes to a worker at once, or less if the session asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    if before is None or not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def _tokens(batches):
@@ -92,16 +109,16 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """``block, lang, steps, codes, words`` of ``lang, text``; ``codes`` point into ``words``."""
+    """``BLOCK`` of ``lang, text``; ``numbers`` point into ``words``."""
     def made(batches):
         release()
         block = TaskContext.get().partitionId() << 32
         for name, steps, codes, words in _tokens(batches):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([name], pa.string()), pa.array([steps], pa.list_(pa.int32())),
-                 pa.array([codes.astype(np.int32)], pa.list_(pa.int32())), pa.array([words], pa.list_(pa.string()))],
-                names=["block", "lang", "steps", "codes", "words"])
+                [*_relation(block, np.cumsum(steps, dtype=np.int64), codes).columns, pa.array([name], pa.string()),
+                 pa.array([words], pa.list_(pa.string()))], names=["block", "joined", "numbers", "lang", "words"])
             block += 1
+        trim()
 
     return rows.mapInArrow(made, BLOCK)
 
@@ -145,45 +162,63 @@ def known_words(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 def _relation(block: int, place: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
     """One block: the occurrences of phrases of these ``numbers``."""
-    ids, codes = np.unique(numbers, return_inverse=True)
+    joined = np.packbits(np.append(np.diff(place) == 1, False))
     return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int64()), pa.array([np.diff(place, prepend=0).astype(np.int32)], pa.list_(pa.int32())),
-         pa.array([codes.astype(np.int32)], pa.list_(pa.int32())), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))],
-        names=["block", "steps", "codes", "ids"])
+        [pa.array([block], pa.int64()), pa.array([joined.tobytes()], pa.binary()), pa.array([numbers.astype(np.int32).tobytes()], pa.binary())],
+        names=["block", "joined", "numbers"])
+
 
+def _unpacked(joined: pa.BinaryScalar, numbers: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
+    """(places, numbers) of a block; the places tell neighbours, not how far apart others are."""
+    numbers = np.frombuffer(numbers.as_buffer(), np.int32).astype(np.int64)
+    bits = np.unpackbits(np.frombuffer(joined.as_buffer(), np.uint8), count=len(numbers))
+    return np.cumsum(np.append(0, 2 - bits[:-1].astype(np.int64))), numbers
 
-def _blocks(batches, *columns: str):
-    """Blocks one at a time, arrays as numpy arrays."""
+
+def _blocks(batches):
+    """(block, places, numbers) of one block at a time."""
     for batch in batches:
         for row in range(batch.num_rows):
-            yield [v.values.to_numpy(zero_copy_only=False) if isinstance(v := batch.column(c)[row], pa.ListScalar) else v.as_py()
-                   for c in columns]
+            yield batch.column("block")[row].as_py(), *_unpacked(batch.column("joined")[row], batch.column("numbers")[row])
     trim()
 
 
 def only_frequent(relation: DataFrame, asked: DataFrame, table: DataFrame, keys: list[str], joined: bool) -> DataFrame:
     """The occurrences of frequent phrases: a semi-join of blocks with ``table`` (``keys``, ``number``) by shuffle.
 
-    ``asked`` has ``block, code`` and the keys of each phrase of a block; codes are those of the relation, or of its
-    merge-join with itself if ``joined``.
+    ``asked`` has ``block, code`` and the keys of each phrase of a block; codes are the numbers in the relation, or those
+    of the pairs of its merge-join with itself if ``joined``. The known codes of a block come to a task just before the block.
     """
-    known = (asked.join(table.select(*keys, "number"), keys).groupBy("block")
-             .agg(F.array_sort(F.collect_list(F.struct("code", "number"))).alias("found"))
-             .select("block", F.col("found.code").alias("known"), F.col("found.number").alias("numbers")))
+    nothing = [F.lit(None).cast("binary").alias("joined"), F.lit(None).cast("binary").alias("numbers")]
+    known = asked.join(table.select(*keys, "number"), keys).select("block", *nothing, "code", "number")
+    blocks = relation.select("block", "joined", "numbers", F.lit(None).cast("int").alias("code"), F.lit(None).cast("long").alias("number"))
+    dealt = blocks.union(known).repartition("block").sortWithinPartitions("block", F.col("code").asc_nulls_last())
 
     def kept(batches):
         release()
-        for block, steps, codes, known, numbers in _blocks(batches, "block", "steps", "codes", "known", "numbers"):
-            place = np.cumsum(steps, dtype=np.int64)
-            if joined:
-                place, codes, _ = adjacent(place, codes)
-            of = np.full(int(codes.max(initial=-1)) + 1, -1, np.int64)
-            of[known] = numbers
-            held = of[codes] >= 0
-            if held.any():
-                yield _relation(block, place[held], of[codes[held]])
+        held = []  # known codes and their numbers since the last block
+        for batch in batches:
+            ends = np.flatnonzero(batch.column("code").is_null().to_numpy(zero_copy_only=False)).tolist()
+            found = np.stack([batch.column(c).cast(pa.int64()).fill_null(-1).to_numpy() for c in ("code", "number")])
+            first = 0
+            for end in ends:
+                held.append(found[:, first:end])
+                first = end + 1
+                known, numbers = np.concatenate(held, axis=1)
+                held = []
+                if not len(known):
+                    continue
+                place, codes = _unpacked(batch.column("joined")[end], batch.column("numbers")[end])
+                if joined:
+                    place, codes, _ = adjacent(place, codes)
+                of = np.full(int(codes.max()) + 1, -1, np.int64)
+                of[known] = numbers
+                some = of[codes] >= 0
+                yield _relation(batch.column("block")[end].as_py(), place[some], of[codes[some]])
+            held.append(found[:, first:])
+        trim()
 
-    return relation.select("block", "steps", "codes").join(known, "block").mapInArrow(kept, RELATION)
+    return dealt.mapInArrow(kept, RELATION)
 
 
 def adjacent(place: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,55 +230,56 @@ def adjacent(place: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def extended(relation: DataFrame, size: int) -> DataFrame:
-    """``left, right, n``: the phrases one word longer, counted over some blocks at a time. Numbers are below ``size``."""
+    """``pair, n``: the phrases one word longer, counted over some blocks at a time. A pair is ``left * size + right``, numbers are below ``size``."""
     def counted(pairs: list):
         found, counts = np.unique(np.concatenate(pairs), return_counts=True)
         for first in range(0, len(found), ROWS):
             some = slice(first, first + ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(found[some] // size), pa.array(found[some] % size), pa.array(counts[some])],
-                                             names=["left", "right", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[some]), pa.array(counts[some])], names=["pair", "n"])
 
     def made(batches):
         release()
         held = []
-        for steps, codes, ids in _blocks(batches, "steps", "codes", "ids"):
-            at = np.flatnonzero(steps[1:] == 1)
-            held.append(ids[codes[at]] * size + ids[codes[at + 1]])
+        for _, place, numbers in _blocks(batches):
+            at = np.flatnonzero(np.diff(place) == 1)
+            held.append(numbers[at] * size + numbers[at + 1])
             if sum(map(len, held)) >= COUNTED:
                 yield from counted(held)
                 held = []
         if held:
             yield from counted(held)
 
-    return relation.select("steps", "codes", "ids").mapInArrow(made, "left long, right long, n long")
+    return relation.mapInArrow(made, "pair long, n long")
 
 
-def extended_blocks(relation: DataFrame) -> DataFrame:
-    """``block, code, left, right``: the phrases one word longer that each block has."""
+def extended_blocks(relation: DataFrame, size: int) -> DataFrame:
+    """``block, code, pair``: the phrases one word longer that each block has."""
     def made(batches):
         release()
-        for block, steps, codes, ids in _blocks(batches, "block", "steps", "codes", "ids"):
-            _, _, pairs = adjacent(np.cumsum(steps, dtype=np.int64), codes)
+        for block, place, numbers in _blocks(batches):
+            _, _, pairs = adjacent(place, numbers)
             n = pairs.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), pa.array(np.arange(n)), pa.array(ids[pairs[0]]),
-                                              pa.array(ids[pairs[1]])], names=["block", "code", "left", "right"])
+            for first in range(0, n, ROWS):
+                some = slice(first, first + ROWS)
+                codes = np.arange(n, dtype=np.int32)[some]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), block, np.int64)), pa.array(codes), pa.array(
+                    pairs[0, some] * size + pairs[1, some])], names=["block", "code", "pair"])
 
-    return relation.mapInArrow(made, "block long, code long, left long, right long")
+    return relation.mapInArrow(made, "block long, code int, pair long")
 
 
 def looked_up(relation: DataFrame, table: DataFrame, size: int) -> DataFrame:
-    """``only_frequent`` for few phrases: their parts, packed and sorted as they are numbered, go to each task."""
-    packed = table.select((F.col("left") * size + F.col("right")).alias("p")).toArrow()["p"].to_numpy()
-    sent = table.sparkSession.sparkContext.broadcast(np.sort(packed))
+    """``only_frequent`` for few phrases: their pairs, sorted as they are numbered, go to each task."""
+    sent = table.sparkSession.sparkContext.broadcast(np.sort(table.select("pair").toArrow()["pair"].to_numpy()))
 
     def kept(batches):
         release()
         keys = sent.value
-        for block, steps, codes, ids in _blocks(batches, "block", "steps", "codes", "ids"):
-            place, codes, pairs = adjacent(np.cumsum(steps, dtype=np.int64), codes)
+        for block, place, numbers in _blocks(batches):
+            place, codes, pairs = adjacent(place, numbers)
             if not len(codes) or not len(keys):
                 continue
-            asked = ids[pairs[0]] * size + ids[pairs[1]]
+            asked = pairs[0] * size + pairs[1]
             at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
             of = np.where(keys[at] == asked, at, -1)
             held = of[codes] >= 0
@@ -253,6 +289,12 @@ def looked_up(relation: DataFrame, table: DataFrame, size: int) -> DataFrame:
     return relation.mapInArrow(kept, RELATION)
 
 
+def _size(table: DataFrame) -> int:
+    if (size := table.count()) >= 1 << 31:
+        raise ValueError("more frequent phrases than pairs of them have numbers: ask for more occurrences")
+    return size
+
+
 def frequent_phrases(rows: DataFrame, longest: int, least: int, few: int) -> tuple[list[DataFrame], DataFrame]:
     """(one table for each length, ``lang, n`` of all words).
 
@@ -266,18 +308,19 @@ def frequent_phrases(rows: DataFrame, longest: int, least: int, few: int) -> tup
         "number", "lang", "phrase", F.col("phrase").alias("last"), "f", nothing.alias("left"), nothing.alias("right"),
         F.array("f").alias("heads"), F.array("f").alias("tails"))
     tables = [cut(table)]
+    size = _size(tables[0])
     if counted_small(tables[0].select("lang", "phrase"), few // 4):
-        relation = cut(known_words(rows, tables[0]))
+        relation = cut(known_words(rows, tables[0]), **ROW_GROUP)
     else:
-        first = cut(occurrences(rows))
+        first = cut(occurrences(rows), **ROW_GROUP)
         words = first.select("lang", "block", F.posexplode("words").alias("code", "phrase"))
-        relation = cut(only_frequent(first, words, tables[0], ["lang", "phrase"], False))
+        relation = cut(only_frequent(first, words, tables[0], ["lang", "phrase"], False), **ROW_GROUP)
     for length in range(2, longest + 1):
-        size = tables[-1].count()
-        if size >= 1 << 31:
-            raise ValueError("more frequent phrases than pairs of them have numbers: ask for more occurrences")
-        counted = extended(relation, max(size, 1)).groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        before, pairs = tables[-1], numbered(counted, [F.col("left"), F.col("right")])
+        # counts come combined from a task, so they are dealt as they are and summed once
+        counted = cut(extended(relation, max(size, 1)).repartition("pair").groupBy("pair").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+        before = tables[-1]
+        pairs = numbered(counted, [F.col("pair")]).select(
+            "number", "f", F.expr(f"pair div {max(size, 1)}").alias("left"), (F.col("pair") % max(size, 1)).alias("right"))
         left = before.select(F.col("number").alias("left"), "lang", F.col("phrase").alias("head"), "heads")
         right = before.select(F.col("number").alias("right"), "last", "tails")
         table = pairs.join(left, "left").join(right, "right").select(
@@ -285,10 +328,12 @@ def frequent_phrases(rows: DataFrame, longest: int, least: int, few: int) -> tup
             F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"))
         tables.append(cut(table))
         if length < longest:
-            if tables[-1].limit(few + 1).count() <= few:
-                relation = cut(looked_up(relation, tables[-1], size))
+            frequent = tables[-1].select("number", (F.col("left") * size + F.col("right")).alias("pair"))
+            if (more := _size(frequent)) <= few:
+                relation = cut(looked_up(relation, frequent, size), **ROW_GROUP)
             else:
-                relation = cut(only_frequent(relation, extended_blocks(relation), tables[-1], ["left", "right"], True))
+                relation = cut(only_frequent(relation, extended_blocks(relation, size), frequent, ["pair"], True), **ROW_GROUP)
+            size = more
     return tables, sizes
 
 
@@ -320,7 +365,8 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int =
     if longest < 2:
         raise ValueError("a phrase has two words at least")
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    tables, sizes = frequent_phrases(rows, longest, least, few)
+    with small_batches(docs.sparkSession):
+        tables, sizes = frequent_phrases(rows, longest, least, few)
     found = []
     for length, table in enumerate(tables[1:], 2):
         phrases = scored(table, length)
